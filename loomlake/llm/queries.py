@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, media, mixing
+from . import chat, common, media, mixing, secrets
+
+
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(common.table(spark, sf_dir, "documents"))
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_report(common.table(spark, sf_dir, "conversations"))
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,10 +28,14 @@ def op10_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
+    "op4_chat_format": op4_chat_format,
     "op8_source_mix": op8_source_mix,
     "op10_transport_streams": op10_transport_streams,
 }
 ORACLES: dict[str, str] = {
+    "op1_secrets": secrets.oracle(),
+    "op4_chat_format": chat.ORACLE,
     "op8_source_mix": r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 t AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
