@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, media, mixing, secrets
+from . import chat, common, licenses, media, mixing, secrets, urls
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,15 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_report(common.table(spark, sf_dir, "conversations"))
 
 
+def op5_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = urls.page_labels(common.table(spark, sf_dir, "labels"))
+    return urls.judge_urls(common.table(spark, sf_dir, "pages"), labels)
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(common.table(spark, sf_dir, "documents"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(common.table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
@@ -30,12 +39,16 @@ def op10_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op4_chat_format": op4_chat_format,
+    "op5_url_verdicts": op5_url_verdicts,
+    "op7_licenses": op7_licenses,
     "op8_source_mix": op8_source_mix,
     "op10_transport_streams": op10_transport_streams,
 }
 ORACLES: dict[str, str] = {
     "op1_secrets": secrets.oracle(),
     "op4_chat_format": chat.ORACLE,
+    "op5_url_verdicts": urls.oracle(),
+    "op7_licenses": licenses.oracle(),
     "op8_source_mix": r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 t AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),

@@ -126,9 +126,12 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 def listed(kinds: tuple[str, ...]) -> Column:
     """kind:start:end of all spans of these kinds, by start, then kind as listed; comma-joined."""
-    tagged = [F.transform(k, lambda s, n=n: F.struct(s["start"].alias("start"), F.lit(n).alias("kind"), s["stop"].alias("stop"))) for n, k in enumerate(kinds)]
+
+    def tagged(k: str, n: int) -> Column:
+        return F.transform(k, lambda s: F.struct(s["start"].alias("start"), F.lit(n).alias("kind"), s["stop"].alias("stop")))
+
     names = F.array(*map(F.lit, kinds))
-    return F.array_join(F.transform(F.array_sort(F.concat(*tagged)), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["stop"])), ",")
+    return F.array_join(F.transform(F.array_sort(F.concat(*(tagged(k, n) for n, k in enumerate(kinds)))), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["stop"])), ",")
 
 
 def secret_report(docs: DataFrame) -> DataFrame:
