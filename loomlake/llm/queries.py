@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, licenses, media, mixing, secrets, urls
+from . import chat, common, decontam, licenses, lines, media, mixing, secrets, urls
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(common.table(spark, sf_dir, "documents"))
 
 
+def op2_benchmark_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.overlaps(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    return found.drop("body").distinct()
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_report(common.table(spark, sf_dir, "conversations"))
 
@@ -32,23 +37,31 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(common.table(spark, sf_dir, "documents"))
+
+
 def op10_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(common.table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
+    "op2_benchmark_overlaps": op2_benchmark_overlaps,
     "op4_chat_format": op4_chat_format,
     "op5_url_verdicts": op5_url_verdicts,
     "op7_licenses": op7_licenses,
     "op8_source_mix": op8_source_mix,
+    "op9_line_templates": op9_line_templates,
     "op10_transport_streams": op10_transport_streams,
 }
 ORACLES: dict[str, str] = {
     "op1_secrets": secrets.oracle(),
+    "op2_benchmark_overlaps": decontam.oracle(),
     "op4_chat_format": chat.ORACLE,
     "op5_url_verdicts": urls.oracle(),
     "op7_licenses": licenses.oracle(),
+    "op9_line_templates": lines.oracle(),
     "op8_source_mix": r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 t AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
