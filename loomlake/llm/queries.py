@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontam, licenses, lines, media, mixing, secrets, urls
+from . import chat, common, decontam, licenses, lines, media, mixing, quality, secrets, simhash, urls
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op2_benchmark_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("body").distinct()
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_quality(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+    return scored.drop("body")
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_report(common.table(spark, sf_dir, "conversations"))
 
@@ -28,6 +33,10 @@ def op5_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(common.table(spark, sf_dir, "pages"), labels)
 
 
+def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_report(common.table(spark, sf_dir, "documents"))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(common.table(spark, sf_dir, "documents"))
 
@@ -48,8 +57,10 @@ def op10_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_benchmark_overlaps": op2_benchmark_overlaps,
+    "op3_quality_rules": op3_quality_rules,
     "op4_chat_format": op4_chat_format,
     "op5_url_verdicts": op5_url_verdicts,
+    "op6_simhash_components": op6_simhash_components,
     "op7_licenses": op7_licenses,
     "op8_source_mix": op8_source_mix,
     "op9_line_templates": op9_line_templates,
