@@ -149,10 +149,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
 def filter_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """docs that are predicted to be of quality 1; a map over the documents, with no shuffle of texts."""
     score = compiled(*fit_rules(training_rows(docs, labels, rows)))
-    measured = docs.select("*", common.whole("text").alias("quality_text"))
-    measured = measured.select("*", *(c.alias(f"quality_stat_{k}") for k, c in statistics(F.col("quality_text")).items()))
-    for k in statistics(F.col("quality_text")):
-        measured = measured.withColumnRenamed(f"quality_stat_{k}", k) if k not in docs.columns else measured
-    if clash := [k for k in (*statistics(F.col("text")), *FEATURES) if k in docs.columns]:
-        raise ValueError(f"columns of docs that this filter computes itself: {clash}")
-    return measured.select(*docs.columns, *(f().cast("double").alias(k) for k, f in FEATURES.items())).where(score >= 0.5).select(*docs.columns)
+    # The row stands aside as one struct, so that no column of it can clash with a measure.
+    measured = docs.select(F.struct("*").alias("row"), common.whole(docs["text"]).alias("text"))
+    measured = measured.select("row", *(c.alias(k) for k, c in statistics(F.col("text")).items()))
+    measured = measured.select("row", *(f().cast("double").alias(k) for k, f in FEATURES.items()))
+    return measured.where(score >= 0.5).select("row.*")

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import chat, common, decontam, licenses, lines, media, mixing, quality, secrets, simhash, urls
 
 
@@ -54,6 +56,10 @@ def op10_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(common.table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_benchmark_overlaps": op2_benchmark_overlaps,
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_line_templates": op9_line_templates,
     "op10_transport_streams": op10_transport_streams,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {
     "op1_secrets": secrets.oracle(),

@@ -8,7 +8,7 @@ so pairs are formed under keys that lose none: the fingerprint is cut into BLOCK
 in at most BLOCKS - 2 bits agree in two whole stretches.
 
 Keys with at most SMALL members are joined with themselves. Larger ones, which near copies in great number
-make, are dealt into shards; every pair of shards is one bounded group in which a breadth-first walk over the pivot
+make, are dealt into shards; every pair of shards is one bounded group in which a walk over the pivot
 table gives a spanning forest, never all pairs. Components then come from the links by alternating large and small
 stars, each round written to the checkpoint folder; nothing is collected.
 
@@ -41,8 +41,10 @@ RADIUS = 3
 BLOCKS = 5
 #: Largest key that is joined with itself, and members of a shard of a larger one.
 SMALL, SHARD = 32, 1024
-#: The sketch of near_duplicates: values, values per band, share of equal values taken as similarity 0.8.
-SKETCH, BAND, SIMILARITY = 128, 4, 0.8
+#: The sketch of near_duplicates: values, values per band, and the similarity (share of equal values) that links.
+SKETCH, BAND, SIMILARITY = 126, 6, 0.8
+#: The estimate has a deviation of 0.035 there; so much less is taken as reaching it.
+TOLERANCE = 0.02
 #: Bits in which 5-word fingerprints of texts of that similarity differ at most (mean 10, deviation 3).
 SIMILAR_RADIUS = 22
 
@@ -116,7 +118,7 @@ def block_masks() -> list[int]:
 
 
 def forest(values: np.ndarray, tables: np.ndarray, radius: int, alike) -> list[tuple[int, int]]:
-    """Links (parent, child) of a spanning forest: breadth-first, the pivot table first, then alike(v, others)."""
+    """Links (parent, child) of a spanning forest: from node to node, the pivot table first, then alike(v, others)."""
     left = np.arange(len(values))
     links, queue = [], []
     while len(left) or queue:
@@ -125,12 +127,11 @@ def forest(values: np.ndarray, tables: np.ndarray, radius: int, alike) -> list[t
         v = queue.pop()
         if not len(left):
             continue
-        close = np.abs(tables[left] - tables[v]).max(axis=1) <= radius
-        found = left[close]
-        found = found[alike(v, found)]
-        links += [(v, w) for w in found]
-        queue += list(found)
-        left = np.setdiff1d(left, found, assume_unique=True)
+        survivors = np.flatnonzero(np.abs(tables[left] - tables[v]).max(axis=1) <= radius)
+        survivors = survivors[alike(v, left[survivors])]
+        links += [(v, w) for w in left[survivors]]
+        queue += list(left[survivors])
+        left = np.delete(left, survivors)
     return links
 
 
@@ -206,3 +207,75 @@ def _labelled(rows: DataFrame, classes: DataFrame, node: str, roots: DataFrame)
 def simhash_report(docs: DataFrame) -> DataFrame:
     """The contract's columns."""
     return simhash_components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def multipliers() -> np.ndarray:
+    """Odd 64-bit factors, one per value of a sketch."""
+    return np.array([int.from_bytes(hashlib.sha256(b"sketch %d" % k).digest()[:8], "little") | 1 for k in range(SKETCH)], np.uint64)
+
+
+def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
+    """doc_id, body, fp, sketch (least values of the shingle hashes under SKETCH multiplications)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factors = multipliers()
+        for batch in batches:
+            fps, least = [], []
+            for text in batch.column(2).to_pylist():
+                hashes = shingle_hashes(text, words)
+                fps.append(fingerprint(hashes))
+                least.append([int((hashes * f >> np.uint64(33)).min()) for f in factors] if len(hashes) else [0] * SKETCH)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(least, pa.list_(pa.int32()))], ["doc_id", "body", "fp", "sketch"])
+
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(common.whole(docs["text"])).alias("body"), docs["text"])
+    return rows.mapInArrow(run, "doc_id long, body long, fp long, sketch array<int>")
+
+
+def similar_links(classes: DataFrame) -> DataFrame:
+    """a, b: links between texts (column body, distinct) whose sketches agree; enough of them to connect what all would."""
+    enough = round((SIMILARITY - TOLERANCE) * SKETCH)
+    bands = F.array(*(F.xxhash64(F.lit(k), F.slice("sketch", BAND * k + 1, BAND)) for k in range(SKETCH // BAND)))
+    members = classes.select("body", F.explode(bands).alias("band"))
+    sizes = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    members = common.checkpointed(members.join(sizes, "band"))
+    values = classes.select(F.col("body").alias("of"), "fp", pivot_table(F.col("fp")).alias("table"), "sketch")
+
+    few = members.where(F.col("n") <= SMALL).drop("n")
+    other = few.select(F.col("band").alias("band_"), F.col("body").alias("b"))
+    pairs = few.join(other, (F.col("band") == F.col("band_")) & (F.col("body") < F.col("b"))).select(F.col("body").alias("a"), "b").distinct()
+    pairs = pairs.join(values, F.col("a") == F.col("of")).drop("of")
+    pairs = pairs.join(values.select("of", *(F.col(c).alias(f"{c}_") for c in ("fp", "table", "sketch"))), F.col("b") == F.col("of"))
+    near = within(F.col("table"), F.col("table_"), SIMILAR_RADIUS) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_"))) <= SIMILAR_RADIUS)
+    equal = F.aggregate(F.zip_with("sketch", "sketch_", lambda x, y: (x == y).cast("int")), F.lit(0), lambda acc, x: acc + x)
+    links = pairs.where(near).where(equal >= enough).select("a", "b")
+
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates("body")
+        bodies, fps = group["body"].to_numpy(), group["fp"].to_numpy().astype(np.uint64)
+        sketch = np.array(group["sketch"].tolist(), np.int32).reshape(-1, SKETCH)
+        alike = lambda v, others: (sketch[others] == sketch[v]).sum(axis=1) >= enough
+        found = np.array(forest(fps, _tables(fps), SIMILAR_RADIUS, alike), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": bodies[found[:, 0]], "b": bodies[found[:, 1]]})
+
+    many = sharded(members.where(F.col("n") > SMALL).drop("n"), ["band"], sizes, "body")
+    many = many.join(values.drop("table"), F.col("body") == F.col("of")).drop("of")
+    walked = many.groupBy("band", "low", "high").applyInPandas(walk, "a long, b long")
+    return links.unionByName(walked)
+
+
+def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
+    """doc_id, body, root, component_id of every document; texts of similarity SIMILARITY share a component."""
+    rows = common.checkpointed(sketches(docs, words))
+    classes = common.checkpointed(rows.groupBy("body").agg(F.min("doc_id").alias("least_id"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")))
+    roots = stars(similar_links(classes))
+    return _labelled(rows.select("doc_id", "body"), classes.select("body", "least_id"), "body", roots)
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
+    """docs with one document of each component: the smallest doc_id, of equal rows any one."""
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("dup_doc_id"), F.col("body").alias("dup_body"))
+    kept = near_duplicates(docs, words).groupBy("root").agg(F.min(first).alias("first")).select("first.dup_doc_id", "first.dup_body")
+    joined = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("dup_doc_id")) & (F.xxhash64(common.whole(docs["text"])) == F.col("dup_body")))
+    # Rows that repeat id and text: one stays.
+    turn = Window.partitionBy("dup_doc_id", "dup_body").orderBy("dup_body")
+    return joined.withColumn("dup_turn", F.row_number().over(turn)).where("dup_turn = 1").select(*(docs[c] for c in docs.columns))
