@@ -115,7 +115,7 @@ def write_snapshot(states: DataFrame, folder: str, digest: str, seq: int) -> str
 def newest_snapshot(spark: SparkSession, folder: str, digest: str, upto: int) -> tuple[int, DataFrame] | None:
     """The newest snapshot of this digest at or before a head, found through Spark's own file listing."""
     try:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "_SUCCESS").load(folder).select("path")
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(folder).select("path")
         seqs = files.select(F.regexp_extract("path", rf"digest={digest}/snapshot_seq=(\d+)/", 1).alias("s")).where("s <> ''").select(F.col("s").cast("long").alias("s")).where(F.col("s") <= upto)
         best = seqs.agg(F.max("s")).first()[0]
     except Exception as e:

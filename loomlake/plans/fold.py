@@ -21,23 +21,23 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Last:
-    """The value assigned by the latest of these kinds; a null assignment counts."""
+    """The value (a SQL expression) assigned by the latest of these kinds; a null assignment counts."""
 
-    kinds: dict[str, Column]
+    kinds: dict[str, str]
 
 
 @dataclass(frozen=True)
 class First:
     """The value assigned by the earliest of these kinds."""
 
-    kinds: dict[str, Column]
+    kinds: dict[str, str]
 
 
 @dataclass(frozen=True)
 class Total:
     """The sum of deltas; null until the first, zero if nulls_as_zero."""
 
-    kinds: dict[str, Column]
+    kinds: dict[str, str]
     nulls_as_zero: bool = False
 
 
@@ -55,17 +55,17 @@ class Table:
         return tuple(sorted({k for c in self.columns.values() for k in c.kinds} | set(self.creates) | set(self.deletes) | set(self.kinds)))
 
 
-def _value(kinds: dict[str, Column]) -> Column:
+def _value(kinds: dict[str, str]) -> Column:
     out = F.lit(None)
     for kind, value in kinds.items():
-        out = F.when(F.col("kind") == kind, F.struct(value.alias("v"))).otherwise(out)
+        out = F.when(F.col("kind") == kind, F.struct(F.expr(value).alias("v"))).otherwise(out)
     return out
 
 
-def _delta(kinds: dict[str, Column]) -> Column:
+def _delta(kinds: dict[str, str]) -> Column:
     out = F.lit(None).cast("long")
     for kind, value in kinds.items():
-        out = F.when(F.col("kind") == kind, value).otherwise(out)
+        out = F.when(F.col("kind") == kind, F.expr(value)).otherwise(out)
     return out
 
 

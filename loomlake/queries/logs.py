@@ -14,11 +14,11 @@ from loomlake.sources.tables import LOG_SQL, event_log
 USERS = fold.Table(
     key=("entity",),
     columns={
-        "last_view": fold.Last({"view": F.col("amount")}),
-        "last_touch": fold.Last({"view": F.col("seq"), "click": F.col("seq")}),
-        "first_purchase": fold.First({"purchase": F.col("amount")}),
-        "spent": fold.Total({"purchase": F.col("amount")}),
-        "errors": fold.Total({"error": F.lit(1).cast("long")}),
+        "last_view": fold.Last({"view": "amount"}),
+        "last_touch": fold.Last({"view": "seq", "click": "seq"}),
+        "first_purchase": fold.First({"purchase": "amount"}),
+        "spent": fold.Total({"purchase": "amount"}),
+        "errors": fold.Total({"error": "CAST(1 AS BIGINT)"}),
     },
 )
 
@@ -69,7 +69,7 @@ def fold_upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT log.entity, max_by(amount, seq) FILTER (kind = 'click') AS clicked, CAST(count(*) FILTER (kind = 'click') AS BIGINT) AS clicks
 FROM log JOIN b ON log.entity = b.entity WHERE seq >= born AND kind IN ('signup', 'click') GROUP BY log.entity""")
 def fold_update_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = fold.Table(("entity",), {"clicked": fold.Last({"click": F.col("amount")}), "clicks": fold.Total({"click": F.lit(1).cast("long")}, nulls_as_zero=True)}, creates=("signup",))
+    t = fold.Table(("entity",), {"clicked": fold.Last({"click": "amount"}), "clicks": fold.Total({"click": "CAST(1 AS BIGINT)"}, nulls_as_zero=True)}, creates=("signup",))
     return fold.fold(event_log(spark, sf_dir), t)
 
 
@@ -91,7 +91,7 @@ def fold_increment_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT l.entity, max_by(amount, seq) FILTER (kind = 'view') AS viewed, CAST(sum(1) FILTER (kind = 'click') AS BIGINT) AS clicks FROM l LEFT JOIN d ON l.entity = d.entity
 WHERE gone IS NULL OR seq > gone GROUP BY l.entity""")
 def fold_delete_tombstone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = fold.Table(("entity",), {"viewed": fold.Last({"view": F.col("amount")}), "clicks": fold.Total({"click": F.lit(1).cast("long")})}, deletes=("error",))
+    t = fold.Table(("entity",), {"viewed": fold.Last({"view": "amount"}), "clicks": fold.Total({"click": "CAST(1 AS BIGINT)"})}, deletes=("error",))
     return fold.fold(event_log(spark, sf_dir), t)
 
 
@@ -113,14 +113,14 @@ SELECT s.entity, max_by(status, seq) FILTER (status IS NOT NULL) AS status, max(
 FROM s JOIN b ON s.entity = b.entity WHERE seq >= born GROUP BY s.entity""")
 def fold_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run: created by signup, stepped by view, ended by error or purchase, restarted by another signup."""
-    status = {"signup": F.lit("running"), "error": F.lit("failed"), "purchase": F.lit("finished")}
+    status = {"signup": "'running'", "error": "'failed'", "purchase": "'finished'"}
     t = fold.Table(
         ("entity",),
         {
             "status": fold.Last(status),
-            "last_seq": fold.Last({k: F.col("seq") for k in ("signup", "error", "purchase", "view")}),
-            "steps": fold.Total({"view": F.lit(1).cast("long")}, nulls_as_zero=True),
-            "first_end_seq": fold.First({"error": F.col("seq"), "purchase": F.col("seq")}),
+            "last_seq": fold.Last({k: "seq" for k in ("signup", "error", "purchase", "view")}),
+            "steps": fold.Total({"view": "CAST(1 AS BIGINT)"}, nulls_as_zero=True),
+            "first_end_seq": fold.First({"error": "seq", "purchase": "seq"}),
         },
         creates=("signup",),
     )
@@ -131,7 +131,7 @@ def fold_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 a AS (SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY entity ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS alive FROM l)
 SELECT entity, seq, kind, CASE WHEN kind = 'signup' THEN 'duplicate' ELSE 'missing' END AS problem FROM a WHERE (kind = 'signup' AND alive = 1) OR (kind <> 'signup' AND alive = 0)""")
 def fold_strict_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = fold.Table(("entity",), {"clicks": fold.Total({"click": F.lit(1).cast("long")})}, creates=("signup",), deletes=("error",))
+    t = fold.Table(("entity",), {"clicks": fold.Total({"click": "CAST(1 AS BIGINT)"})}, creates=("signup",), deletes=("error",))
     return fold.strict_violations(event_log(spark, sf_dir), t)
 
 
