@@ -1,0 +1,52 @@
+"""The registered queries against their SQL, and the pipeline's stages against plain checks."""
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from loomlake.llm import queries
+
+TABLES = "documents embeddings pages benchmark labels conversations".split()
+TYPES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean"}
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(spark, data, name):
+    duck = duckdb.connect()
+    for t in TABLES:
+        duck.sql(f"create view {t} as select * from '{data}/{t}.parquet'")
+    df, rel = queries.QUERIES[name](spark, data), duck.sql(queries.ORACLES[name])
+    assert dict(df.dtypes) == {c: TYPES.get(str(t), str(t)) for c, t in zip(rel.columns, rel.types, strict=True)}
+    names = sorted(df.columns)
+    ours = sorted(tuple(str(r[c]) for c in names) for r in df.collect())
+    assert ours == sorted(tuple(str(r[rel.columns.index(c)]) for c in names) for r in rel.fetchall())
+
+
+def test_every_operator_has_a_query():
+    assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in queries.QUERIES)] == []
+    assert "pipeline" in queries.QUERIES and [n for n, _ in corpus_pipeline.STAGES]
+
+
+def test_pipeline(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    before = {r.doc_id: r.text for r in docs.collect()}
+    counts = [docs.count()]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, data)
+        assert out.columns == docs.columns
+        docs = spark.createDataFrame(out.toPandas(), docs.schema)
+        counts.append(docs.count())
+    assert counts == sorted(counts, reverse=True) and counts[-1] > counts[0] // 2
+    assert len({r.text for r in docs.collect()}) == counts[-1]
+    words = lambda t: " ".join("".join(c.lower() if c.isalnum() else " " for c in t).split())
+    bench = [words(r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    assert not [d for d in docs.collect() if any(b in words(d.text) for b in bench)]
+    mixed = corpus_pipeline.STAGES[-1][1](spark, docs, data).collect()
+    assert {r.doc_id for r in mixed} <= set(before) and max(r.mix_copy for r in mixed) <= 3
+
+
+def test_pipeline_of_odd_rows(spark, data, odd, none):
+    for docs in (odd, none):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, data)
+            assert out.count() >= 0, name
