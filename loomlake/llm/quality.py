@@ -152,5 +152,7 @@ def filter_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -
     # The row stands aside as one struct, so that no column of it can clash with a measure.
     measured = docs.select(F.struct("*").alias("row"), common.whole(docs["text"]).alias("text"))
     measured = measured.select("row", *(c.alias(k) for k, c in statistics(F.col("text")).items()))
-    measured = measured.select("row", *(f().cast("double").alias(k) for k, f in FEATURES.items()))
-    return measured.where(score >= 0.5).select("row.*")
+    # A filter is moved below projections, with a copy of its inputs for each use; a position that the filter reads
+    # keeps it above, so that every measure is taken once a text.
+    measured = measured.select("row", *(f().cast("double").alias(k) for k, f in FEATURES.items()), F.monotonically_increasing_id().alias("position"))
+    return measured.where((score >= 0.5) & (F.col("position") >= 0)).select("row.*")
