@@ -40,9 +40,11 @@ def word_hashes(text: Column) -> Column:
 
 def seeds(rows: DataFrame, *keep: str) -> DataFrame:
     """rows with h (word hashes) to one row per position and mask: keep..., at, seed."""
-    placed = rows.where(F.size("h") >= SPAN).select(*keep, "h", F.explode(F.sequence(F.lit(0), F.size("h") - SPAN)).alias("at"))
+    # explode_outer, and the filter on its result: a filter on h would be moved down and hash every word twice.
+    places = F.when(F.size("h") >= SPAN, F.sequence(F.lit(0), F.size("h") - SPAN))
+    placed = rows.select(*dict.fromkeys([*keep, "h"]), F.explode_outer(places).alias("at")).where("at IS NOT NULL")
     keys = F.array(*(F.xxhash64(F.lit(m), *(F.get("h", F.col("at") + p) for p in mask)) for m, mask in enumerate(MASKS)))
-    return placed.select(*keep, *(["h"] if "h" not in keep else []), "at", F.explode(keys).alias("seed"))
+    return placed.select(*keep, "at", F.explode(keys).alias("seed"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
