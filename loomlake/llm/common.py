@@ -42,3 +42,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomlake-checkpoint-"))
     return df.checkpoint()
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """df written out and counted: broadcast if it has at most so many rows, else left to be joined by a shuffle.
+
+    Without the hint the large side of the join, with its texts, would be shuffled before the small one is known to be small.
+    """
+    df = checkpointed(df)
+    return F.broadcast(df) if df.count() <= rows else df

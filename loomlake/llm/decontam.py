@@ -28,7 +28,7 @@ MASKS = ((0, 1, 3, 5, 7, 8), (0, 2, 3, 4, 6, 8))
 SPAN = 9
 WINDOW = 13
 AGREE = 0.8
-#: Benchmark hashes that are broadcast at most: 24 bytes each, so some 50 MB.
+#: Benchmark hashes, and contaminated documents, that are broadcast at most: some 24 bytes each, so 50 MB.
 MAX_BROADCAST = 2_000_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -83,6 +83,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that any benchmark item contaminates."""
     found = overlaps(docs, benchmark).select(F.col("doc_id").alias("leak_doc_id"), F.col("body").alias("leak_body")).distinct()
+    found = common.sized(found, MAX_BROADCAST)
     return docs.join(found, docs["doc_id"].eqNullSafe(F.col("leak_doc_id")) & (F.xxhash64(common.whole(docs["text"])) == F.col("leak_body")), "left_anti")
 
 

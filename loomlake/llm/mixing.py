@@ -3,9 +3,9 @@
 Tokens are counted per source, each source gets a repetition rate (its target over its size), and each
 document is emitted floor(rate) times plus one hash-seeded Bernoulli copy with the fraction as probability.
 
-The only thing gathered is one row per source. Nothing is sorted, collected or kept per source, so a source
-that holds a third of all rows costs no more than its share: sizes are partially aggregated before the shuffle
-and the source table joins back as a small side (or, if it is not small, as a skew-splittable join).
+The only thing gathered is one row per source; they are counted, and broadcast to the documents if they are few
+(if not, the join back is one that can be split). Nothing is sorted, collected or kept per source, so a source that
+holds a third of all rows costs no more than its share: sizes are partially aggregated before the shuffle.
 
 Edge cases: null texts have size 0; null is a source of its own, ordered last; a source of size 0 has target 0
 and its documents are emitted 0 times; a null doc_id is hashed as the text "null"; rows that repeat a doc_id
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Sources whose rates are broadcast at most, some 100 bytes each; beyond, documents are shuffled to them.
+MAX_BROADCAST = 200_000
 #: Draws tried per source; the one whose taken words come nearest the target is used.
 DRAWS = 8
 
@@ -82,6 +84,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) ->
     """The mixture itself: each document's row as often as the plan says, numbered by mix_copy from 1."""
     sizes = common.checkpointed(docs.select("doc_id", "source", words(F.col("text")).alias("size")))
     rates = source_rates(sizes, weights, cap).select(*(F.col(c).alias(f"mix_{c}") for c in ("source", "whole", "fraction", "draw")))
+    rates = common.sized(rates, MAX_BROADCAST)
     joined = docs.join(rates, docs["source"].eqNullSafe(F.col("mix_source")))
     copies = F.col("mix_whole") + (F.get(draws(docs["doc_id"]), F.col("mix_draw")) < F.col("mix_fraction")).cast("long")
     kept = joined.select(*(docs[c] for c in docs.columns), copies.alias("mix_copies")).where("mix_copies > 0")

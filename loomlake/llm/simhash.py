@@ -44,7 +44,7 @@ SMALL, SHARD = 32, 1024
 #: The sketch of near_duplicates: values, values per band, and the similarity (share of equal values) that links.
 SKETCH, BAND, SIMILARITY = 126, 6, 0.8
 #: The estimate has a deviation of 0.035 there; so much less is taken as reaching it.
-TOLERANCE = 0.02
+TOLERANCE = 0.035
 #: Bits in which 5-word fingerprints of texts of that similarity differ at most (mean 10, deviation 3).
 SIMILAR_RADIUS = 22
 
