@@ -13,7 +13,7 @@ table gives a spanning forest, never all pairs. Components then come from the li
 stars, each round written to the checkpoint folder; nothing is collected.
 
 near_duplicates() links texts by similarity of their word shingles instead: keys are bands of a MinHash sketch, the
-pivot table discards, and survivors are verified on the sketch.
+pivot table and the sketch, with a wide margin, discard, and the shingle sets of every survivor are compared in full.
 
 Edge cases: a null text is empty; a text without words has fingerprint zero and is linked like any other; fewer
 words than a shingle are one shingle; repeated rows are one class; null ids belong to their class, whose id is the
@@ -41,10 +41,11 @@ RADIUS = 3
 BLOCKS = 5
 #: Largest key that is joined with itself, and members of a shard of a larger one.
 SMALL, SHARD = 32, 1024
-#: The sketch of near_duplicates: values, values per band, and the similarity (share of equal values) that links.
-SKETCH, BAND, SIMILARITY = 126, 6, 0.8
-#: The estimate has a deviation of 0.035 there; so much less is taken as reaching it.
-TOLERANCE = 0.035
+#: The sketch of near_duplicates: values, values per band, and the similarity (of the shingle sets) that links.
+#: With independent values a pair of that similarity has no band of four in common once in 12 million.
+SKETCH, BAND, SIMILARITY = 126, 4, 0.8
+#: The sketch only discards: pairs whose estimate is lower by more than seven of its deviations (0.0356) there.
+MARGIN = 0.25
 #: Bits in which 5-word fingerprints of texts of that similarity differ at most (mean 10, deviation 3).
 SIMILAR_RADIUS = 22
 
@@ -231,9 +232,29 @@ def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, body long, fp long, sketch array<int>")
 
 
-def similar_links(classes: DataFrame) -> DataFrame:
-    """a, b: links between texts (column body, distinct) whose sketches agree; enough of them to connect what all would."""
-    enough = round((SIMILARITY - TOLERANCE) * SKETCH)
+def similar(shared, size, other):
+    """Whether sets of so many members, shared in common, have similarity SIMILARITY; in whole numbers, for columns and arrays alike."""
+    return shared * 100 >= (size + other - shared) * round(100 * SIMILARITY)
+
+
+def shingle_sets(docs: DataFrame, bodies: DataFrame, words: int) -> DataFrame:
+    """of, shingles: the distinct shingle hashes, sorted, of the texts that bodies (column of) lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, words)).astype(np.int64) for t in batch.column(1).to_pylist()]
+            ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.empty(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["of", "shingles"])
+
+    texts = docs.select(F.xxhash64(common.whole(docs["text"])).alias("body"), docs["text"])
+    texts = texts.join(bodies, F.col("body") == F.col("of"), "left_semi").groupBy("body").agg(F.first("text").alias("text"))
+    return common.checkpointed(texts.mapInArrow(run, "of long, shingles array<long>"))
+
+
+def similar_links(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """a, b: links between texts of docs (column body of classes, distinct) of similarity SIMILARITY; enough of them to connect what all would."""
+    enough = round((SIMILARITY - MARGIN) * SKETCH)
     bands = F.array(*(F.xxhash64(F.lit(k), F.slice("sketch", BAND * k + 1, BAND)) for k in range(SKETCH // BAND)))
     members = classes.select("body", F.explode(bands).alias("band"))
     sizes = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
@@ -247,18 +268,34 @@ def similar_links(classes: DataFrame) -> DataFrame:
     pairs = pairs.join(values.select("of", *(F.col(c).alias(f"{c}_") for c in ("fp", "table", "sketch"))), F.col("b") == F.col("of"))
     near = within(F.col("table"), F.col("table_"), SIMILAR_RADIUS) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_"))) <= SIMILAR_RADIUS)
     equal = F.aggregate(F.zip_with("sketch", "sketch_", lambda x, y: (x == y).cast("int")), F.lit(0), lambda acc, x: acc + x)
-    links = pairs.where(near).where(equal >= enough).select("a", "b")
+    pairs = common.checkpointed(pairs.where(near).where(equal >= enough).select("a", "b"))
+
+    large = members.where(F.col("n") > SMALL).drop("n")
+    named = [pairs.select(F.col("a").alias("of")), pairs.select(F.col("b").alias("of")), large.select(F.col("body").alias("of"))]
+    sets = shingle_sets(docs, named[0].unionByName(named[1]).unionByName(named[2]).distinct(), words)
+    checked = pairs.join(sets, F.col("a") == F.col("of")).drop("of")
+    checked = checked.join(sets.select("of", F.col("shingles").alias("shingles_")), F.col("b") == F.col("of"))
+    shared = F.size(F.array_intersect("shingles", "shingles_"))
+    links = checked.where(similar(shared, F.size("shingles"), F.size("shingles_"))).select("a", "b")
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("body")
         bodies, fps = group["body"].to_numpy(), group["fp"].to_numpy().astype(np.uint64)
         sketch = np.array(group["sketch"].tolist(), np.int32).reshape(-1, SKETCH)
-        alike = lambda v, others: (sketch[others] == sketch[v]).sum(axis=1) >= enough
+        shingles = group["shingles"].tolist()
+
+        def alike(v: int, others: np.ndarray) -> np.ndarray:
+            found = (sketch[others] == sketch[v]).sum(axis=1) >= enough
+            for at in np.flatnonzero(found):
+                a, b = shingles[v], shingles[others[at]]
+                found[at] = similar(np.intersect1d(a, b, assume_unique=True).size, len(a), len(b))
+            return found
+
         found = np.array(forest(fps, _tables(fps), SIMILAR_RADIUS, alike), np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": bodies[found[:, 0]], "b": bodies[found[:, 1]]})
 
-    many = sharded(members.where(F.col("n") > SMALL).drop("n"), ["band"], sizes, "body")
-    many = many.join(values.drop("table"), F.col("body") == F.col("of")).drop("of")
+    many = sharded(large, ["band"], sizes, "body")
+    many = many.join(values.drop("table").join(sets, "of"), F.col("body") == F.col("of")).drop("of")
     walked = many.groupBy("band", "low", "high").applyInPandas(walk, "a long, b long")
     return links.unionByName(walked)
 
@@ -267,7 +304,7 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     """doc_id, body, root, component_id of every document; texts of similarity SIMILARITY share a component."""
     rows = common.checkpointed(sketches(docs, words))
     classes = common.checkpointed(rows.groupBy("body").agg(F.min("doc_id").alias("least_id"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")))
-    roots = stars(similar_links(classes))
+    roots = stars(similar_links(docs, classes, words))
     return _labelled(rows.select("doc_id", "body"), classes.select("body", "least_id"), "body", roots)
 
 

@@ -119,6 +119,21 @@ def test_near_duplicates(spark, monkeypatch, small):
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == [*range(0, 60, 5), *range(60, 90)]
 
 
+@pytest.mark.parametrize("small", [32, 1])
+def test_near_duplicates_are_exact(spark, monkeypatch, small):
+    """Pairs at exactly 0.8 (80 of 100 shingles) share a component, pairs just below (79 of 101) do not."""
+    monkeypatch.setattr(simhash, "SMALL", small)
+    texts = []
+    for k in range(120):
+        same = 84 if k < 60 else 83
+        head = [f"h{k}.{j}" for j in range(same)]
+        texts += [" ".join(head + [f"{side}{k}.{j}" for j in range(94 - same)]) for side in "ab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert [k for k in range(60) if got[2 * k + 1] != 2 * k] == []
+    assert [k for k in range(60, 120) if got[2 * k + 1] != 2 * k + 1] == []
+
+
 def test_odd_rows(spark, odd, none):
     report = simhash.simhash_report(odd)
     assert report.count() == odd.count()
