@@ -13,7 +13,8 @@ table gives a spanning forest, never all pairs. Components then come from the li
 stars, each round written to the checkpoint folder; nothing is collected.
 
 near_duplicates() links texts by similarity of their word shingles instead: keys are bands of a MinHash sketch, the
-pivot table and the sketch, with a wide margin, discard, and the shingle sets of every survivor are compared in full.
+sizes of the shingle sets and the sketch, with a wide margin, discard, and the sets of every survivor are compared in
+full, by the same rule whatever the size of a key. Fingerprints play no part there: they count repeats, the sets do not.
 
 Edge cases: a null text is empty; a text without words has fingerprint zero and is linked like any other; fewer
 words than a shingle are one shingle; repeated rows are one class; null ids belong to their class, whose id is the
@@ -46,8 +47,6 @@ SMALL, SHARD = 32, 1024
 SKETCH, BAND, SIMILARITY = 126, 4, 0.8
 #: The sketch only discards: pairs whose estimate is lower by more than seven of its deviations (0.0356) there.
 MARGIN = 0.25
-#: Bits in which 5-word fingerprints of texts of that similarity differ at most (mean 10, deviation 3).
-SIMILAR_RADIUS = 22
 
 
 def reference(k: int) -> int:
@@ -119,7 +118,7 @@ def block_masks() -> list[int]:
 
 
 def forest(values: np.ndarray, tables: np.ndarray, radius: int, alike) -> list[tuple[int, int]]:
-    """Links (parent, child) of a spanning forest: from node to node, the pivot table first, then alike(v, others)."""
+    """Links (parent, child) of a spanning forest: from node to node, the table first, then alike(v, others)."""
     left = np.arange(len(values))
     links, queue = [], []
     while len(left) or queue:
@@ -216,20 +215,20 @@ def multipliers() -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, body, fp, sketch (least values of the shingle hashes under SKETCH multiplications)."""
+    """doc_id, body, size (distinct shingles), sketch (least values of the shingle hashes under SKETCH multiplications)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = multipliers()
         for batch in batches:
-            fps, least = [], []
+            sizes, least = [], []
             for text in batch.column(2).to_pylist():
-                hashes = shingle_hashes(text, words)
-                fps.append(fingerprint(hashes))
+                hashes = np.unique(shingle_hashes(text, words))
+                sizes.append(len(hashes))
                 least.append([int((hashes * f >> np.uint64(33)).min()) for f in factors] if len(hashes) else [0] * SKETCH)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(least, pa.list_(pa.int32()))], ["doc_id", "body", "fp", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(least, pa.list_(pa.int32()))], ["doc_id", "body", "size", "sketch"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(common.whole(docs["text"])).alias("body"), docs["text"])
-    return rows.mapInArrow(run, "doc_id long, body long, fp long, sketch array<int>")
+    return rows.mapInArrow(run, "doc_id long, body long, size int, sketch array<int>")
 
 
 def similar(shared, size, other):
@@ -259,14 +258,15 @@ def similar_links(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     members = classes.select("body", F.explode(bands).alias("band"))
     sizes = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members = common.checkpointed(members.join(sizes, "band"))
-    values = classes.select(F.col("body").alias("of"), "fp", pivot_table(F.col("fp")).alias("table"), "sketch")
+    values = classes.select(F.col("body").alias("of"), "size", "sketch")
 
     few = members.where(F.col("n") <= SMALL).drop("n")
     other = few.select(F.col("band").alias("band_"), F.col("body").alias("b"))
     pairs = few.join(other, (F.col("band") == F.col("band_")) & (F.col("body") < F.col("b"))).select(F.col("body").alias("a"), "b").distinct()
     pairs = pairs.join(values, F.col("a") == F.col("of")).drop("of")
-    pairs = pairs.join(values.select("of", *(F.col(c).alias(f"{c}_") for c in ("fp", "table", "sketch"))), F.col("b") == F.col("of"))
-    near = within(F.col("table"), F.col("table_"), SIMILAR_RADIUS) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_"))) <= SIMILAR_RADIUS)
+    pairs = pairs.join(values.select("of", *(F.col(c).alias(f"{c}_") for c in ("size", "sketch"))), F.col("b") == F.col("of"))
+    # At best the smaller set lies in the other.
+    near = similar(F.least("size", "size_"), F.col("size"), F.col("size_"))
     equal = F.aggregate(F.zip_with("sketch", "sketch_", lambda x, y: (x == y).cast("int")), F.lit(0), lambda acc, x: acc + x)
     pairs = common.checkpointed(pairs.where(near).where(equal >= enough).select("a", "b"))
 
@@ -280,22 +280,23 @@ def similar_links(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("body")
-        bodies, fps = group["body"].to_numpy(), group["fp"].to_numpy().astype(np.uint64)
+        bodies, size = group["body"].to_numpy(), group["size"].to_numpy().astype(np.int64)
         sketch = np.array(group["sketch"].tolist(), np.int32).reshape(-1, SKETCH)
         shingles = group["shingles"].tolist()
 
         def alike(v: int, others: np.ndarray) -> np.ndarray:
-            found = (sketch[others] == sketch[v]).sum(axis=1) >= enough
+            found = similar(np.minimum(size[others], size[v]), size[others], size[v])
+            found[found] = (sketch[others[found]] == sketch[v]).sum(axis=1) >= enough
             for at in np.flatnonzero(found):
                 a, b = shingles[v], shingles[others[at]]
                 found[at] = similar(np.intersect1d(a, b, assume_unique=True).size, len(a), len(b))
             return found
 
-        found = np.array(forest(fps, _tables(fps), SIMILAR_RADIUS, alike), np.int64).reshape(-1, 2)
+        found = np.array(forest(bodies, np.zeros((len(bodies), 1)), 0, alike), np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": bodies[found[:, 0]], "b": bodies[found[:, 1]]})
 
     many = sharded(large, ["band"], sizes, "body")
-    many = many.join(values.drop("table").join(sets, "of"), F.col("body") == F.col("of")).drop("of")
+    many = many.join(values.join(sets, "of"), F.col("body") == F.col("of")).drop("of")
     walked = many.groupBy("band", "low", "high").applyInPandas(walk, "a long, b long")
     return links.unionByName(walked)
 
@@ -303,7 +304,7 @@ def similar_links(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     """doc_id, body, root, component_id of every document; texts of similarity SIMILARITY share a component."""
     rows = common.checkpointed(sketches(docs, words))
-    classes = common.checkpointed(rows.groupBy("body").agg(F.min("doc_id").alias("least_id"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")))
+    classes = common.checkpointed(rows.groupBy("body").agg(F.min("doc_id").alias("least_id"), F.first("size").alias("size"), F.first("sketch").alias("sketch")))
     roots = stars(similar_links(docs, classes, words))
     return _labelled(rows.select("doc_id", "body"), classes.select("body", "least_id"), "body", roots)
 

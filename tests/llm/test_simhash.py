@@ -134,6 +134,21 @@ def test_near_duplicates_are_exact(spark, monkeypatch, small):
     assert [k for k in range(60, 120) if got[2 * k + 1] != 2 * k + 1] == []
 
 
+@pytest.mark.parametrize("small", [32, 1])
+def test_near_duplicates_ignore_repeats(spark, monkeypatch, small):
+    """Equal shingle sets but for a few, one side repeating a passage many times: far apart in fingerprints, linked all the same."""
+    monkeypatch.setattr(simhash, "SMALL", small)
+    texts = []
+    for k in range(30):
+        head = [f"h{k}.{j}" for j in range(100)]
+        texts += [" ".join(head), " ".join(head + [f"h{k}.{j}" for j in range(10)] * 60)]
+    apart = [int(np.bitwise_count(np.uint64(a % 2**64 ^ b % 2**64))) for a, b in (([simhash.fingerprint(simhash.shingle_hashes(t, 5)) for t in texts[2 * k : 2 * k + 2]]) for k in range(30))]
+    assert max(apart) > 22
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert [k for k in range(30) if got[2 * k + 1] != 2 * k] == []
+
+
 def test_odd_rows(spark, odd, none):
     report = simhash.simhash_report(odd)
     assert report.count() == odd.count()
