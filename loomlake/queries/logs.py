@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from loomlake.operators import log as ops
 from loomlake.plans import fold
 from loomlake.registry import query
-from loomlake.sources.tables import LOG_SQL, event_log
+from loomlake.session import scratch
+from loomlake.sources.tables import LOG_SQL, event_log, table
 
 #: The user table that the fold queries derive from the log.
 USERS = fold.Table(
@@ -139,10 +140,26 @@ def fold_strict_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 min_by(amount, seq) FILTER (kind = 'purchase') AS first_purchase, CAST(sum(amount) FILTER (kind = 'purchase') AS BIGINT) AS spent, CAST(sum(1) FILTER (kind = 'error') AS BIGINT) AS errors
 FROM log WHERE kind IN ('view', 'click', 'purchase', 'error') GROUP BY entity""")
 def snapshot_plus_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State of the first half of the log merged with that of the rest; equals the fold of all."""
-    log = event_log(spark, sf_dir)
-    cut = 5000
-    return fold.finish(fold.merge(fold.state(log.where(F.col("seq") <= cut), USERS), fold.state(log.where(F.col("seq") > cut), USERS), USERS), USERS)
+    """Snapshots at each quarter of the log, all but the newest two pruned, and the state restored from them with the tail folded onto it."""
+    log, folder = event_log(spark, sf_dir), scratch(spark, "snapshots")
+    top = ops.head(log).first()["head"]
+    digest = ops.schema_digest({"t": USERS})
+    for quarter in (1, 2, 3):
+        cut = top * quarter // 4
+        ops.write_snapshot(ops.restored(spark, log, folder, USERS, cut), folder, digest, cut, keep=2)
+    return fold.finish(ops.restored(spark, log, folder, USERS, top), USERS)
+
+
+@query(f"""WITH {LOG_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY CAST(seq % 3 <> 0 AS INTEGER), md5(CAST(seq AS VARCHAR)), seq) AS n FROM log)
+SELECT n AS seq, device, kind, seq AS was, row_number() OVER (PARTITION BY device ORDER BY n) AS lamport FROM r""")
+def append_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches appended to a new log, every row with the next seq and its device's next counter; the second expects the first's head."""
+    path = scratch(spark, "log")
+    requests = event_log(spark, sf_dir).select("device", "kind", F.array().cast("array<string>").alias("refs"), "body", F.col("seq").alias("was"))
+    requests = requests.withColumn("at", F.struct(F.md5(F.col("was").cast("string")), "was"))
+    top = ops.append(spark, path, requests.where("was % 3 = 0"), "at", expected_head=0)
+    ops.append(spark, path, requests.where("was % 3 <> 0"), "at", expected_head=top)
+    return spark.read.parquet(path).select("seq", "device", "kind", "was", "lamport")
 
 
 @query(f"""WITH {LOG_SQL}, t AS (SELECT entity, CAST(sum(amount) AS BIGINT) AS spent FROM log WHERE kind = 'purchase' GROUP BY entity)
@@ -207,8 +224,24 @@ def run_guard_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("entity", "seq", problem.alias("problem")).where("problem IS NOT NULL")
 
 
-@query(f"""WITH {LOG_SQL}, d AS (SELECT seq, md5(CAST(entity AS VARCHAR) || kind || amount) AS h FROM log) SELECT count(*) AS n, count(DISTINCT h) AS distinct_rows, min(h) AS least, max(h) AS most FROM d""")
+_TAGGED = " || ';' || ".join(f"coalesce(CAST(length(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), 'null')" for c in ("amount", "device", "entity", "kind", "seq"))
+
+
+@query(f"""WITH {LOG_SQL}, d AS (SELECT CAST('0x' || substr(md5({_TAGGED}), 1, 15) AS BIGINT) AS h FROM log) SELECT count(*) AS n, bit_xor(h) AS mixed, CAST(sum(h & 1048575) AS BIGINT) AS added FROM d""")
 def table_digest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order-free digest of the log."""
-    h = F.md5(F.concat(F.col("entity").cast("string"), "kind", F.col("amount").cast("string")))
-    return event_log(spark, sf_dir).agg(F.count("*").alias("n"), F.count_distinct(h).alias("distinct_rows"), F.min(h).alias("least"), F.max(h).alias("most"))
+    return ops.table_digest(event_log(spark, sf_dir).select("seq", "device", "kind", "entity", "amount"))
+
+
+@query(f"""WITH {LOG_SQL}, t AS (SELECT entity, CAST(sum(amount) AS BIGINT) AS spent FROM log WHERE kind = 'purchase' GROUP BY entity), s AS (SELECT entity, spent + CASE WHEN entity % 10 = 0 THEN 1 ELSE 0 END AS spent FROM t WHERE entity % 11 <> 0 OR entity % 10 = 0),
+b AS (SELECT sha256(text) AS name, CASE WHEN doc_id % 50 = 0 THEN sha256(text || 'x') ELSE sha256(text) END AS found FROM documents)
+SELECT 'digest of a faithful table' AS item, (SELECT count(*) FROM t) AS seen, CAST(0 AS BIGINT) AS wrong UNION ALL SELECT 'digest of a changed table', (SELECT count(*) FROM s), 1
+UNION ALL SELECT 'rows changed', (SELECT count(*) FROM t), (SELECT count(*) FROM t WHERE entity % 10 = 0) UNION ALL SELECT 'rows missing', (SELECT count(*) FROM t), (SELECT count(*) FROM t WHERE entity % 10 <> 0 AND entity % 11 = 0)
+UNION ALL SELECT 'rows surplus', (SELECT count(*) FROM t), 0 UNION ALL SELECT 'blobs', (SELECT count(*) FROM b), (SELECT count(*) FROM b WHERE name <> found)""")
+def project_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What verifying a project composes: digests of stored tables against their re-derivation, the rows that differ, and a sweep of the blobs."""
+    derived = event_log(spark, sf_dir).where("kind = 'purchase'").groupBy("entity").agg(F.sum("amount").alias("spent"))
+    changed = derived.where("entity % 10 = 0 OR entity % 11 <> 0").withColumn("spent", F.when(F.col("entity") % 10 == 0, F.col("spent") + 1).otherwise(F.col("spent")))
+    d = table(spark, sf_dir, "documents")
+    blobs = d.select(F.sha2("text", 256).alias("name"), F.when(F.col("doc_id") % 50 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")).alias("content"))
+    return ops.verify_report({"faithful": (derived.repartition(3), derived), "changed": (changed, derived)}, ("changed", ["entity"]), blobs)

@@ -11,7 +11,7 @@ from loomlake import registry
 NAMED = {
     "capability.snapshot": "surface_capability_snapshot",
     "project.inspect": "inspect_summary",
-    "project.verify": "verify_mismatch",
+    "project.verify": "project_verify",
     "project.list": "surface_project_list",
     "job.list": "job_list_page",
     "cron.preview": "cron_preview",
