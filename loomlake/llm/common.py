@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomlake.session import checkpointed, sized  # noqa: F401
+
 #: The white space of the contracts: space and the controls 9 to 13.
 SPACE = r"\x20\x09-\x0D"
 #: A word by white space.
@@ -29,25 +29,3 @@ def whole(text: str | Column) -> Column:
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else; pure ASCII takes the fast path of lower()."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, its lineage cut; survives the loss of any executor.
-
-    The folder is the one named by spark.checkpoint.dir; only where none is set (tests on one machine)
-    is a temporary one made.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomlake-checkpoint-"))
-    return df.checkpoint()
-
-
-def sized(df: DataFrame, rows: int) -> DataFrame:
-    """df written out and counted: broadcast if it has at most so many rows, else left to be joined by a shuffle.
-
-    Without the hint the large side of the join, with its texts, would be shuffled before the small one is known to be small.
-    """
-    df = checkpointed(df)
-    return F.broadcast(df) if df.count() <= rows else df
