@@ -9,7 +9,7 @@ holds a third of all rows costs no more than its share: sizes are partially aggr
 
 Edge cases: null texts have size 0; null is a source of its own, ordered last; a source of size 0 has target 0
 and its documents are emitted 0 times; a null doc_id is hashed as the text "null"; rows that repeat a doc_id
-share its draw; an empty table gives an empty result; other columns are carried along untouched.
+share its draw; an empty table gives an empty result; other columns are carried along untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,6 +37,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap:
     that the others share is the largest of the levels left after each prefix.
     """
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    # Windows over one row per source; sources are named by people, and their number does not grow with the rows.
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     turn = (F.row_number().over(by_name) - 1) % len(weights)
     ranked = totals.select("source", "source_size", F.get(F.array(*map(F.lit, weights)), turn).cast("long").alias("weight"))
@@ -81,11 +82,11 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
-    """The mixture itself: each document's row as often as the plan says, numbered by mix_copy from 1."""
+    """The mixture itself: each document's row as often as the plan says, numbered by mix_copy from 1; a column of that name is replaced."""
     sizes = common.checkpointed(docs.select("doc_id", "source", words(F.col("text")).alias("size")))
-    rates = source_rates(sizes, weights, cap).select(*(F.col(c).alias(f"mix_{c}") for c in ("source", "whole", "fraction", "draw")))
-    rates = common.sized(rates, MAX_BROADCAST)
-    joined = docs.join(rates, docs["source"].eqNullSafe(F.col("mix_source")))
-    copies = F.col("mix_whole") + (F.get(draws(docs["doc_id"]), F.col("mix_draw")) < F.col("mix_fraction")).cast("long")
-    kept = joined.select(*(docs[c] for c in docs.columns), copies.alias("mix_copies")).where("mix_copies > 0")
-    return kept.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))).alias("mix_copy")).drop("mix_copies")
+    rates = common.sized(source_rates(sizes, weights, cap).select(F.col("source").alias("of"), "whole", "fraction", "draw"), MAX_BROADCAST)
+    # The row stands aside as one struct, so that no column of it can clash.
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns if c != "mix_copy")).alias("row"), docs["doc_id"].alias("id"), docs["source"].alias("own"))
+    copies = F.col("whole") + (F.get(draws(F.col("id")), F.col("draw")) < F.col("fraction")).cast("long")
+    kept = rows.join(rates, F.col("own").eqNullSafe(F.col("of"))).select("row", copies.alias("copies")).where("copies > 0")
+    return kept.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("mix_copy")).select("row.*", "mix_copy")

@@ -2,12 +2,13 @@
 
 Texts become 64-bit fingerprints; equal ones are one class. Of each class the Hamming distances to PIVOTS
 reference fingerprints are tabled. Two fingerprints within r bits of each other differ by at most r in every
-coordinate of that table, so pairs that differ by more in any are discarded, and survivors are verified bit by
-bit. In 64 bits a table alone leaves too many pairs to be a join key (distances to any reference crowd around 32),
-so pairs are formed under keys that lose none: the fingerprint is cut into BLOCKS stretches, and two that differ
-in at most BLOCKS - 2 bits agree in two whole stretches.
+coordinate of that table, so what differs by more in any is discarded before a pair is built, and the pairs that
+survive are verified bit by bit. In 64 bits a table is no join key (distances to any reference crowd around 32), so
+fingerprints meet under keys that lose none: the 64 bits are cut into stretches, and two fingerprints that
+differ in at most RADIUS bits agree in all stretches but RADIUS. The number of stretches follows the number of
+classes, so that by chance a key has about one member at any size.
 
-Keys with at most SMALL members are joined with themselves. Larger ones, which near copies in great number
+A key with at most SMALL members is one array, sifted by the table. Larger ones, which near copies in great number
 make, are dealt into shards; every pair of shards is one bounded group in which a walk over the pivot
 table gives a spanning forest, never all pairs. Components then come from the links by alternating large and small
 stars, each round written to the checkpoint folder; nothing is collected.
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
@@ -39,7 +40,8 @@ from . import common
 
 SEED = 42
 RADIUS = 3
-BLOCKS = 5
+#: Reference fingerprints; their distances are packed eight to a long.
+PIVOTS_N = 16
 #: Largest key that is joined with itself, and members of a shard of a larger one.
 SMALL, SHARD = 32, 1024
 #: The sketch of near_duplicates: values, values per band, and the similarity (of the shingle sets) that links.
@@ -54,7 +56,7 @@ def reference(k: int) -> int:
     return int.from_bytes(hashlib.sha256(b"pivot %d" % k).digest()[:8], "little")
 
 
-PIVOTS = [reference(k) for k in range(8)]
+PIVOTS = [reference(k) for k in range(PIVOTS_N)]
 
 
 def signed(x: int) -> int:
@@ -94,27 +96,35 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
 
 
 def pivot_table(fp: Column) -> Column:
-    """The distances to the reference fingerprints, eight bits each."""
-    table = F.lit(0).cast("long")
-    for k, p in enumerate(PIVOTS):
-        table = table.bitwiseOR(F.shiftleft(F.bit_count(fp.bitwiseXOR(F.lit(signed(p)))).cast("long"), 8 * k))
-    return table
+    """The distances to the reference fingerprints, eight bits each, eight to a long."""
+    longs = []
+    for at in range(0, len(PIVOTS), 8):
+        packed = F.lit(0).cast("long")
+        for k, p in enumerate(PIVOTS[at : at + 8]):
+            packed = packed.bitwiseOR(F.shiftleft(F.bit_count(fp.bitwiseXOR(F.lit(signed(p)))).cast("long"), 8 * k))
+        longs.append(packed.alias(f"t{at // 8}"))
+    return F.struct(*longs)
 
 
 def within(a: Column, b: Column, radius: int) -> Column:
     """Whether no coordinate of two pivot tables differs by more than radius."""
     ok = F.lit(True)
     for k in range(len(PIVOTS)):
-        coordinate = lambda t, k=k: F.shiftright(t, 8 * k).bitwiseAND(F.lit(255))
+        coordinate = lambda t, k=k: F.shiftright(t[f"t{k // 8}"], 8 * (k % 8)).bitwiseAND(F.lit(255))
         ok = ok & (F.abs(coordinate(a) - coordinate(b)) <= radius)
     return ok
 
 
-def block_masks() -> list[int]:
-    """Masks of every two of the BLOCKS stretches of 64 bits."""
-    ends = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
-    stretch = [(1 << ends[k + 1]) - (1 << ends[k]) for k in range(BLOCKS)]
-    return [signed(stretch[i] | stretch[j]) for i in range(BLOCKS) for j in range(i)]
+def stretches(classes: int) -> int:
+    """How many stretches to cut so that the bits of RADIUS fewer tell so many classes apart; seven of 64 bits are the most that is worth it."""
+    return next((m for m in (5, 6) if 64 * (m - RADIUS) // m >= classes.bit_length()), 7)
+
+
+def key_masks(n: int) -> list[int]:
+    """Masks of all but RADIUS of n stretches of 64 bits."""
+    ends = [64 * k // n for k in range(n + 1)]
+    stretch = [(1 << ends[k + 1]) - (1 << ends[k]) for k in range(n)]
+    return [signed(sum(stretch[k] for k in kept)) for kept in combinations(range(n), n - RADIUS)]
 
 
 def forest(values: np.ndarray, tables: np.ndarray, radius: int, alike) -> list[tuple[int, int]]:
@@ -149,16 +159,16 @@ def sharded(members: DataFrame, key: list[str], sizes: DataFrame, node: str) ->
 
 def hamming_links(classes: DataFrame) -> DataFrame:
     """a, b: links between fingerprints (column fp, distinct) that differ in at most RADIUS bits; enough of them to connect what all would."""
-    masks = block_masks()
+    masks = key_masks(stretches(classes.count()))
     keyed = F.array(*(F.struct(F.lit(k).cast("byte").alias("part"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(masks)))
     members = classes.select("fp", F.inline(keyed))
     sizes = members.groupBy("part", "bits").agg(F.count("*").alias("n")).where("n > 1")
-    members = common.checkpointed(members.join(sizes, ["part", "bits"]).select("part", "bits", "fp", "n", pivot_table(F.col("fp")).alias("table")))
-    few = members.where(F.col("n") <= SMALL).drop("n")
-    other = few.select(F.col("part").alias("part_"), F.col("bits").alias("bits_"), F.col("fp").alias("b"), F.col("table").alias("table_"))
-    apart = F.col("fp").bitwiseXOR(F.col("b"))
-    close = within(F.col("table"), F.col("table_"), RADIUS) & (F.bit_count(apart) <= RADIUS)
-    links = few.join(other, (F.col("part") == F.col("part_")) & (F.col("bits") == F.col("bits_")) & (F.col("fp") < F.col("b")) & close).select(F.col("fp").alias("a"), "b")
+    members = common.checkpointed(members.join(sizes, ["part", "bits"]).select("part", "bits", "fp", "n"))
+    few = members.where(F.col("n") <= SMALL).groupBy("part", "bits").agg(F.collect_list(F.struct("fp", pivot_table(F.col("fp")).alias("table"))).alias("own"))
+    later = lambda i: F.slice("own", i + 2, F.size("own"))
+    sifted = lambda x, i: F.transform(F.filter(later(i), lambda y: within(x["table"], y["table"], RADIUS)), lambda y: F.struct(x["fp"].alias("a"), y["fp"].alias("b")))
+    pairs = few.select(F.inline(F.flatten(F.transform("own", sifted))))
+    links = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         fps = np.unique(group["fp"].to_numpy().astype(np.uint64))
@@ -311,9 +321,11 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     """docs with one document of each component: the smallest doc_id, of equal rows any one."""
-    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("dup_doc_id"), F.col("body").alias("dup_body"))
-    kept = near_duplicates(docs, words).groupBy("root").agg(F.min(first).alias("first")).select("first.dup_doc_id", "first.dup_body")
-    joined = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("dup_doc_id")) & (F.xxhash64(common.whole(docs["text"])) == F.col("dup_body")))
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("kept_id"), F.col("body").alias("kept_body"))
+    kept = near_duplicates(docs, words).groupBy("root").agg(F.min(first).alias("first")).select("first.kept_id", "first.kept_body")
+    # The row stands aside as one struct, so that no column of it can clash.
+    rows = docs.select(F.struct("*").alias("row"), docs["doc_id"].cast("long").alias("id"), F.xxhash64(common.whole(docs["text"])).alias("body"))
+    joined = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("body") == F.col("kept_body")))
     # Rows that repeat id and text: one stays.
-    turn = Window.partitionBy("dup_doc_id", "dup_body").orderBy("dup_body")
-    return joined.withColumn("dup_turn", F.row_number().over(turn)).where("dup_turn = 1").select(*(docs[c] for c in docs.columns))
+    turn = Window.partitionBy("kept_id", "kept_body").orderBy("kept_body")
+    return joined.withColumn("turn", F.row_number().over(turn)).where("turn = 1").select("row.*")

@@ -55,3 +55,13 @@ def test_odd_rows(spark, odd, none):
     assert mixing.mix_plan(odd).count() == odd.count() and mixing.mix_plan(none).count() == 0
     assert mixing.mix(none).count() == 0
     assert mixing.mix(odd).columns == [*odd.columns, "mix_copy"]
+
+
+def test_clashing_names_and_a_mixture_mixed_again(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(k, "ab"[k % 2], "x y z") for k in range(20)], "doc_id long, source string, text string").withColumns({c: F.lit(c) for c in ("mix_source", "of", "own", "row", "id", "whole", "fraction", "draw", "copies", "size", "u")})
+    once = mixing.mix(docs)
+    assert once.columns == [*docs.columns, "mix_copy"]
+    again = mixing.mix(once)
+    assert again.columns == once.columns and again.count() > 0

@@ -2,7 +2,6 @@ import random
 import re
 
 import numpy as np
-import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -51,9 +50,10 @@ def test_fingerprints_and_components(spark):
     assert [got[k].component_id for k in range(len(texts))] == brute_components(fps, list(range(len(texts))))
 
 
-@pytest.mark.parametrize("small,shard", [(32, 1024), (2, 4)])
-def test_links_connect_what_brute_force_connects(spark, monkeypatch, small, shard):
+@pytest.mark.parametrize("small,shard,cut", [(32, 1024, 5), (2, 4, 5), (32, 1024, 7)])
+def test_links_connect_what_brute_force_connects(spark, monkeypatch, small, shard, cut):
     """Random fingerprints with chains and dense balls, with buckets small and sharded."""
+    monkeypatch.setattr(simhash, "stretches", lambda n: cut)
     monkeypatch.setattr(simhash, "SMALL", small)
     monkeypatch.setattr(simhash, "SHARD", shard)
     rng = random.Random(5)
@@ -74,7 +74,7 @@ def test_links_connect_what_brute_force_connects(spark, monkeypatch, small, shar
     assert len(set(zip(ours, theirs, strict=True))) == len(set(ours)) == len(set(theirs))
 
 
-def test_pivot_tables_never_discard_a_link(spark):
+def test_pivot_tables_never_discard_a_link_and_discard_nearly_all_else(spark):
     rng = random.Random(7)
     for _ in range(200):
         a = rng.getrandbits(64)
@@ -84,7 +84,24 @@ def test_pivot_tables_never_discard_a_link(spark):
         t = simhash._tables(np.array([a, b], np.uint64))
         assert np.abs(t[0] - t[1]).max() <= 3
     row = spark.createDataFrame([(simhash.signed(a),)], "fp long").select(simhash.pivot_table(F.col("fp"))).first()[0]
-    assert [(row >> 8 * k) & 255 for k in range(len(simhash.PIVOTS))] == t[0].tolist()
+    assert [(row[k // 8] >> 8 * (k % 8)) & 255 for k in range(len(simhash.PIVOTS))] == t[0].tolist()
+    # Pairs that share the bits of a key, as all that meet do.
+    draw = np.random.default_rng(1).integers(0, 1 << 64, (2, 100_000), np.uint64)
+    mask = np.uint64(simhash.key_masks(5)[0] % 2**64)
+    x, y = draw[0], draw[1] & ~mask | draw[0] & mask
+    kept = np.abs(simhash._tables(x) - simhash._tables(y)).max(axis=1) <= simhash.RADIUS
+    assert kept.mean() < 0.002
+
+
+def test_keys_lose_no_pair():
+    """Whatever three bits differ, two fingerprints agree under some key, at every number of stretches."""
+    rng = random.Random(9)
+    assert [simhash.stretches(n) for n in (1, 10**6, 10**8, 10**9, 10**12)] == [5, 5, 6, 6, 7]
+    for n in (5, 6, 7):
+        masks = [m % 2**64 for m in simhash.key_masks(n)]
+        for _ in range(3000):
+            flips = sum(1 << b for b in rng.sample(range(64), 3))
+            assert any(flips & m == 0 for m in masks)
 
 
 def test_stars(spark):
@@ -161,7 +178,8 @@ def test_odd_rows(spark, odd, none):
     assert simhash.drop_near_duplicates(none).count() == 0
 
 
-def test_group_functions_take_repeats():
-    fps = np.array([1, 1, 3], np.uint64)
-    frame = pd.DataFrame({"fp": fps.astype(np.int64)})
-    assert len(np.unique(frame["fp"])) == 2
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "another text of its own")], "doc_id long, text string").withColumns({c: F.lit(c) for c in ("dup_doc_id", "kept_id", "kept_body", "body", "id", "row", "turn", "root", "node", "of", "fp", "sketch")})
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+    assert simhash.simhash_report(docs).count() == 3
