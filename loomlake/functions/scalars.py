@@ -78,3 +78,17 @@ def media_of(head: Column) -> Column:
         .when(head.rlike(r"[\x00-\x08\x0E-\x1A]"), "opaque")
         .otherwise("text")
     )
+
+
+def running_sums(widths: Column, block: int = 128) -> Column:
+    """For an array of longs, what lies before each element. In blocks, so that a long array costs little more than in proportion."""
+    empty = F.array().cast("array<bigint>")
+
+    def inside(part: Column) -> Column:
+        return F.aggregate(part, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")), lambda acc, w: F.struct((acc["at"] + w).cast("long").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+    firsts = F.sequence(F.lit(0), F.floor((F.size(widths) - 1) / block).cast("int"))
+    blocks = F.transform(firsts, lambda b: inside(F.slice(widths, b * block + 1, F.lit(block))))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<array<bigint>>").alias("out"))
+    step = lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(F.transform(x["out"], lambda s: s + acc["at"]))).alias("out"))
+    return F.when(F.size(widths) > 0, F.flatten(F.aggregate(blocks, zero, step, lambda acc: acc["out"]))).otherwise(empty)
