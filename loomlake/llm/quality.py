@@ -9,8 +9,8 @@ ids; nothing else is bounded. Only the ids of that sample are broadcast (8 bytes
 whose crc32(doc_id as text) mod 3 is 1 are never learnt from. Labels, lang, source and doc_id are no inputs.
 
 Edge cases: a null text is empty and is scored like any other; very long texts are measured whole; null labels
-are not learnt from, of repeated labels the worst counts; rows that repeat a doc_id are scored each; a null
-doc_id is not held out; without labels every score is one half, with labels of one kind it is their smoothed
+are not learnt from, of repeated labels the worst counts; rows that repeat a doc_id are scored each, and the one
+with the smallest hash of its text is learnt from; a null doc_id is not held out; without labels every score is one half, with labels of one kind it is their smoothed
 share; an empty table gives an empty result; other columns are kept by filter_quality and ignored by score_quality.
 """
 
@@ -111,8 +111,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).withColumnRenamed("doc_id", "known_id")
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("known_id"))
     chosen = with_features(texts).join(F.broadcast(sample), F.col("doc_id") == F.col("known_id"))
-    # One partition in a fixed order, so that the fit is the same in every run; its size is bounded by rows.
-    return common.checkpointed(chosen.select("doc_id", "body", "label", *FEATURES).limit(4 * rows).repartition(1).sortWithinPartitions("doc_id", "body"))
+    # Of rows that repeat an id one is learnt from, so that no more than so many rows are, and the same in every run.
+    chosen = chosen.groupBy("doc_id", "label").agg(F.min(F.struct("body", *FEATURES)).alias("row")).select("doc_id", "label", "row.*")
+    # One partition in a fixed order, so that the fit is the same; its size is bounded by rows.
+    return common.checkpointed(chosen.repartition(1).sortWithinPartitions("doc_id"))
 
 
 def fit_rules(train: DataFrame) -> tuple[float, list[tuple[Rule, float]]]:

@@ -41,3 +41,44 @@ def test_odd_rows(spark, odd, none, labels):
     assert {r.score for r in unlabelled} == {0.5}
     kept = quality.filter_quality(odd, labels)
     assert kept.columns == odd.columns
+
+
+def plain_features(text):
+    """The measures of a text, taken in plain Python."""
+    import math
+    import re
+
+    text = text or ""
+    count = lambda chars: sum(c in chars for c in text)
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    chars, n, lines = len(text), len(words), text.count("\n") + 1
+    share = lambda x: x / max(chars, 1)
+    letters, figures = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    return {
+        "log_chars": math.log1p(chars), "log_words": math.log1p(n), "beyond_ascii": share(len(text.encode()) - chars), "upper_share": share(count(letters)), "digit_share": share(count(figures)),
+        "mark_share": share(count(".,;:'\"()-")), "symbol_share": share(count("#%*&$@^~=+<>\\/|_{}[]")), "shout_share": share(count("!?")), "line_words": n / max(lines, 1), "word_chars": chars / max(n, 1),
+        "distinct_share": len(set(words)) / max(n, 1), "repeats": math.log1p(n - len(set(words))),
+    }
+
+
+def test_compiled_rules_equal_a_plain_evaluation(spark):
+    import math
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
+    intercept, rules = quality.fit_rules(quality.training_rows(docs, labels))
+    assert rules and any(len(r) > 1 for r, _ in rules)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in quality.score_quality(docs, labels).collect():
+        x = plain_features(texts[r.doc_id])
+        held = lambda rule: all(x[f] <= v if side == "<=" else x[f] > v for f, side, v in rule)  # noqa: B023, E731
+        total = intercept + sum(w for rule, w in rules if held(rule))
+        assert abs(r.score - 1 / (1 + math.exp(-total))) < 1e-9
+
+
+def test_rows_that_repeat_an_id_are_learnt_from_once(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(2000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality.training_rows(docs, labels).count() == 1
