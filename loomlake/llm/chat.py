@@ -3,8 +3,10 @@
 A conversation is rendered as a sequence of turns, each `<|im_start|>role`, a line end, the text and `<|im_end|>`
 with a line end. A deterministic parser reads the rendered text back. Turns are first rendered as they are; where
 the recovered turn differs from its source, its control strings are escaped (one backslash more between `<` and
-`|`), which the parser undoes, and the round trip is taken again. Escaping once always suffices: an escaped
-text has no `<|`, and removing one backslash from every `<\\...|` gives the source back.
+`|`), which the parser undoes, and the round trip is taken again; a turn that still differs is an error. Escaping once
+always suffices: an escaped text has no `<|`, and removing one backslash from every `<\\...|` gives the source back.
+The joined conversation is parsed again and compared with all its turns; if it differs, every turn is
+escaped, and the comparison is made once more.
 
 Turns are tried on their own before they are gathered, so what is gathered per conversation is its own turns and
 nothing else; a conversation is one output row.
@@ -19,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomlake.functions.scalars import running_sums
+
 START, END = "<|im_start|>", "<|im_end|>"
 #: What the template would misread: `<`, any backslashes, `|`.
 CONTROL, ESCAPED = r"<(\\*)\|", r"<\\(\\*)\|"
@@ -63,30 +67,42 @@ def with_probe(conversations: DataFrame) -> DataFrame:
     return own.unionByName(probe)
 
 
+def identical(rendered: Column, role: Column, text: Column) -> Column:
+    """Whether a rendered turn is read back as exactly this one turn."""
+    read = parse(rendered)
+    return (F.size(read) == 1) & (F.get(read, 0)["text"] == text) & (F.get(read, 0)["role"] == role)
+
+
 def format_chats(conversations: DataFrame) -> DataFrame:
     """conv_id, formatted: each conversation rendered so that the parser gives back its very turns."""
-    turns = conversations.withColumn("plain", render(escape_role(F.col("role")), F.col("text")))
-    # The round trip of a turn: exactly itself must come back, else its text is escaped.
-    recovered = parse(F.col("plain"))
-    turns = turns.withColumn("recovered", F.when(F.contains("text", F.lit("<")), recovered))
-    same = F.col("recovered").isNull() | ((F.size("recovered") == 1) & (F.get("recovered", 0)["text"] == F.col("text")) & (F.get("recovered", 0)["role"] == F.col("role")))
-    turns = turns.select("conv_id", "turn", "role", "text", F.when(same, F.col("plain")).otherwise(render(escape_role(F.col("role")), escape(F.col("text")))).alias("rendered"))
+    role, text = F.col("role"), F.col("text")
+    turns = conversations.withColumn("plain", render(escape_role(role), text))
+    # Without a `<` in text or role, nothing can be misread.
+    free = ~F.contains(text, F.lit("<")) & ~F.contains(role, F.lit("<"))
+    escaped = render(escape_role(role), escape(text))
+    checked = F.when(identical(escaped, role, text), escaped).otherwise(F.raise_error(F.lit("a turn that does not come back")))
+    turns = turns.select("conv_id", "turn", "role", "text", F.when(free | identical(F.col("plain"), role, text), F.col("plain")).otherwise(checked).alias("rendered"))
     ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text", "rendered")), lambda a, b: F.when(a["turn"].eqNullSafe(b["turn"]), F.when((a["role"] == b["role"]) & (a["text"] == b["text"]), 0).when((a["role"] < b["role"]) | ((a["role"] == b["role"]) & (a["text"] < b["text"])), -1).otherwise(1)).when(a["turn"].isNull() | (a["turn"] < b["turn"]), -1).otherwise(1))
-    return turns.groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda t: t["rendered"]), "").alias("formatted"))
+    chats = turns.groupBy("conv_id").agg(ordered.alias("source")).select("conv_id", "source", F.array_join(F.transform("source", lambda t: t["rendered"]), "").alias("formatted"))
+    said = lambda turns: F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    same = lambda formatted: said(parse(formatted)) == said(F.col("source"))
+    full = F.array_join(F.transform("source", lambda t: render(escape_role(t["role"]), escape(t["text"]))), "")
+    again = F.when(same(full), full).otherwise(F.raise_error(F.lit("a conversation that does not come back")))
+    return chats.select("conv_id", F.when(same(F.col("formatted")), F.col("formatted")).otherwise(again).alias("formatted"))
 
 
-def loss_spans(formatted: Column) -> Column:
-    """Where the loss applies: start and length, in code points, of every assistant content of a formatted text."""
-    widths = F.transform(parse(formatted), lambda t: F.struct((t["role"] == "assistant").alias("on"), (F.lit(len(START) + 1) + F.length(escape_role(t["role"]))).alias("before"), F.length(t["content"]).alias("own")))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("out"))
-    add = lambda acc, t: F.struct((acc["at"] + t["before"] + t["own"] + len(END) + 1).alias("at"), F.when(t["on"], F.concat(acc["out"], F.array(F.struct((acc["at"] + t["before"]).alias("start"), t["own"].alias("length"))))).otherwise(acc["out"]).alias("out"))
-    return F.aggregate(widths, state, add, lambda acc: acc["out"])
+def loss_spans(turns: Column) -> Column:
+    """Where the loss applies: start and length, in code points, of every assistant content, given the parsed turns of a formatted text."""
+    widths = F.transform(turns, lambda t: F.struct((t["role"] == "assistant").alias("on"), (F.lit(len(START) + 1) + F.length(escape_role(t["role"]))).alias("before"), F.length(t["content"]).alias("own")))
+    starts = running_sums(F.transform(widths, lambda w: (w["before"] + w["own"] + len(END) + 1).cast("long")))
+    placed = F.zip_with(widths, starts, lambda w, s: F.struct(w["on"].alias("on"), (s + w["before"]).cast("int").alias("start"), w["own"].alias("length")))
+    return F.filter(placed, lambda x: x["on"])
 
 
 def chat_report(conversations: DataFrame) -> DataFrame:
     """The contract's columns, read back from the formatted text."""
     chats = format_chats(with_probe(conversations))
-    chats = chats.withColumns({"turns": parse(F.col("formatted")), "spans": loss_spans(F.col("formatted"))})
+    chats = chats.withColumn("turns", parse(F.col("formatted"))).withColumn("spans", loss_spans(F.col("turns")))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     learned = F.array_join(F.transform("spans", lambda s: unescape(F.substr(F.col("formatted"), s["start"] + 1, s["length"]))), "")
     chats = chats.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), learned.alias("learned"), F.char_length("formatted").cast("long").alias("formatted_chars"))
