@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import common
 
 PHRASES = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
-#: Label and wording of the templates; fixed values.
+#: Label and wording of the templates, notices first, then whole texts; fixed values.
 TEMPLATES = (
     ("mit-notice", "[[released]] [[licensed]] under the [[terms of the]] mit license"),
     ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in the software without restriction"),
@@ -35,6 +35,57 @@ TEMPLATES = (
     ("bsd-text", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("mpl-notice", "subject to the terms of the mozilla public license {{0-1}} 2 0"),
     ("rights-reserved", "[[copyright {{0-8}}]] all rights reserved"),
+    (
+        "mit-whole",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in the software without restriction"
+        " including without limitation the rights to use copy modify merge publish distribute [[distribute with modifications]] sublicense and or sell copies of the software"
+        " and to permit persons to whom the software is furnished to do so subject to the following conditions"
+        " the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software"
+        " the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"
+        " in no event shall [[the]] {{1-8}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise"
+        " arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
+    (
+        "isc-whole",
+        "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted"
+        " provided that the above copyright notice and this permission notice appear in all copies"
+        " the software is provided as is and {{1-6}} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"
+        " in no event shall {{1-6}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits"
+        " whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    ),
+    (
+        "bsd-whole",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+        " [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+        " [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+        " [[3]] [[neither the name of {{1-12}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission]]"
+        " this software is provided by {{1-8}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"
+        " in no event shall {{1-10}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services"
+        " loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise"
+        " arising in any way out of the use of this software even if advised of the possibility of such damage",
+    ),
+    (
+        "apache-header",
+        "licensed under the apache license version 2 0 [[the license]] you may not use this file except in compliance with the license you may obtain a copy of the license at {{1-12}}"
+        " unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"
+        " see the license for the specific language governing permissions and limitations under the license",
+    ),
+    (
+        "gpl-header",
+        "{{1-4}} is free software you can redistribute it and or modify it under the terms of the gnu [[lesser]] [[affero]] general public license as published by the free software foundation"
+        " either version {{1-2}} of the license or [[at your option]] any later version"
+        " {{1-4}} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"
+        " see the gnu [[lesser]] [[affero]] general public license for more details",
+    ),
+    (
+        "zlib-whole",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"
+        " permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"
+        " [[1]] the origin of this software must not be misrepresented you must not claim that you wrote the original software"
+        " if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required"
+        " [[2]] altered source versions must be plainly marked as such and must not be misrepresented as being the original software"
+        " [[3]] this notice may not be removed or altered from any source distribution",
+    ),
 )
 #: A word of the contract, upper case still in the text.
 TOKEN = rf"[^{common.NOT_WORD}]+"
