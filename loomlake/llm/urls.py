@@ -2,12 +2,17 @@
 
 Fixed host and path rules come first. Every other url is judged by the template of its path: per host, segments
 that vary by digits are generalised, then segments whose parent has too many different children become
-wildcards, level by level; sibling templates whose labelled shares do not differ significantly are merged; a
-template is rejected if its share of bad pages, smoothed towards that of all labelled pages, exceeds one half.
+wildcards, level by level over the whole path; sibling templates are merged into branches where their labelled
+shares do not differ significantly, each tested against all that its branch holds so far, in the order of their
+shares; a template is rejected if its branch's share of bad pages, smoothed towards that of all labelled pages,
+exceeds one half. A template without labelled pages joins no branch: it takes the share of all its siblings.
 
 Pages are first counted per host and path shape (partial sums before the shuffle), so a host with a third of all
-pages is a handful of rows from there on. Siblings that are merged are at most MAX_CHILDREN by construction.
-The verdicts join back on host and shape, a join that can be split where one host dominates.
+pages is a handful of rows from there on. The tree is grown by as many steps as the deepest path has levels, at most
+DEPTH; what lies deeper stays one last segment, in full. Siblings that are merged are at most twice MAX_CHILDREN by
+construction. The verdicts join back on host and shape, a join that can be split where one host dominates.
+
+DEPTH, MAX_CHILDREN and LONG are parameters of the tree, alike for every host and size.
 
 Edge cases: a url that is null or has no "://" has an empty host and an empty path, and is judged by that
 template; labels that are null count as good, ids without a label as unlabelled; of repeated label rows the
@@ -17,15 +22,15 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 #: verdict, host, path; the longest that fits wins.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Levels of the tree; what lies deeper is one wildcard.
-DEPTH = 3
+#: Levels of the tree; the segments below are one last segment.
+DEPTH = 8
 #: A parent with more different children than this has one wildcard child.
 MAX_CHILDREN = 24
 #: Segments longer than this are variable.
@@ -53,12 +58,13 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, C
     return F.coalesce(*texts), F.coalesce(*verdicts)
 
 
-def shape(path: Column) -> list[Column]:
-    """The path's first DEPTH segments (null where there are fewer), digits generalised, and a mark for what follows."""
+def shape(path: Column) -> tuple[Column, Column]:
+    """The path's segments, digits and long ones generalised and those beyond DEPTH as one, and whether it ends in a slash."""
     segments = F.filter(F.split(path, "/", -1), lambda s: s != "")
     general = F.transform(segments, lambda s: F.when(F.length(s) > LONG, "*").otherwise(F.regexp_replace(s, "[0-9]+", "*")))
-    tail = F.when(F.size(segments) > DEPTH, "/**").when(F.endswith(path, F.lit("/")), "/").otherwise("")
-    return [*(F.get(general, k).alias(f"s{k}") for k in range(DEPTH)), tail.alias("tail")]
+    deep = F.array_join(F.slice(general, F.lit(DEPTH + 1), F.greatest(F.size(general) - DEPTH, F.lit(0))), "/")
+    cut = F.when(F.size(general) > DEPTH, F.concat(F.slice(general, 1, DEPTH), F.array(deep))).otherwise(general)
+    return cut.alias("steps"), F.when(F.endswith(path, F.lit("/")), "/").otherwise("").alias("tail")
 
 
 def page_labels(labels: DataFrame) -> DataFrame:
@@ -67,36 +73,60 @@ def page_labels(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("of")).agg(F.max(bad).alias("bad"))
 
 
+def below(steps: Column, k) -> Column:
+    """The path of the first k steps."""
+    return F.array_join(F.transform(F.slice(steps, F.lit(1), F.lit(k) if isinstance(k, int) else k), lambda s: F.concat(F.lit("/"), s)), "")
+
+
+def apart(n: Column, b: Column, n0: Column, b0: Column) -> Column:
+    """Whether the shares b of n and b0 of n0 differ significantly."""
+    return (b * n0 - b0 * n) * (b * n0 - b0 * n) * (n + n0) > DEVIATIONS * DEVIATIONS * (b + b0) * (n + n0 - b - b0) * n * n0
+
+
+def branches(leaves: Column) -> Column:
+    """leaf and branch of each labelled leaf, in the order of their shares; a leaf opens a branch if it stands apart from all of the last one."""
+    kind = "array<struct<leaf:string,branch:int>>"
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("b"), F.lit(0).alias("branch"), F.array().cast(kind).alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        new = (acc["n"] > 0) & apart(x["n"], x["b"], acc["n"], acc["b"])
+        branch = acc["branch"] + new.cast("int")
+        out = F.concat(acc["out"], F.array(F.struct(x["leaf"].alias("leaf"), branch.alias("branch"))))
+        return F.struct(F.when(new, x["n"]).otherwise(acc["n"] + x["n"]).alias("n"), F.when(new, x["b"]).otherwise(acc["b"] + x["b"]).alias("b"), branch.alias("branch"), out.alias("out"))
+
+    return F.aggregate(leaves, zero, step, lambda acc: acc["out"])
+
+
 def judge_templates(shapes: DataFrame) -> DataFrame:
-    """(host, s0.., tail, bad) rows, bad null where unlabelled, to one row per host and shape: its template and whether it is rejected."""
-    levels = [f"s{k}" for k in range(DEPTH)]
-    tree = shapes.groupBy("host", *levels, "tail").agg(F.count("bad").alias("seen"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    tree = tree.withColumns({f"t{k}": F.col(f"s{k}") for k in range(DEPTH)})
-    for k in range(DEPTH):
-        parent = ["host", *(f"t{j}" for j in range(k))]
-        crowded = tree.where(F.col(f"t{k}").isNotNull()).select(*parent, f"t{k}").distinct().groupBy(*parent).count().where(F.col("count") > MAX_CHILDREN)
-        crowded = crowded.select(*(F.col(c).alias(f"{c}_") for c in parent), F.lit(True).alias("crowded"))
-        same = F.lit(True)
-        for c in parent:
-            same = same & F.col(c).eqNullSafe(F.col(f"{c}_"))
-        tree = tree.join(crowded, same, "left").withColumn(f"t{k}", F.when(F.col("crowded") & F.col(f"t{k}").isNotNull(), "*").otherwise(F.col(f"t{k}"))).drop("crowded", *(f"{c}_" for c in parent))
-    steps = F.array_compact(F.array(*(F.col(f"t{k}") for k in range(DEPTH))))
-    tree = tree.withColumn("parent", F.concat_ws("/", F.lit(""), F.slice(steps, F.lit(1), F.greatest(F.size(steps) - 1, F.lit(0)))))
-    tree = tree.withColumn("leaf", F.concat(F.coalesce(F.get(steps, F.size(steps) - 1), F.lit("")), F.col("tail")))
-    templates = tree.groupBy("host", "parent", "leaf").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad"))
-
-    siblings = Window.partitionBy("host", "parent").orderBy("share", "leaf")
-    n, b = F.col("seen").cast("double"), F.col("bad").cast("double")
-    n0, b0 = F.lag(n).over(siblings), F.lag(b).over(siblings)
-    apart = (b * n0 - b0 * n) * (b * n0 - b0 * n) * (n + n0) > DEVIATIONS * DEVIATIONS * (b + b0) * (n + n0 - b - b0) * n * n0
-    templates = templates.withColumn("share", F.when(n > 0, b / n).otherwise(0.0)).withColumn("apart", F.coalesce(apart, F.lit(False)).cast("int"))
-    templates = templates.withColumn("branch", F.sum("apart").over(siblings.rowsBetween(Window.unboundedPreceding, 0)))
-    overall = templates.agg(F.sum("seen").cast("double").alias("all_seen"), F.sum("bad").cast("double").alias("all_bad"))
-    branches = templates.groupBy("host", "parent", "branch").agg(F.sum("seen").cast("double").alias("n"), F.sum("bad").cast("double").alias("b"))
-    prior = F.when(F.col("all_seen") > 0, F.col("all_bad") / F.col("all_seen")).otherwise(0.0)
-    branches = branches.join(F.broadcast(overall)).withColumn("purity", (F.col("b") + STRENGTH * prior) / (F.col("n") + STRENGTH)).select("host", "parent", "branch", "purity")
-    templates = templates.join(branches, ["host", "parent", "branch"]).select("host", "parent", "leaf", "purity")
-    return tree.join(templates, ["host", "parent", "leaf"]).select("host", *levels, "tail", F.concat("parent", F.lit("/"), "leaf").alias("template"), "purity")
+    """(host, steps, tail, bad) rows, bad null where unlabelled, to one row per host and shape: its template and purity."""
+    tree = shapes.groupBy("host", "steps", "tail").agg(F.count("bad").alias("seen"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    tree = common.checkpointed(tree.withColumn("t", F.col("steps")))
+    levels = tree.agg(F.coalesce(F.max(F.size("steps")), F.lit(0))).first()[0]
+    for k in range(min(levels, DEPTH + 1)):
+        parent = below(F.col("t"), k)
+        crowded = tree.where(F.size("t") > k).select("host", parent.alias("parent"), F.get("t", F.lit(k)).alias("child")).distinct().groupBy("host", "parent").count()
+        crowded = crowded.where(F.col("count") > MAX_CHILDREN).select(F.col("host").alias("host_"), F.col("parent").alias("parent_"))
+        joined = tree.join(crowded, (F.col("host") == F.col("host_")) & (parent == F.col("parent_")), "left")
+        wild = F.transform("t", lambda s, i: F.when(i == F.lit(k), "*").otherwise(s))  # noqa: B023
+        general = F.when(F.col("host_").isNotNull(), wild).otherwise(F.col("t"))
+        # Written out at each level, as the next one reads it twice.
+        tree = common.checkpointed(joined.select("host", "steps", "tail", "seen", "bad", general.alias("t")))
+    depth = F.greatest(F.size("t") - 1, F.lit(0))
+    tree = tree.select("host", "steps", "tail", "seen", "bad", below(F.col("t"), depth).alias("parent"), F.concat(F.coalesce(F.get("t", depth), F.lit("")), "tail").alias("leaf"))
+    tree = common.checkpointed(tree)
+    templates = tree.groupBy("host", "parent", "leaf").agg(F.sum("seen").cast("double").alias("n"), F.sum("bad").cast("double").alias("b"))
+    overall = templates.agg(F.sum("n").alias("all_n"), F.sum("b").alias("all_b")).select(F.when(F.col("all_n") > 0, F.col("all_b") / F.col("all_n")).otherwise(0.0).alias("prior"))
+
+    share = F.when(F.col("n") > 0, F.col("b") / F.col("n")).otherwise(0.0)
+    siblings = templates.groupBy("host", "parent").agg(F.array_sort(F.collect_list(F.struct(share.alias("share"), "leaf", "n", "b"))).alias("leaves"), F.sum("n").alias("parent_n"), F.sum("b").alias("parent_b"))
+    placed = siblings.select("host", "parent", F.inline(branches(F.filter("leaves", lambda x: x["n"] > 0))))
+    own = templates.join(placed, ["host", "parent", "leaf"])
+    totals = own.groupBy("host", "parent", "branch").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+    known = own.select("host", "parent", "leaf", "branch").join(totals, ["host", "parent", "branch"]).select("host", "parent", "leaf", "n", "b")
+    alone = templates.where("n = 0").join(siblings, ["host", "parent"]).select("host", "parent", "leaf", F.col("parent_n").alias("n"), F.col("parent_b").alias("b"))
+    judged = known.unionByName(alone).join(F.broadcast(overall))  # one row
+    judged = judged.select("host", "parent", "leaf", ((F.col("b") + STRENGTH * F.col("prior")) / (F.col("n") + STRENGTH)).alias("purity"))
+    return tree.join(judged, ["host", "parent", "leaf"]).select("host", "steps", "tail", F.concat("parent", F.lit("/"), "leaf").alias("template"), "purity")
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -105,13 +135,11 @@ def judge_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
     pages = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, ruled = rule_of(F.col("host"), F.col("path"))
     number = F.regexp_extract("path", r"([0-9]{1,18})[^0-9]*$", 1).try_cast("long")
-    pages = pages.select("*", rule.alias("rule"), ruled.alias("ruled"), number.alias("number"), *shape(F.col("path")))
-    keys = ["host", *(f"s{k}" for k in range(DEPTH)), "tail"]
-    judged = judge_templates(pages.join(labels, F.col("number") == F.col("of"), "left").select(*keys, "bad"))
-    judged = judged.select(*(F.col(c).alias(f"{c}_") for c in keys), "template", "purity")
-    same = F.lit(True)
-    for c in keys:
-        same = same & F.col(c).eqNullSafe(F.col(f"{c}_"))
+    steps, tail = shape(F.col("path"))
+    pages = pages.select("*", rule.alias("rule"), ruled.alias("ruled"), number.alias("number"), steps, tail)
+    judged = judge_templates(pages.join(labels, F.col("number") == F.col("of"), "left").select("host", "steps", "tail", "bad"))
+    judged = judged.select(*(F.col(c).alias(f"{c}_") for c in ("host", "steps", "tail")), "template", "purity")
+    same = (F.col("host") == F.col("host_")) & (F.col("steps") == F.col("steps_")) & (F.col("tail") == F.col("tail_"))
     verdict = F.coalesce("ruled", F.when(F.col("purity") > REJECT, "block").otherwise("allow"))
     return pages.join(judged, same).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
 
@@ -121,33 +149,29 @@ def oracle() -> str:
     rules = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     fits = lambda h, p: f"(host = '{h}' OR suffix(host, '.{h}')) AND starts_with(path, '{p}')"
     case = lambda what: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{what(v, h, p)}'" for v, h, p in rules) + " END"
-    s, keys = [f"s{k}" for k in range(DEPTH)], ["host", *(f"s{k}" for k in range(DEPTH)), "tail"]
-    general = "list_transform(seg, lambda x: CASE WHEN length(x) > 32 THEN '*' ELSE regexp_replace(x, '[0-9]+', '*', 'g') END)"
-    levels, last = "", "c"
-    for k in range(DEPTH):
-        parent = ["host", *(f"t{j}" for j in range(k))]
-        done = ", ".join(f"x.t{j}" for j in range(k))
+    general = f"list_transform(seg, lambda x: CASE WHEN length(x) > {LONG} THEN '*' ELSE regexp_replace(x, '[0-9]+', '*', 'g') END)"
+    path_of = lambda t, k: f"array_to_string(list_transform({t}[1:{k}], lambda x: '/' || x), '')"
+    levels = ""
+    for k in range(DEPTH + 1):
         levels += f"""
-k{k} AS (SELECT {', '.join(parent)} FROM {last if k else 'c0'} WHERE t{k} IS NOT NULL GROUP BY {', '.join(parent)} HAVING count(DISTINCT t{k}) > {MAX_CHILDREN}),
-c{k + 1} AS (SELECT x.* REPLACE (CASE WHEN y.host IS NOT NULL AND x.t{k} IS NOT NULL THEN '*' ELSE x.t{k} END AS t{k}) FROM {last if k else 'c0'} x LEFT JOIN k{k} y ON {' AND '.join(f'x.{c} IS NOT DISTINCT FROM y.{c}' for c in parent)}),"""
-        last = f"c{k + 1}"
-        del done
-    t = [f"t{k}" for k in range(DEPTH)]
-    same = lambda a, b, cols: " AND ".join(f"{a}.{c} IS NOT DISTINCT FROM {b}.{c}" for c in cols)
+k{k} AS (SELECT host, {path_of('t', k)} AS parent FROM c{k} WHERE len(t) > {k} GROUP BY 1, 2 HAVING count(DISTINCT t[{k + 1}]) > {MAX_CHILDREN}),
+c{k + 1} AS (SELECT x.* REPLACE (CASE WHEN y.host IS NOT NULL THEN list_transform(x.t, lambda s, i: CASE WHEN i = {k + 1} THEN '*' ELSE s END) ELSE x.t END AS t) FROM c{k} x LEFT JOIN k{k} y ON x.host = y.host AND {path_of('x.t', k)} = y.parent),"""
+    test = f"(s.b * w.n - w.b * s.n) * (s.b * w.n - w.b * s.n) * (s.n + w.n) > {DEVIATIONS * DEVIATIONS} * (s.b + w.b) * (s.n + w.n - s.b - w.b) * s.n * w.n"
     return rf"""
-WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+WITH RECURSIVE r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
 hp AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{common.UPPER}', '{common.LOWER}'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM r),
 p0 AS (SELECT *, {case(lambda v, h, p: h + p)} AS rule, {case(lambda v, h, p: v)} AS ruled, TRY_CAST(regexp_extract(path, '([0-9]{{1,18}})[^0-9]*$', 1) AS BIGINT) AS number, list_filter(string_split(path, '/'), lambda x: x <> '') AS seg FROM hp),
-p AS (SELECT page_id, host, path, rule, ruled, number, {', '.join(f'({general})[{k + 1}] AS s{k}' for k in range(DEPTH))}, CASE WHEN len(seg) > {DEPTH} THEN '/**' WHEN suffix(path, '/') THEN '/' ELSE '' END AS tail FROM p0),
+p1 AS (SELECT *, {general} AS gen, CASE WHEN suffix(path, '/') THEN '/' ELSE '' END AS tail FROM p0),
+p AS (SELECT page_id, host, path, rule, ruled, number, CASE WHEN len(gen) > {DEPTH} THEN list_append(gen[1:{DEPTH}], array_to_string(gen[{DEPTH + 1}:], '/')) ELSE gen END AS steps, tail FROM p1),
 l AS (SELECT doc_id AS of_id, max(CAST(coalesce(toxic = 1 OR quality = 0, false) AS BIGINT)) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
-c AS (SELECT {', '.join(keys)}, count(bad) AS seen, coalesce(sum(bad), 0) AS bad FROM p LEFT JOIN l ON number = of_id GROUP BY {', '.join(keys)}),
-c0 AS (SELECT *, {', '.join(f's{k} AS t{k}' for k in range(DEPTH))} FROM c),{levels}
-e AS (SELECT *, list_filter([{', '.join(t)}], lambda x: x IS NOT NULL) AS steps FROM {last}),
-f AS (SELECT *, concat_ws('/', '', CASE WHEN len(steps) > 1 THEN array_to_string(steps[:-2], '/') END) AS parent, coalesce(steps[-1], '') || tail AS leaf FROM e),
-g AS (SELECT host, parent, leaf, CAST(sum(seen) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS b, CASE WHEN sum(seen) > 0 THEN CAST(sum(bad) AS DOUBLE) / CAST(sum(seen) AS DOUBLE) ELSE 0 END AS share FROM f GROUP BY host, parent, leaf),
-h AS (SELECT *, lag(n) OVER w AS n0, lag(b) OVER w AS b0 FROM g WINDOW w AS (PARTITION BY host, parent ORDER BY share, leaf)),
-i AS (SELECT *, sum(CAST(coalesce((b * n0 - b0 * n) * (b * n0 - b0 * n) * (n + n0) > {DEVIATIONS * DEVIATIONS} * (b + b0) * (n + n0 - b - b0) * n * n0, false) AS INTEGER)) OVER (PARTITION BY host, parent ORDER BY share, leaf) AS branch FROM h),
+c0 AS (SELECT host, steps, tail, steps AS t, count(bad) AS seen, coalesce(sum(bad), 0) AS bad FROM p LEFT JOIN l ON number = of_id GROUP BY host, steps, tail),{levels}
+f AS (SELECT host, steps, tail, seen, bad, {path_of('t', '(len(t) - 1)')} AS parent, coalesce(t[len(t)], '') || tail AS leaf FROM c{DEPTH + 1}),
+g AS (SELECT host, parent, leaf, CAST(sum(seen) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS b FROM f GROUP BY host, parent, leaf),
+sib AS (SELECT *, row_number() OVER (PARTITION BY host, parent ORDER BY b / n, leaf) AS i FROM g WHERE n > 0),
+w(host, parent, i, leaf, n, b, branch) AS (SELECT host, parent, i, leaf, n, b, 0 FROM sib WHERE i = 1
+UNION ALL SELECT s.host, s.parent, s.i, s.leaf, CASE WHEN {test} THEN s.n ELSE s.n + w.n END, CASE WHEN {test} THEN s.b ELSE s.b + w.b END, w.branch + CASE WHEN {test} THEN 1 ELSE 0 END FROM w JOIN sib s ON s.host = w.host AND s.parent = w.parent AND s.i = w.i + 1),
 o AS (SELECT CASE WHEN sum(n) > 0 THEN sum(b) / sum(n) ELSE 0 END AS prior FROM g),
-j AS (SELECT host, parent, branch, (sum(b) + {STRENGTH} * any_value(prior)) / (sum(n) + {STRENGTH}) AS purity FROM i, o GROUP BY host, parent, branch),
-m AS (SELECT {', '.join('f.' + c for c in keys)}, f.parent || '/' || f.leaf AS template, purity FROM f JOIN i ON {same('f', 'i', ['host', 'parent', 'leaf'])} JOIN j ON {same('i', 'j', ['host', 'parent', 'branch'])})
-SELECT page_id, p.host, path, rule, coalesce(ruled, CASE WHEN purity > {REJECT} THEN 'block' ELSE 'allow' END) AS verdict, template, purity FROM p JOIN m ON {same('p', 'm', keys)}"""
+x AS (SELECT w.host, w.parent, w.leaf, sum(sib.n) OVER u AS n, sum(sib.b) OVER u AS b FROM w JOIN sib USING (host, parent, i) WINDOW u AS (PARTITION BY w.host, w.parent, w.branch)
+UNION ALL SELECT host, parent, leaf, (SELECT sum(y.n) FROM g y WHERE y.host = g.host AND y.parent = g.parent), (SELECT sum(y.b) FROM g y WHERE y.host = g.host AND y.parent = g.parent) FROM g WHERE n = 0),
+m AS (SELECT f.host, f.steps, f.tail, f.parent || '/' || f.leaf AS template, (b + {STRENGTH} * prior) / (n + {STRENGTH}) AS purity FROM f JOIN x ON f.host = x.host AND f.parent = x.parent AND f.leaf = x.leaf, o)
+SELECT page_id, p.host, path, rule, coalesce(ruled, CASE WHEN purity > {REJECT} THEN 'block' ELSE 'allow' END) AS verdict, template, purity FROM p JOIN m ON p.host = m.host AND p.steps = m.steps AND p.tail = m.tail"""

@@ -35,6 +35,32 @@ def test_crowded_parents_become_wildcards(spark):
     assert {r.template for r in read(spark, pages).values()} == {"/*/p"}
 
 
+def test_templates_that_differ_only_deep_down(spark):
+    """Every level of a path tells templates apart, also beyond the levels that the tree generalises."""
+    for depth in (4, 6, 12):
+        base = "http://h.com" + "/s" * depth
+        pages = [(k, f"{base}/bad/{k}") for k in range(20)] + [(100 + k, f"{base}/good/{100 + k}") for k in range(20)]
+        got = read(spark, pages, [(k, 0, 1) for k in range(15)] + [(100 + k, 1, 0) for k in range(15)])
+        assert all(got[k].verdict == "block" for k in range(20)) and all(got[100 + k].verdict == "allow" for k in range(20))
+
+
+def test_unlabelled_templates_join_no_branch(spark):
+    """One unlabelled sibling between a good and a bad one must not make them one branch; it takes the share of all of them."""
+    pages = [(k, f"http://h.com/x/{name}/{k}") for name, first in (("a", 0), ("m", 100), ("z", 200)) for k in range(first, first + 40)]
+    pages = [(k, u.replace(f"/{k}", f"-{k}")) for k, u in pages]
+    labels = [(k, 1, 0) for k in range(30)] + [(200 + k, 0, 0) for k in range(30)]
+    got = read(spark, pages, labels)
+    assert {got[k].verdict for k in range(40)} == {"allow"} and {got[200 + k].verdict for k in range(40)} == {"block"}
+    assert abs(got[110].purity - 0.5) < 1e-9 and got[5].purity < 0.1 and got[205].purity > 0.9
+
+
+def test_alike_siblings_share_their_evidence(spark):
+    """Three siblings of two labelled pages each, all bad, are one branch; alone, none would be rejected as surely."""
+    pages = [(10 * j + k, f"http://h.com/x/{name}-{10 * j + k}") for j, name in enumerate("abc") for k in range(5)]
+    got = read(spark, pages, [(10 * j + k, 0, 1) for j in range(3) for k in range(2)] + [(900, 1, 0)])
+    assert len({r.purity for r in got.values()}) == 1 and {r.verdict for r in got.values()} == {"block"}
+
+
 def test_odd_rows(spark):
     pages = [(1, "http://a.com/1"), (1, "http://a.com/1"), (None, None), (2, "http://a.com/" + "s/" * 50_000 + "9" * 400)]
     p = spark.createDataFrame(pages, "page_id long, url string").withColumns({"host": F.lit(1), "path": F.lit(2), "template": F.lit(3), "bad": F.lit(4)})
