@@ -1,8 +1,8 @@
 """Text pipeline: records, segments, greedy chunks, captions, turns.
 
-Segments carry their byte spans, so chunking needs no range join. The greedy windows are a recurrence, folded over
-the segments of one item in order. Where an item is long, its segments come from its own text, so what a row
-holds is bounded by the item itself.
+Segments carry their byte spans, so chunking needs no range join. Offsets, the greedy windows and the batches are
+recurrences, folded over the segments of one item within its own row: no shuffle at all, and what a row holds
+is bounded by the item itself.
 """
 
 from __future__ import annotations
@@ -10,38 +10,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomlake.functions.scalars import running_sums
+
 TARGET_BYTES, MAX_BYTES = 1200, 1600
 #: Silence in ms after which a segment starts a turn.
 TURN_GAP_MS = 700
 
 
-def segments(df: DataFrame, key: str, text: Column, separator: str) -> DataFrame:
-    """key, idx, byte_start, byte_end, segment: the parts between separators; blank ones give none but take their place."""
-    parts = df.select(key, F.posexplode(F.split(text, separator, -1)).alias("pos", "segment"))
+def segment_arrays(df: DataFrame, key: str, text: Column, separator: str, *keep: str) -> DataFrame:
+    """key, keep..., segs: per item the parts between separators (idx, byte_start, byte_end, segment); blank ones give none but take their place."""
     # A separator is its bytes; offsets are a running sum over one item.
-    own = Window.partitionBy(key).orderBy("pos")
-    width = F.octet_length("segment") + F.lit(len(separator.encode().decode("unicode_escape")))
-    start = F.coalesce(F.sum(width).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    spans = parts.select(key, "pos", "segment", start.cast("long").alias("byte_start"))
-    kept = spans.where(F.btrim("segment") != "")
-    return kept.select(key, (F.row_number().over(own) - 1).cast("long").alias("idx"), "byte_start", (F.col("byte_start") + F.octet_length("segment")).cast("long").alias("byte_end"), "segment")
+    gap = len(separator.encode().decode("unicode_escape"))
+    parts = df.select(key, *keep, F.split(text, separator, -1).alias("parts"))
+    starts = running_sums(F.transform("parts", lambda p: (F.octet_length(p) + gap).cast("long")))
+    spans = F.zip_with("parts", starts, lambda p, s: F.struct(s.alias("byte_start"), (s + F.octet_length(p)).cast("long").alias("byte_end"), p.alias("segment")))
+    kept = F.filter(spans, lambda x: F.btrim(x["segment"]) != "")
+    return parts.select(key, *keep, F.transform(kept, lambda x, i: F.struct(i.cast("long").alias("idx"), x["byte_start"].alias("byte_start"), x["byte_end"].alias("byte_end"), x["segment"].alias("segment"))).alias("segs"))
+
+
+def segments(df: DataFrame, key: str, text: Column, separator: str) -> DataFrame:
+    """key, idx, byte_start, byte_end, segment: segment_arrays as rows."""
+    return segment_arrays(df, key, text, separator).select(key, F.inline("segs"))
 
 
-def chunk_windows(segs: DataFrame, key: str, shape: str = "any", target: int = TARGET_BYTES, most: int = MAX_BYTES) -> DataFrame:
-    """key, ordinal, byte_start, byte_end, first_idx, last_idx: greedy windows over consecutive segments.
+def chunk_windows(items: DataFrame, key: str, shape: str = "any", target: int = TARGET_BYTES, most: int = MAX_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, keep..., ordinal, byte_start, byte_end, first_idx, last_idx: greedy windows over consecutive segments (segs) of each item.
 
     A window closes before a segment if it has reached the target (or, for headings, if the segment is one); it
     closes after one if it has reached the maximum; a window over the maximum is cut every so many bytes. shape:
-    any, each (every segment its own window), heading (needs a column depth).
+    any, each (every segment its own window), heading (segments need a depth).
     """
-    depth = "depth" if shape == "heading" else F.lit(0).alias("depth")
-    items = segs.select(key, F.struct("idx", "byte_start", "byte_end", depth).alias("s")).groupBy(key).agg(F.array_sort(F.collect_list("s")).alias("segs"))
-    window_t = "array<struct<a:bigint,b:bigint,i:bigint,j:bigint>>"
-    zero = F.struct(F.lit(None).cast("struct<a:bigint,b:bigint,i:bigint,j:bigint>").alias("open"), F.array().cast(window_t).alias("done"))
+    window_t = "struct<a:bigint,b:bigint,i:bigint,j:bigint>"
+    zero = F.struct(F.lit(None).cast(window_t).alias("open"), F.array().cast(f"array<{window_t}>").alias("done"))
 
     def step(acc: Column, s: Column) -> Column:
         opened = acc["open"]
-        long_enough = (opened["b"] - opened["a"] >= target) if shape == "any" else F.lit(True) if shape == "each" else ((s["depth"] > 0) | (opened["b"] - opened["a"] >= target))
+        long_enough = (opened["b"] - opened["a"] >= target) if shape == "any" else ((s["depth"] > 0) | (opened["b"] - opened["a"] >= target))
         close_before = opened.isNotNull() & long_enough
         done = F.when(close_before, F.concat(acc["done"], F.array(opened))).otherwise(acc["done"])
         start = opened.isNull() | close_before
@@ -49,12 +53,14 @@ def chunk_windows(segs: DataFrame, key: str, shape: str = "any", target: int = T
         close_after = grown["b"] - grown["a"] >= most
         return F.struct(F.when(~close_after, grown).alias("open"), F.when(close_after, F.concat(done, F.array(grown))).otherwise(done).alias("done"))
 
-    windows = F.aggregate("segs", zero, step, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
-    rows = items.select(key, F.inline(windows))
-    cuts = F.sequence(F.col("a"), F.greatest(F.col("b") - 1, F.col("a")), F.lit(most).cast("long"))
-    pieces = rows.select(key, "i", "j", "b", F.explode(cuts).alias("byte_start"))
-    own = Window.partitionBy(key).orderBy("byte_start")
-    return pieces.select(key, (F.row_number().over(own) - 1).cast("long").alias("ordinal"), "byte_start", F.least(F.col("byte_start") + most, F.col("b")).alias("byte_end"), F.col("i").alias("first_idx"), F.col("j").alias("last_idx"))
+    if shape == "each":
+        windows = F.transform("segs", lambda s: F.struct(s["byte_start"].alias("a"), s["byte_end"].alias("b"), s["idx"].alias("i"), s["idx"].alias("j")))
+    else:
+        windows = F.aggregate("segs", zero, step, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
+    cuts = lambda w: F.sequence(w["a"], F.greatest(w["b"] - 1, w["a"]), F.lit(most).cast("long"))
+    pieces = F.flatten(F.transform(windows, lambda w: F.transform(cuts(w), lambda c: F.struct(c.alias("a"), F.least(c + most, w["b"]).alias("b"), w["i"].alias("i"), w["j"].alias("j")))))
+    rows = items.select(key, *keep, F.posexplode(pieces).alias("ordinal", "p"))
+    return rows.select(key, *keep, F.col("ordinal").cast("long").alias("ordinal"), F.col("p.a").alias("byte_start"), F.col("p.b").alias("byte_end"), F.col("p.i").alias("first_idx"), F.col("p.j").alias("last_idx"))
 
 
 def turn_marks(segs: DataFrame, key: str, order: str, start: str, stop: str, gap_ms: int = TURN_GAP_MS) -> DataFrame:
@@ -89,16 +95,36 @@ def cues_of(df: DataFrame, key: str, text: Column) -> DataFrame:
     return blocks.select(key, F.col("idx").cast("long").alias("idx"), start.alias("start_ms"), stop.alias("end_ms"), cue.alias("cue")).where("start_ms IS NOT NULL AND end_ms >= start_ms")
 
 
-def batch_plan(items: DataFrame, key: str, order: str, size: str, padded_max: int = 1024, count_max: int = 63) -> DataFrame:
-    """key, batch, items, padded: order-preserving greedy batches whose padded size stays within padded_max."""
-    rows = items.select(key, F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("n")).alias("s")).groupBy(key).agg(F.array_sort(F.collect_list("s")).alias("s"))
+def batch_plan(items: DataFrame, key: str, sizes: Column, padded_max: int = 1024, count_max: int = 63) -> DataFrame:
+    """key, batch, items, padded: order-preserving greedy batches of each item's parts (an array of sizes) whose padded size stays within padded_max."""
     t = "array<struct<n:bigint,m:bigint>>"
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("m"), F.array().cast(t).alias("done"))
 
     def step(acc: Column, x: Column) -> Column:
-        full = (acc["n"] > 0) & (((acc["n"] + 1) * F.greatest(acc["m"], x["n"]) > padded_max) | (acc["n"] >= count_max))
+        full = (acc["n"] > 0) & (((acc["n"] + 1) * F.greatest(acc["m"], x) > padded_max) | (acc["n"] >= count_max))
         done = F.when(full, F.concat(acc["done"], F.array(F.struct(acc["n"].alias("n"), acc["m"].alias("m"))))).otherwise(acc["done"])
-        return F.struct(F.when(full, F.lit(1).cast("long")).otherwise(acc["n"] + 1).alias("n"), F.when(full, x["n"]).otherwise(F.greatest(acc["m"], x["n"])).alias("m"), done.alias("done"))
+        return F.struct(F.when(full, F.lit(1).cast("long")).otherwise(acc["n"] + 1).alias("n"), F.when(full, x).otherwise(F.greatest(acc["m"], x)).alias("m"), done.alias("done"))
+
+    last = lambda acc: F.when(acc["n"] > 0, F.concat(acc["done"], F.array(F.struct(acc["n"].alias("n"), acc["m"].alias("m"))))).otherwise(acc["done"])
+    rows = items.select(key, F.posexplode(F.aggregate(sizes, zero, step, last)).alias("batch", "b"))
+    return rows.select(key, F.col("batch").cast("long").alias("batch"), F.col("b.n").alias("items"), (F.col("b.n") * F.col("b.m")).alias("padded"))
+
+
+def csv_records(df: DataFrame, key: str, text: Column) -> DataFrame:
+    """key, idx, line, record: records of a CSV text, a line end inside quotes being part of its record; line is where it starts, from 1.
+
+    A line belongs to an open record while the quotes before it are odd in number.
+    """
+    lines = df.select(key, F.split(text, "\n", -1).alias("lines"))
+    quotes = running_sums(F.transform("lines", lambda x: F.length(F.regexp_replace(x, '[^"]', "")).cast("long")))
+    marked = lines.select(key, F.zip_with("lines", quotes, lambda x, q: F.struct(x.alias("text"), (q % 2 == 1).alias("goes_on"))).alias("lines"))
+    zero = F.struct(F.lit(0).alias("line"), F.array().cast("array<struct<line:int,record:string>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        at = acc["line"] + 1
+        last = F.element_at(acc["out"], -1)
+        longer = F.concat(F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1), F.array(F.struct(last["line"].alias("line"), F.concat(last["record"], F.lit("\n"), x["text"]).alias("record"))))
+        return F.struct(at.alias("line"), F.when(x["goes_on"], longer).otherwise(F.concat(acc["out"], F.array(F.struct(at.alias("line"), x["text"].alias("record"))))).alias("out"))
 
-    plan = F.aggregate("s", zero, step, lambda acc: F.concat(acc["done"], F.array(F.struct(acc["n"].alias("n"), acc["m"].alias("m")))))
-    return rows.select(key, F.posexplode(plan).alias("batch", "b")).select(key, F.col("batch").cast("long").alias("batch"), F.col("b.n").alias("items"), (F.col("b.n") * F.col("b.m")).alias("padded"))
+    records = F.filter(F.aggregate("lines", zero, step, lambda acc: acc["out"]), lambda r: F.btrim(r["record"]) != "")
+    return marked.select(key, F.posexplode(records).alias("idx", "r")).select(key, F.col("idx").cast("long").alias("idx"), F.col("r.line").cast("long").alias("line"), "r.record")

@@ -40,7 +40,7 @@ def reap_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT job_id, project, CAST(round AS INTEGER) AS round, row_number() OVER (ORDER BY round, project) AS position FROM r ORDER BY round, project LIMIT 100""")
 def fair_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 100 claims when projects take turns."""
-    rounds = queue.interleaved(jobs(spark, sf_dir).where("state = 'queued'")).select("job_id", "project", "round")
+    rounds = queue.interleaved(jobs(spark, sf_dir).where("state = 'queued'")).select("job_id", "project", "round").where("round <= 100")  # the bound cuts before the shuffle
     first = rounds.orderBy("round", "project").limit(100)
     return first.withColumn("position", F.row_number().over(Window.orderBy("round", "project")).cast("long"))
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlake.operators import queue
+from loomlake.operators import log, queue
 from loomlake.registry import query
 from loomlake.sources.tables import JOBS_SQL, LEASES_SQL, LOG_SQL, NOW_MS, event_log, jobs, leases, table
 
@@ -16,10 +16,11 @@ SELECT device, seq, CASE WHEN nth > 1 THEN 'conflict' WHEN held > 30 THEN 'resou
 def registry_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries into registries of bounded size: a repeated key conflicts, a full registry refuses."""
     r = event_log(spark, sf_dir).where("kind = 'signup'").select("seq", "device", F.concat("kind", F.lit(":"), (F.col("seq") % 40).cast("string")).alias("key"))
-    nth = F.row_number().over(Window.partitionBy("device", "key").orderBy("seq"))
-    held = F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(Window.partitionBy("device").orderBy("seq"))
-    n = r.withColumn("nth", nth).withColumn("held", held)
-    return n.select("device", "seq", F.when(F.col("nth") > 1, "conflict").when(F.col("held") > 30, "resource_exhausted").otherwise("admitted").alias("outcome"))
+    # Only the first request of a key can be admitted; those are numbered by device, in as many tasks as they need.
+    firsts = r.groupBy("device", "key").agg(F.min("seq").alias("first_seq"))
+    held = log.numbered(firsts, "first_seq", by=("device",), name="held").select(F.col("device").alias("of"), F.col("key").alias("key_"), "first_seq", "held")
+    n = r.join(held, (F.col("device") == F.col("of")) & (F.col("key") == F.col("key_")))
+    return n.select("device", "seq", F.when(F.col("seq") > F.col("first_seq"), "conflict").when(F.col("held") > 30, "resource_exhausted").otherwise("admitted").alias("outcome"))
 
 
 @query(f"""WITH {JOBS_SQL}, {LEASES_SQL}, h AS (SELECT job_id, (job_id + CASE WHEN job_id % 5 = 0 THEN 1 ELSE 0 END) % 4 AS worker FROM jobs WHERE state = 'queued' AND job_id % 2 = 0)

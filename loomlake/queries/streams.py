@@ -44,11 +44,11 @@ def resume_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.resume_status(ops.resume_window(frames, "entity", "frame", 20), "entity", "frame", cursors)
 
 
-@query(f"""WITH {LOG_SQL}, m AS (SELECT entity, seq, max(seq) OVER (PARTITION BY entity) AS last, bool_or(kind = 'purchase' AND seq > 9000) OVER (PARTITION BY entity) AS ended FROM log)
+@query(f"""WITH {LOG_SQL}, m AS (SELECT entity, seq, max(seq) OVER (PARTITION BY entity) AS last, bool_or(kind = 'purchase' AND seq % 50 = 0) OVER (PARTITION BY entity) AS ended FROM log)
 SELECT entity, count(*) AS frames, max(seq) AS last_sent FROM m WHERE seq < last OR ended GROUP BY entity""")
 def settled_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest boundary is held back until the next one or the end of the run."""
-    sent = ops.settled(event_log(spark, sf_dir), "entity", "seq", (F.col("kind") == "purchase") & (F.col("seq") > 9000))
+    sent = ops.settled(event_log(spark, sf_dir), "entity", "seq", (F.col("kind") == "purchase") & (F.col("seq") % 50 == 0))
     return sent.groupBy("entity").agg(F.count("*").alias("frames"), F.max("seq").alias("last_sent"))
 
 
@@ -85,3 +85,15 @@ def hourly_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     hour = F.floor(epoch_us(F.col("ts")) / 3600000000).cast("long") * 3600000
     return e.groupBy(hour.alias("window_ms"), F.col("event_type").alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {LOG_SQL}, e AS (SELECT min(seq) AS stop FROM log WHERE kind = 'purchase' AND entity % 7 = 3) SELECT kind, count(*) AS frames, max(seq) AS last_seq FROM log, e WHERE stop IS NULL OR seq <= stop GROUP BY kind""")
+def follow_until_terminal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of a followed stream, up to the one that ends it."""
+
+    def prepare(events: DataFrame) -> DataFrame:
+        return events.select((F.col("event_id") + 1).alias("seq"), F.col("event_type").alias("kind"), F.col("user_id").alias("entity"))
+
+    schema = table(spark, sf_dir, "events").schema
+    frames = ops.follow(spark, f"{sf_dir}/events.parque[t]", schema, prepare, "kind = 'purchase' AND entity % 7 = 3")
+    return frames.groupBy("kind").agg(F.count("*").alias("frames"), F.max("seq").alias("last_seq"))

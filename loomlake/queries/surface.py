@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomlake.functions import scalars
-from loomlake.operators import reads, text
+from loomlake.operators import log, reads, text
 from loomlake.registry import query
 from loomlake.sources import files
 from loomlake.sources.tables import CALLS_SQL, LOG_SQL, event_log, model_calls, table
@@ -23,7 +23,7 @@ def surface_capability_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def surface_project_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Projects in the order of their ids' bytes."""
     r = table(spark, sf_dir, "region").select(scalars.hex_id(F.encode("r_name", "UTF-8")).alias("project_id"), F.col("r_name").alias("name"))
-    return r.withColumn("position", F.row_number().over(Window.orderBy("project_id")).cast("long"))
+    return log.numbered(r, "project_id", name="position")
 
 
 @query(f"WITH {LOG_SQL} SELECT 'events' AS counter, count(*) AS value FROM log UNION ALL SELECT 'errors', count(*) FILTER (kind = 'error') FROM log UNION ALL SELECT 'devices', count(DISTINCT device) FROM log")
@@ -54,9 +54,9 @@ def surface_transcript_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page.select(F.col("turn").alias("segment_index"), F.coalesce(edited, own).alias("rendered"), edited.isNotNull().alias("is_edited"), F.when(F.col("role") == "user", "Asker").when(F.col("role") == "assistant", "Helper").otherwise("unnamed").alias("speaker"))
 
 
-@query("""WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS segment, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE doc_id < 200),
+@query("""WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS segment, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
 o AS (SELECT *, CAST(coalesce(sum(octet_length(encode(segment)) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_start FROM s)
-SELECT doc_id, byte_start, byte_start + octet_length(encode(segment)) AS byte_end FROM o WHERE trim(segment) <> '' AND doc_id >= 0""".replace(" WHERE doc_id < 200", ""))
+SELECT doc_id, byte_start, byte_start + octet_length(encode(segment)) AS byte_end FROM o WHERE trim(segment) <> ''""")
 def segment_records_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments packed as little-endian records and read back."""
     segs = text.segments(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), "\\n")
@@ -77,12 +77,22 @@ def synthetic_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.synthetic_events(spark, 7, 10000)
 
 
-@query("""WITH h AS (SELECT sha256(text) AS hash, doc_id FROM documents), s AS (SELECT DISTINCT hash FROM h WHERE doc_id % 3 = 0) SELECT hash, count(*) AS copies FROM h WHERE hash NOT IN (SELECT hash FROM s) GROUP BY hash""")
+@query("""WITH h AS (SELECT sha256(text) AS hash, doc_id, length(text) AS n FROM documents) SELECT DISTINCT hash, n AS n_chars FROM h WHERE hash NOT IN (SELECT hash FROM h WHERE doc_id % 3 = 0)""")
 def new_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blobs that a store, which has every third, still lacks."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
-    stored = d.where("doc_id % 3 = 0").select("hash").distinct()
-    return d.join(stored, "hash", "left_anti").groupBy("hash").agg(F.count("*").alias("copies"))
+    d = table(spark, sf_dir, "documents")
+    stored = d.where("doc_id % 3 = 0").select(F.sha2("text", 256).alias("hash"))
+    return files.new_blobs(d.select(F.col("text").alias("content")), stored).select("hash", F.char_length("content").cast("long").alias("n_chars"))
+
+
+@query("""WITH d AS (SELECT doc_id, sha256(doc_id || ':' || text) AS hash, octet_length(encode(doc_id || ':' || text)) AS n FROM documents)
+SELECT d.doc_id, CASE WHEN d.doc_id % 7 = 0 THEN 'missing' WHEN d.doc_id % 11 = 0 THEN 'corrupt' ELSE 'ok' END AS status, CASE WHEN d.doc_id % 7 <> 0 AND d.doc_id % 11 <> 0 THEN n END AS n_bytes FROM d""")
+def blob_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blobs asked for by hash; what is absent, or no longer what its name says, is not given."""
+    content = F.concat_ws(":", F.col("doc_id").cast("string"), "text")
+    d = table(spark, sf_dir, "documents").select("doc_id", content.alias("content"), F.sha2(content, 256).alias("hash"))
+    store = d.where("doc_id % 7 <> 0").select("hash", F.when(F.col("doc_id") % 11 == 0, F.concat("content", F.lit("x"))).otherwise(F.col("content")).alias("content"))
+    return files.read_blobs(d.select("doc_id", "hash"), store).select("doc_id", "status", F.octet_length("content").cast("long").alias("n_bytes"))
 
 
 @query(f"""WITH {CALLS_SQL} SELECT feature, cost_kind, CASE WHEN cost_kind = 'customer_billed' THEN 'customer_billed' WHEN tokens_in > 25 THEN 'measured' ELSE 'estimated' END AS provider_cost, count(*) AS n, round(CAST(sum(tokens_in) AS DOUBLE) * 1000 / sum(wall_ms + 1), 6) AS tokens_per_s FROM calls GROUP BY 1, 2, 3""")

@@ -89,30 +89,30 @@ SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY byte_start) - 1
 
 @query(_chunk_sql("(w.b - w.a >= 1200)"))
 def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segs = ops.segments(threads(spark, sf_dir), "conv_id", F.col("text"), "\\n\\n")
-    return ops.chunk_windows(segs, "conv_id", "any")
+    items = ops.segment_arrays(threads(spark, sf_dir), "conv_id", F.col("text"), "\\n\\n")
+    return ops.chunk_windows(items, "conv_id", "any")
 
 
 @query(_chunk_sql("true"))
 def chunk_windows_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages: every segment is its own window, cut where it is too long."""
-    segs = ops.segments(threads(spark, sf_dir), "conv_id", F.col("text"), "\\n\\n")
-    return ops.chunk_windows(segs, "conv_id", "each")
+    items = ops.segment_arrays(threads(spark, sf_dir), "conv_id", F.col("text"), "\\n\\n")
+    return ops.chunk_windows(items, "conv_id", "each")
 
 
 @query(_chunk_sql("(n.idx % 3 = 0 OR w.b - w.a >= 1200)"))
 def chunk_windows_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with headings (here every third segment): a heading opens a window."""
-    segs = ops.segments(threads(spark, sf_dir), "conv_id", F.col("text"), "\\n\\n").withColumn("depth", F.when(F.col("idx") % 3 == 0, 1).otherwise(0))
-    return ops.chunk_windows(segs, "conv_id", "heading")
+    items = ops.segment_arrays(threads(spark, sf_dir), "conv_id", F.col("text"), "\\n\\n")
+    items = items.withColumn("segs", F.transform("segs", lambda s: s.withField("depth", F.when(s["idx"] % 3 == 0, 1).otherwise(0))))
+    return ops.chunk_windows(items, "conv_id", "heading")
 
 
 @query(_chunk_sql("(w.b - w.a >= 1200)").replace("\nSELECT conv_id, row_number()", "\nSELECT p.conv_id, sha256(substr(hex(encode(t.text)), 2 * byte_start + 1, 2 * (least(byte_start + 1600, b) - byte_start))) AS content_hash, row_number()").replace("PARTITION BY conv_id ORDER BY byte_start) - 1 AS ordinal, byte_start, least(byte_start + 1600, b) AS byte_end, i AS first_idx, j AS last_idx FROM p", "PARTITION BY p.conv_id ORDER BY byte_start) - 1 AS ordinal FROM p JOIN threads t ON p.conv_id = t.conv_id"))
 def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hash of each chunk's bytes (as hex digits), of which its id is derived."""
-    t = threads(spark, sf_dir)
-    chunks = ops.chunk_windows(ops.segments(t, "conv_id", F.col("text"), "\\n\\n"), "conv_id")
-    joined = chunks.join(t, "conv_id")
+    items = ops.segment_arrays(threads(spark, sf_dir), "conv_id", F.col("text"), "\\n\\n", "text")
+    joined = ops.chunk_windows(items, "conv_id", keep=("text",))
     cut = F.substr(F.encode("text", "UTF-8"), (F.col("byte_start") + 1).cast("int"), (F.col("byte_end") - F.col("byte_start")).cast("int"))
     return joined.select("conv_id", F.sha2(F.hex(cut), 256).alias("content_hash"), "ordinal")
 
@@ -197,3 +197,12 @@ def wordpiece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     encode = wordpiece.wordpiece(wordpiece.vocabulary(TOY))
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", encode("text").alias("ids"))
     return c.select("conv_id", "turn", F.size("ids").alias("n"), F.md5(F.array_join("ids", " ")).alias("ids_md5"))
+
+
+CSV = 'name,note\nfirst,"two\nlines, and ""quotes"""\n\nsecond,plain\n'
+
+
+@query("""SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(1 AS BIGINT), 'name,note'), (1, 2, 'first,"two' || chr(10) || 'lines, and ""quotes""\"'), (2, 5, 'second,plain')) t(idx, line, record)""".replace('\\"', '"'))
+def csv_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of a CSV text with quoted line ends, and the lines that they start at."""
+    return ops.csv_records(spark.createDataFrame([(1, CSV)], "file long, text string"), "file", F.col("text")).select("idx", "line", "record")

@@ -37,17 +37,18 @@ def mean_pool_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pooled.select("label", "n", F.round(F.get("mean", 0), 6).alias("first_mean"), F.round(F.get("mean", 63), 6).alias("last_mean"))
 
 
-@query("""WITH RECURSIVE s AS (SELECT lang, doc_id, least(greatest(CAST(ceil(length(text) / 3) AS BIGINT), 1), 512) AS n, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM documents),
-w(lang, i, n, m, b) AS (SELECT lang, i, CAST(1 AS BIGINT), n, CAST(0 AS BIGINT) FROM s WHERE i = 1
-UNION ALL SELECT s.lang, s.i, CASE WHEN (w.n + 1) * greatest(w.m, s.n) > 1024 OR w.n >= 63 THEN 1 ELSE w.n + 1 END, CASE WHEN (w.n + 1) * greatest(w.m, s.n) > 1024 OR w.n >= 63 THEN s.n ELSE greatest(w.m, s.n) END,
-w.b + CASE WHEN (w.n + 1) * greatest(w.m, s.n) > 1024 OR w.n >= 63 THEN 1 ELSE 0 END FROM w JOIN s ON s.lang = w.lang AND s.i = w.i + 1)
-SELECT lang, b AS batch, max(n) AS items, max(n) * max(m) AS padded FROM w GROUP BY lang, b""")
+@query("""WITH RECURSIVE p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+s AS (SELECT doc_id, least(greatest(CAST(ceil(length(line) / 3) AS BIGINT), 1), 512) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM p WHERE trim(line) <> ''),
+w(doc_id, i, n, m, b) AS (SELECT doc_id, i, CAST(1 AS BIGINT), n, CAST(0 AS BIGINT) FROM s WHERE i = 1
+UNION ALL SELECT s.doc_id, s.i, CASE WHEN (w.n + 1) * greatest(w.m, s.n) > 1024 OR w.n >= 63 THEN 1 ELSE w.n + 1 END, CASE WHEN (w.n + 1) * greatest(w.m, s.n) > 1024 OR w.n >= 63 THEN s.n ELSE greatest(w.m, s.n) END,
+w.b + CASE WHEN (w.n + 1) * greatest(w.m, s.n) > 1024 OR w.n >= 63 THEN 1 ELSE 0 END FROM w JOIN s ON s.doc_id = w.doc_id AND s.i = w.i + 1)
+SELECT doc_id, b AS batch, max(n) AS items, max(n) * max(m) AS padded FROM w GROUP BY doc_id, b""")
 def batch_plan_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-preserving batches whose padded size stays within 1,024 tokens, per language."""
+    """Order-preserving batches of each item's segments whose padded size stays within 1,024 tokens."""
     from loomlake.functions.scalars import embed_token_estimate
 
-    items = table(spark, sf_dir, "documents").select("lang", "doc_id", embed_token_estimate(F.col("text")).alias("tokens"))
-    return text_ops.batch_plan(items, "lang", "doc_id", "tokens")
+    items = text_ops.segment_arrays(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), "\\n")
+    return text_ops.batch_plan(items, "doc_id", F.transform("segs", lambda s: embed_token_estimate(s["segment"])))
 
 
 @query("""WITH h AS (SELECT doc_id, sha256(text) AS content, doc_id % 4 = 0 AS done FROM documents), v AS (SELECT content, min(doc_id) AS vector_of FROM h WHERE done GROUP BY content)

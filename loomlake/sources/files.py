@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 FILES_MAX, DEPTH_MAX, TEXT_BYTES_MAX = 2_000, 8, 1 << 30
 
 
-def plan_intake(spark: SparkSession, root: str) -> DataFrame:
-    """path, length, modified, skipped: files below root in order, at most FILES_MAX; hidden, own and too deep ones are marked."""
+def plan_intake(spark: SparkSession, root: str, own_suffix: str = "", files_max: int = FILES_MAX) -> DataFrame:
+    """path, length, modified, skipped, truncated: files below root in order, at most files_max; hidden, own (a folder or file with own_suffix) and too deep ones are marked.
+
+    truncated says on every row whether there were more than that.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", F.col("modificationTime").alias("modified"))
     inside = F.regexp_replace("path", r"^.*?" + _quoted(root.rstrip("/")) + "/", "")
-    hidden = inside.rlike(r"(^|/)\.") | inside.rlike(r"\.pos(/|$)") | (F.size(F.split(inside, "/", -1)) > DEPTH_MAX)
-    return files.withColumn("skipped", hidden).orderBy("path").limit(FILES_MAX)
+    hidden = inside.rlike(r"(^|/)\.") | (inside.rlike(_quoted(own_suffix) + "(/|$)") if own_suffix else F.lit(False)) | (F.size(F.split(inside, "/", -1)) > DEPTH_MAX)
+    total = files.agg((F.count("*") > files_max).alias("truncated"))  # one row
+    return files.withColumn("skipped", hidden).orderBy("path").limit(files_max).join(F.broadcast(total))
 
 
 def _quoted(text: str) -> str:
@@ -46,13 +50,13 @@ def manifest(spark: SparkSession, path: str, schema: str, entries: str) -> DataF
 
 
 def prompts(spark: SparkSession, root: str) -> DataFrame:
-    """name, version, front, body, hash of files name@version.md with front matter between lines of dashes."""
+    """name, version, front (as text), fields (its `key: value` lines as a map), body, hash of files name@version.md with front matter between lines of dashes."""
     files = spark.read.text(root, wholetext=True).select(F.col("value"), F.input_file_name().alias("path"))
     name = r"([^/@]+)@(\d+)\.md$"
     matter = r"(?s)^---\n(.*?)\n---\n(.*)$"
     return files.select(
         F.regexp_extract("path", name, 1).alias("name"), F.regexp_extract("path", name, 2).try_cast("int").alias("version"),
-        F.regexp_extract("value", matter, 1).alias("front"), F.when(F.col("value").rlike(matter), F.regexp_extract("value", matter, 2)).otherwise(F.col("value")).alias("body"), F.sha2("value", 256).alias("hash"),
+        F.regexp_extract("value", matter, 1).alias("front"), F.expr(f"str_to_map(regexp_extract(value, r'{matter}', 1), '\n', ': ')").alias("fields"), F.when(F.col("value").rlike(matter), F.regexp_extract("value", matter, 2)).otherwise(F.col("value")).alias("body"), F.sha2("value", 256).alias("hash"),
     ).where("name <> ''")
 
 
@@ -62,6 +66,14 @@ def new_blobs(blobs: DataFrame, existing: DataFrame) -> DataFrame:
     return hashed.join(existing.select("hash"), "hash", "left_anti")
 
 
+def read_blobs(wanted: DataFrame, store: DataFrame) -> DataFrame:
+    """wanted (with hash) with status and content: ok, missing, or corrupt, where the stored content does not hash to its name."""
+    held = store.select(F.col("hash").alias("_name"), F.col("content").alias("_content"))
+    joined = wanted.join(held, F.col("hash") == F.col("_name"), "left")
+    status = F.when(F.col("_name").isNull(), "missing").when(F.sha2("_content", 256) != F.col("hash"), "corrupt").otherwise("ok")
+    return joined.withColumn("status", status).withColumn("content", F.when(F.col("status") == "ok", F.col("_content"))).drop("_name", "_content")
+
+
 def synthetic_events(spark: SparkSession, seed: int, count: int) -> DataFrame:
     """Reproducible events by (seed, count): seq, device, kind in a weighted mix, amount. A map over a range: any part can be made again."""
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col("id") + 1).cast("string")))

@@ -5,12 +5,12 @@ Order is by sequence number throughout; the high-water mark of a log is its larg
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomlake.plans import fold
+from loomlake.session import checkpointed, scratch
+from loomlake.sources import folders
 
 RESUME_FRAMES = 256
 
@@ -19,27 +19,71 @@ class ResumeWindowExceeded(Exception):
     """The cursor lies before the frames that are kept."""
 
 
-def folded_stream(spark: SparkSession, source: str, schema, prepare, table: fold.Table, folder: str | None = None, files_per_trigger: int = 1) -> DataFrame:
+def versions(spark: SparkSession, folder: str, before: int | None = None) -> dict[int, list[int]]:
+    """Of each bucket of a state, the batches that wrote it, newest first; batches whose write was cut off do not count."""
+    out: dict[int, list[int]] = {}
+    for name in folders.names(spark, folder):
+        n = int(name.split("=")[1])
+        if (before is None or n < before) and folders.exists(spark, f"{folder}/{name}/_SUCCESS"):
+            for bucket in folders.names(spark, f"{folder}/{name}"):
+                if bucket.startswith("bucket="):
+                    out.setdefault(int(bucket.split("=")[1]), []).append(n)
+    return {b: sorted(ns, reverse=True) for b, ns in out.items()}
+
+
+def folded_stream(spark: SparkSession, source: str, schema, prepare, table: fold.Table, folder: str | None = None, files_per_trigger: int = 64, buckets: int = 64) -> DataFrame:
     """Fold a stream of log files into a state table, batch by batch, and give the table as it stands at the end.
 
-    Each batch is folded on its own and merged with the state so far; the state of batch n is a folder of its own,
-    so a batch that is run again after a failure overwrites its own result and nothing else. The table must have
-    no deletes and no lenient creates.
+    The state is dealt into buckets by a hash of the key. A batch is folded on its own, and only the buckets that its
+    keys lie in are read, merged and written again, as that batch's version; of older versions the newest stays, so
+    that a batch that is run again after a failure starts from what it started from before and overwrites nothing
+    but its own result. The table must have no deletes and no lenient creates.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomlake-stream-")
-    folder = folder or f"{base}/stream-{spark.sparkContext.applicationId}-{spark.range(1).select(F.uuid()).first()[0]}"
+    folder = folder or scratch(spark, "stream")
+    state = f"{folder}/state"
+    bucket = F.pmod(F.xxhash64(*table.key), F.lit(buckets)).cast("int")
 
     def absorb(batch: DataFrame, batch_id: int) -> None:
-        tail = fold.state(prepare(batch), table)
-        if batch_id:
-            tail = fold.merge(spark.read.parquet(f"{folder}/state/{batch_id - 1}"), tail, table)
-        tail.write.mode("overwrite").parquet(f"{folder}/state/{batch_id}")
+        tail = checkpointed(fold.state(prepare(batch), table))
+        touched = [r[0] for r in tail.select(bucket).distinct().collect()]  # at most as many numbers as there are buckets
+        old = versions(spark, state, batch_id)
+        paths = [f"{state}/batch={old[b][0]}/bucket={b}" for b in touched if b in old]
+        merged = fold.merge(spark.read.parquet(*paths), tail, table) if paths else tail
+        if touched:
+            merged.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{state}/batch={batch_id}")
+        for b in touched:
+            for n in old.get(b, [])[1:]:
+                folders.remove(spark, f"{state}/batch={n}/bucket={b}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
-    run = stream.writeStream.foreachBatch(absorb).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start()
-    run.awaitTermination()
-    last = run.lastProgress["batchId"] if run.lastProgress else 0
-    return fold.finish(spark.read.parquet(f"{folder}/state/{last}"), table)
+    stream.writeStream.foreachBatch(absorb).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
+    paths = [f"{state}/batch={ns[0]}/bucket={b}" for b, ns in sorted(versions(spark, state).items())]
+    return fold.finish(spark.read.parquet(*paths) if paths else fold.state(prepare(spark.createDataFrame([], schema)), table), table)
+
+
+def follow(spark: SparkSession, source: str, schema, prepare, terminal: str, every: str = "25 milliseconds", patience_s: float = 600.0) -> DataFrame:
+    """Frames of a stream of files, polled until one that is terminal (a SQL condition) has come; those up to the first terminal one, by seq."""
+    import time
+
+    folder, ended = scratch(spark, "follow"), []
+
+    def absorb(batch: DataFrame, batch_id: int) -> None:
+        rows = prepare(batch)
+        rows.write.mode("overwrite").parquet(f"{folder}/frames/batch={batch_id}")
+        if rows.where(terminal).limit(1).count():
+            ended.append(batch_id)
+
+    stream = spark.readStream.schema(schema).parquet(source)
+    run = stream.writeStream.foreachBatch(absorb).option("checkpointLocation", f"{folder}/offsets").trigger(processingTime=every).start()
+    until = time.monotonic() + patience_s
+    while run.isActive and not ended and time.monotonic() < until:
+        run.awaitTermination(1)
+    run.stop()
+    if not folders.exists(spark, f"{folder}/frames"):
+        return prepare(spark.createDataFrame([], schema))
+    frames = spark.read.parquet(f"{folder}/frames").drop("batch")
+    first = frames.where(terminal).agg(F.min("seq").alias("_end"))
+    return frames.join(F.broadcast(first)).where(F.col("_end").isNull() | (F.col("seq") <= F.col("_end"))).drop("_end")
 
 
 def resume_window(frames: DataFrame, by: str, order: str, keep: int = RESUME_FRAMES) -> DataFrame:
