@@ -46,6 +46,32 @@ def reap(jobs: DataFrame, leases: DataFrame, now_ms: int, attempts_max: int = 3)
     return joined.select("job_id", "worker", action.alias("action"))
 
 
+def lease_rows(claimed: DataFrame, worker: Column, now_ms: int, ttl_ms: int) -> DataFrame:
+    """The leases that claims insert: job_id, worker, expires_ts_ms. Claims hold no leased job, so the insert is strict by construction."""
+    return claimed.select("job_id", worker.alias("worker"), (F.lit(now_ms) + ttl_ms).alias("expires_ts_ms"))
+
+
+def settled(jobs: DataFrame, leases: DataFrame, reports: DataFrame, now_ms: int, attempts_max: int = 3) -> DataFrame:
+    """reports (job_id, worker, outcome: complete or fail) with the job's new state and attempt_count, and whether its lease is released.
+
+    A report counts only if its worker holds the job's lease and the lease is alive; else it is refused and nothing changes.
+    """
+    live = leases.where(F.col("expires_ts_ms") > now_ms).select(F.col("job_id").alias("_job"), F.col("worker").alias("_worker"))
+    joined = reports.join(jobs.select("job_id", "attempt_count"), "job_id").join(live, (F.col("job_id") == F.col("_job")) & (F.col("worker") == F.col("_worker")), "left")
+    heard, tried = F.col("_job").isNotNull(), F.col("attempt_count") + 1
+    state = F.when(~heard, "refused").when(F.col("outcome") == "complete", "done").when(tried > attempts_max, "dead").otherwise("queued")
+    return joined.select("job_id", state.alias("state"), F.when(heard, tried).otherwise(F.col("attempt_count")).alias("attempt_count"), heard.alias("released"))
+
+
+def superseded(waiting: DataFrame, work: list[str], order: str) -> DataFrame:
+    """waiting jobs with superseded: all but the newest for the same work. The newest is an aggregate joined back, so that a hot key can be split."""
+    newest = waiting.groupBy(*(F.col(c).alias(f"_{c}") for c in work)).agg(F.max(order).alias("_newest"))
+    same = F.lit(True)
+    for c in work:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return waiting.join(newest, same).withColumn("superseded", F.col(order) < F.col("_newest")).drop("_newest", *(f"_{c}" for c in work))
+
+
 def backoff_window(attempt: Column) -> Column:
     """Milliseconds up to which a retry may wait: doubling from the base, capped."""
     return F.least(F.lit(BACKOFF_BASE_MS) * F.pow(F.lit(2.0), F.least(attempt, F.lit(30)) - 1), F.lit(float(BACKOFF_CAP_MS))).cast("long")

@@ -132,3 +132,8 @@ def strict_violations(log: DataFrame, t: Table) -> DataFrame:
     alive = F.coalesce(F.last(mark, ignorenulls=True).over(w), F.lit(0))
     problem = F.when(F.col("kind").isin(*t.creates) & (alive == 1), "duplicate").when(~F.col("kind").isin(*t.creates) & (alive == 0), "missing")
     return log.select(*t.key, t.order, "kind", problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def ddl(name: str, df: DataFrame) -> str:
+    """The statement that makes an empty table of df's schema."""
+    return f"CREATE TABLE {name} ({', '.join(f'{f.name} {f.dataType.simpleString().upper()}' for f in df.schema)}) USING PARQUET"

@@ -193,13 +193,6 @@ def budget_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("run_id", first.alias("exceeded"))
 
 
-@query("""SELECT CASE WHEN l_linenumber > 6 THEN 'steps' WHEN l_quantity > 48 THEN 'tokens' WHEN l_discount > 0.09 THEN 'money' ELSE 'within' END AS outcome, count(*) AS n FROM lineitem GROUP BY 1""")
-def reservation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What was used against what had been reserved, by dimension."""
-    outcome = F.when(F.col("l_linenumber") > 6, "steps").when(F.col("l_quantity") > 48, "tokens").when(F.col("l_discount") > 0.09, "money").otherwise("within")
-    return table(spark, sf_dir, "lineitem").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
-
-
 @query("""WITH e AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, page_id % 3 AS policy FROM pages)
 SELECT page_id, host, CASE WHEN host IN ('localhost', '127.0.0.1', '[::1]') THEN 'allow' WHEN policy = 0 THEN 'deny' WHEN policy = 1 THEN 'allow' WHEN suffix(host, '.org') THEN 'allow' ELSE 'deny' END AS decision FROM e""")
 def policy_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,10 +210,3 @@ def submit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = d.join(l, F.col("doc_id") == F.col("known"), "left")
     outcome = F.when(F.col("n_chars") > 20000, "refused").when(F.col("known").isNotNull(), "duplicate").otherwise("added")
     return s.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
-
-
-@query(f"WITH {CALLS_SQL} SELECT project, count(*) AS calls, count(*) FILTER (cost_kind IS NOT NULL) AS ledger_rows, count(*) = count(*) FILTER (cost_kind IS NOT NULL) AS balanced FROM calls GROUP BY project")
-def dispatch_ledger_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every dispatched call, failures included, has exactly one ledger row."""
-    rows = F.count_if(F.col("cost_kind").isNotNull())
-    return model_calls(spark, sf_dir).groupBy("project").agg(F.count("*").alias("calls"), rows.alias("ledger_rows"), (F.count("*") == rows).alias("balanced"))
