@@ -1,5 +1,7 @@
 """The registered queries against their SQL, and the pipeline's stages against plain checks."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -46,7 +48,56 @@ def test_pipeline(spark, data):
 
 
 def test_pipeline_of_odd_rows(spark, data, odd, none):
-    for docs in (odd, none):
-        for name, stage in corpus_pipeline.STAGES:
-            out = stage(spark, docs, data)
-            assert out.count() >= 0, name
+    """Each stage on nulls, empty and very long texts, repeats and clashing names; each on an empty table."""
+    read = lambda df: sorted(str(r) for r in df.collect())
+    before = read(odd)
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in stages.items():
+        assert stage(spark, none, data).count() == 0, name
+    kept = read(stages["quality classifier"](spark, odd, data))
+    assert set(kept) <= set(before) and len(kept) <= len(before)
+    assert read(stages["line dedup"](spark, odd, data)) == before
+    near = stages["near duplicates"](spark, odd, data)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in near.collect()) == [(False, 1), (False, 4), (False, 5), (False, 7), (False, 8), (True, 0)]
+    assert near.columns == odd.columns
+    assert read(stages["benchmark decontamination"](spark, odd, data)) == before
+    mixed = stages["mixing to weights"](spark, odd, data).collect()
+    texts = {(r.doc_id, r.text) for r in odd.collect()}
+    assert {(r.doc_id, r.text) for r in mixed} <= texts and {r.mix_copy for r in mixed} <= {1, 2, 3}
+    assert all(r.words == len((r.text or "").split()) for r in mixed)
+
+
+def test_near_duplicate_stage_equals_brute_force(spark):
+    """The stage on a whole table against exact similarities of all pairs of texts that share a shingle."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+
+    def shingles(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+        return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+    sets = {}
+    for d, t in texts.items():
+        sets.setdefault(shingles(t), []).append(d)
+    bodies = list(sets)
+    holders, shared = {}, {}
+    for k, s in enumerate(bodies):
+        for x in s:
+            for j in holders.setdefault(x, []):
+                shared[j, k] = shared.get((j, k), 0) + 1
+            holders[x].append(k)
+    group = list(range(len(bodies)))
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for (j, k), n in shared.items():
+        if 100 * n >= 80 * (len(bodies[j]) + len(bodies[k]) - n):
+            group[max(root(j), root(k))] = min(root(j), root(k))
+    least = {}
+    for k, s in enumerate(bodies):
+        least[root(k)] = min([least.get(root(k), sets[s][0]), *sets[s]])
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near duplicates"](spark, docs, "/root/testdata/sf0.01").collect()}
+    assert kept == set(least.values())
