@@ -73,8 +73,8 @@ def identical(rendered: Column, role: Column, text: Column) -> Column:
     return (F.size(read) == 1) & (F.get(read, 0)["text"] == text) & (F.get(read, 0)["role"] == role)
 
 
-def format_chats(conversations: DataFrame) -> DataFrame:
-    """conv_id, formatted: each conversation rendered so that the parser gives back its very turns."""
+def checked_chats(conversations: DataFrame) -> DataFrame:
+    """conv_id, formatted, turns: each conversation rendered so that the parser gives back its very turns, and what it gives back."""
     role, text = F.col("role"), F.col("text")
     turns = conversations.withColumn("plain", render(escape_role(role), text))
     # Without a `<` in text or role, nothing can be misread.
@@ -85,10 +85,18 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text", "rendered")), lambda a, b: F.when(a["turn"].eqNullSafe(b["turn"]), F.when((a["role"] == b["role"]) & (a["text"] == b["text"]), 0).when((a["role"] < b["role"]) | ((a["role"] == b["role"]) & (a["text"] < b["text"])), -1).otherwise(1)).when(a["turn"].isNull() | (a["turn"] < b["turn"]), -1).otherwise(1))
     chats = turns.groupBy("conv_id").agg(ordered.alias("source")).select("conv_id", "source", F.array_join(F.transform("source", lambda t: t["rendered"]), "").alias("formatted"))
     said = lambda turns: F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    same = lambda formatted: said(parse(formatted)) == said(F.col("source"))
+    # Parsed once: the comparison and all that is read back share it.
+    chats = chats.withColumn("turns", parse(F.col("formatted")))
     full = F.array_join(F.transform("source", lambda t: render(escape_role(t["role"]), escape(t["text"]))), "")
-    again = F.when(same(full), full).otherwise(F.raise_error(F.lit("a conversation that does not come back")))
-    return chats.select("conv_id", F.when(same(F.col("formatted")), F.col("formatted")).otherwise(again).alias("formatted"))
+    pair = lambda formatted, turns: F.struct(formatted.alias("formatted"), turns.alias("turns"))
+    again = F.when(said(parse(full)) == said(F.col("source")), pair(full, parse(full))).otherwise(F.raise_error(F.lit("a conversation that does not come back")))
+    chats = chats.select("conv_id", F.when(said(F.col("turns")) == said(F.col("source")), pair(F.col("formatted"), F.col("turns"))).otherwise(again).alias("chat"))
+    return chats.select("conv_id", "chat.formatted", "chat.turns")
+
+
+def format_chats(conversations: DataFrame) -> DataFrame:
+    """conv_id, formatted: each conversation rendered so that the parser gives back its very turns."""
+    return checked_chats(conversations).select("conv_id", "formatted")
 
 
 def loss_spans(turns: Column) -> Column:
@@ -101,8 +109,8 @@ def loss_spans(turns: Column) -> Column:
 
 def chat_report(conversations: DataFrame) -> DataFrame:
     """The contract's columns, read back from the formatted text."""
-    chats = format_chats(with_probe(conversations))
-    chats = chats.withColumn("turns", parse(F.col("formatted"))).withColumn("spans", loss_spans(F.col("turns")))
+    chats = checked_chats(with_probe(conversations))
+    chats = chats.withColumn("spans", loss_spans(F.col("turns")))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     learned = F.array_join(F.transform("spans", lambda s: unescape(F.substr(F.col("formatted"), s["start"] + 1, s["length"]))), "")
     chats = chats.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), learned.alias("learned"), F.char_length("formatted").cast("long").alias("formatted_chars"))
