@@ -9,8 +9,9 @@ random-access points are stored as columns.
 The work on a document is a few vectorised steps over its own bytes, so a task holds one Arrow batch at a time.
 
 Edge cases: a null text is empty; the padded payload of an empty text is 64 zero bytes; very long texts take
-several elementary packets; equal texts give equal streams; an empty table gives an empty result; other columns
-are ignored.
+several elementary packets; equal texts give equal streams; repeated rows and null ids give a row each; an empty
+table gives an empty result; other columns are ignored. The reader takes streams of one program whose tables fit a
+packet each, as this muxer writes them; a repeated packet or one without payload counts as a continuity error.
 """
 
 from __future__ import annotations

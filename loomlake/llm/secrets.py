@@ -6,8 +6,8 @@ leaves), and the run is a span of kind "entropy" if its densest window reaches t
 character class and no allow-list pattern fits it. Spans of the three fixed kinds are never removed.
 
 All of it is column expressions: matches and the gaps between them give positions by running sums, and the
-window is a fold over the characters of a candidate. Each text is scanned once per kind; folds run only where
-something was found. There is no shuffle.
+window is a fold over the characters of a candidate. Each text is scanned once per kind, and once more for the gaps
+of the kinds that it holds; folds run only where something was found. There is no shuffle.
 
 Positions count code points, the end exclusive. Edge cases: a null or empty text has no spans; the digest is
 then that of the empty string; repeated rows give repeated results; an empty table gives an empty result; other
@@ -161,7 +161,7 @@ placed AS (SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY row, kind O
 dense AS (SELECT row, m, i, min(w) AS least FROM (
     SELECT row, m, i, j, sum({weights}[n + 1]) AS w FROM (
       SELECT row, m, i, j, c, count(*) AS n FROM (
-        SELECT row, m, i, j, substr(m, CAST(j + x AS BIGINT), 1) AS c FROM placed, range(1, 20000) AS q(j), range(0, {WINDOW}) AS y(x) WHERE kind = 3 AND j + {WINDOW - 1} <= length(m) AND {fits})
+        SELECT row, m, i, j, substr(m, CAST(j + x AS BIGINT), 1) AS c FROM (SELECT row, m, i, unnest(range(1, CAST(length(m) - {WINDOW - 2} AS BIGINT))) AS j FROM placed WHERE kind = 3 AND {fits}), range(0, {WINDOW}) AS y(x))
       GROUP BY ALL) GROUP BY ALL) GROUP BY ALL),
 base AS (SELECT row, kind, name, CAST(stop - length(m) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM placed WHERE CASE name {tests} ELSE false END),
 more AS (SELECT a.row, 3 AS kind, 'entropy' AS name, CAST(a.stop - length(a.m) AS BIGINT) AS start, CAST(a.stop AS BIGINT) AS stop
