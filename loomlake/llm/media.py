@@ -10,8 +10,9 @@ The work on a document is a few vectorised steps over its own bytes, so a task h
 
 Edge cases: a null text is empty; the padded payload of an empty text is 64 zero bytes; very long texts take
 several elementary packets; equal texts give equal streams; repeated rows and null ids give a row each; an empty
-table gives an empty result; other columns are ignored. The reader takes streams of one program whose tables fit a
-packet each, as this muxer writes them; a repeated packet or one without payload counts as a continuity error.
+table gives an empty result; other columns are ignored. The reader takes streams of several programs, sections over
+packet bounds, repeated packets, packets without payload and announced jumps of a counter; it refuses damaged tables
+and streams that are out of step. A repeat is one that is equal byte for byte.
 """
 
 from __future__ import annotations
@@ -111,10 +112,81 @@ def mux(payload: bytes) -> bytes:
     return b"".join(out)
 
 
-def demux(stream: bytes) -> dict:
+def _fields(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes before the payload of each packet (its adaptation field), and the field's flags, zero without."""
+    has = (rows[:, 3] & 0x20) != 0
+    flags = np.where(has & (rows[:, 4] > 0), rows[:, 5], 0)
+    return np.where(has, rows[:, 4].astype(np.int32) + 1, 0), flags
+
+
+def continuity(rows: np.ndarray) -> tuple[np.ndarray, int]:
+    """Which packets of one stream carry new payload, and how often its counter breaks.
+
+    The counter goes up by one with each packet that has payload and stands still without; one repeat of a packet,
+    and a jump that the packet announces, are legal.
+    """
+    full = (rows[:, 3] & 0x10) != 0
+    step = np.diff(rows[:, 3].astype(np.int16) & 0x0F, prepend=0) % 16
+    repeat = np.zeros(len(rows), bool)
+    still = np.flatnonzero(full & (step == 0))
+    still = still[still > 0]
+    repeat[still] = (rows[still] == rows[still - 1]).all(axis=1)
+    legal = (step == full) | (_fields(rows)[1] & 0x80 != 0) | repeat & ~np.roll(repeat, 1)
+    return full & ~repeat, int((~legal[1:]).sum())
+
+
+def sections(rows: np.ndarray) -> list[bytes]:
+    """The program-table sections in the packets of one stream; one may span packets, and a packet may hold several."""
+    found, open_section = [], b""
+
+    def take(data: bytes) -> bytes:
+        while len(data) >= 3 and data[0] != 0xFF:
+            n = 3 + ((data[1] & 0x0F) << 8 | data[2])
+            if len(data) < n:
+                return data
+            if section_crc(data[:n]):
+                raise ValueError("checksum of a program table")
+            found.append(data[:n])
+            data = data[n:]
+        return b"" if data[:1] == b"\xff" else data
+
+    rows = rows[continuity(rows)[0]]
+    for row, at in zip(rows, _fields(rows)[0], strict=True):
+        body = row[4 + at :].tobytes()
+        if row[1] & 0x40:
+            if open_section:
+                take(open_section + body[1 : 1 + body[0]])
+            open_section = take(body[1 + body[0] :])
+        elif open_section:
+            open_section = take(open_section + body)
+    return found
+
+
+def programs(packets: np.ndarray, pids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+    """The elementary streams (type, packet id) of every program, as the tables in force name them."""
+    maps, found = {}, {}
+    for s in sections(packets[pids == PAT_PID]):
+        if s[0] == 0x00 and s[5] & 1:
+            entries = [s[k : k + 4] for k in range(8, len(s) - 4, 4)]
+            maps.update({int.from_bytes(e[:2], "big"): int.from_bytes(e[2:], "big") & 0x1FFF for e in entries})
+    maps.pop(0, None)  # the network's own table
+    for pid in dict.fromkeys(maps.values()):
+        for s in sections(packets[pids == pid]):
+            number = int.from_bytes(s[3:5], "big")
+            if s[0] != 0x02 or not s[5] & 1 or maps.get(number) != pid or number in found:
+                continue
+            at, found[number] = 12 + (int.from_bytes(s[10:12], "big") & 0x0FFF), []
+            while at < len(s) - 4:
+                found[number].append((s[at], int.from_bytes(s[at + 1 : at + 3], "big") & 0x1FFF))
+                at += 5 + (int.from_bytes(s[at + 3 : at + 5], "big") & 0x0FFF)
+    return {n: found[n] for n in maps if n in found}
+
+
+def demux(stream: bytes, program: int | None = None, stream_type: int | None = None) -> dict:
     """payload, time stamps, random-access points (packet numbers), packets and continuity errors of a stream.
 
-    The elementary stream is found by way of the program tables, never assumed.
+    The elementary stream is found by way of the program tables, never assumed: the first of its program and type, of
+    any where none is named. An elementary packet without time stamp has None.
     """
     if len(stream) % PACKET:
         raise ValueError("a transport stream is a whole number of packets")
@@ -122,27 +194,16 @@ def demux(stream: bytes) -> dict:
     if (packets[:, 0] != SYNC).any():
         raise ValueError("lost synchronisation")
     pids = (packets[:, 1].astype(np.int32) & 0x1F) << 8 | packets[:, 2]
+    named = [pid for n, streams in programs(packets, pids).items() for kind, pid in streams if program in (None, n) and stream_type in (None, kind)]
+    if not named:
+        raise ValueError("no such program or stream")
 
-    def section(pid: int) -> bytes:
-        body = packets[np.flatnonzero(pids == pid)[0], 4:].tobytes()
-        body = body[1 + body[0] :]
-        body = body[: 3 + ((body[1] & 0x0F) << 8 | body[2])]
-        if section_crc(body):
-            raise ValueError("checksum of a program table")
-        return body
-
-    pat = section(PAT_PID)
-    pmt = section((pat[10] & 0x1F) << 8 | pat[11])
-    skip = 12 + ((pmt[10] & 0x0F) << 8 | pmt[11])
-    data_pid = (pmt[skip + 1] & 0x1F) << 8 | pmt[skip + 2]
-
-    own = np.flatnonzero(pids == data_pid)
+    own = np.flatnonzero(pids == named[0])
+    new, errors = continuity(packets[own])
+    own = own[new]
     rows = packets[own]
-    counters = rows[:, 3] & 0x0F
-    errors = int((np.diff(counters.astype(np.int16)) % 16 != 1).sum())
-    has_field = (rows[:, 3] & 0x20) != 0
-    skipped = np.where(has_field, rows[:, 4].astype(np.int32) + 1, 0)
-    random = has_field & (rows[:, 4] > 0) & ((rows[:, 5] & 0x40) != 0)
+    skipped, flags = _fields(rows)
+    random = (flags & 0x40) != 0
     starts = np.flatnonzero(rows[:, 1] & 0x40)
     payload, stamps = [], []
     for a, b in zip(starts, [*starts[1:], len(rows)], strict=True):
@@ -150,8 +211,9 @@ def demux(stream: bytes) -> dict:
         pes = rows[a:b, 4:][inside].tobytes()
         if pes[:3] != b"\x00\x00\x01":
             raise ValueError("start code of an elementary packet")
-        stamps.append(read_time_stamp(pes[9:14]))
-        payload.append(pes[9 + pes[8] : 6 + int.from_bytes(pes[4:6], "big")])
+        length = int.from_bytes(pes[4:6], "big")  # zero: up to the next one
+        stamps.append(read_time_stamp(pes[9:14]) if pes[7] & 0x80 else None)
+        payload.append(pes[9 + pes[8] : 6 + length if length else None])
     return {"payload": b"".join(payload), "stamps": stamps, "random": own[random].tolist(), "packets": len(packets), "errors": errors}
 
 

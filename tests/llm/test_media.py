@@ -56,3 +56,63 @@ def test_features(spark, odd, none):
     assert media.media_features(odd).count() == odd.count() and media.media_features(none).count() == 0
     stored = media.media_table(docs).where("doc_id = 6").first()
     assert len(stored.time_stamps) == len(stored.random_access) == -(-200_000 // media.UNIT)
+
+def packet(pid, counter, body, start=False, field=None, full=True):
+    """A hand-made packet: body is filled up behind an adaptation field (flags and more) as need be."""
+    room = 184 - (len(body) if full else 0)
+    head = bytes([0x47, (0x40 if start else 0) | pid >> 8, pid & 0xFF, (0x10 if full else 0) | (0x20 if room else 0) | counter])
+    flags = (field if field is not None else b"\x00")[: max(room - 1, 0)]
+    return head + (bytes([room - 1]) + flags.ljust(room - 1, b"\xff") if room else b"") + (body if full else b"")
+
+
+def section(table, number, body):
+    data = bytes([table]) + (0xB000 | len(body) + 9).to_bytes(2, "big") + number.to_bytes(2, "big") + b"\xc1\x00\x00" + body
+    return data + media.section_crc(data).to_bytes(4, "big")
+
+
+def elementary(payload, stamp):
+    return b"\x00\x00\x01\xbd\x00\x00" + (b"\x84\x80\x05" + media.time_stamp(stamp) if stamp is not None else b"\x84\x00\x00") + payload
+
+
+def two_programs(between=b""):
+    """A table of two programs behind the network's entry, a map that spans two packets, and one map beside another in a packet."""
+    pat = section(0, 1, b"\x00\x00\xe0\x10" + b"\x00\x07\xe2\x00" + b"\x00\x09\xe3\x00")
+    long = section(2, 7, b"\xe1\x00\xf0\xc8" + b"d" * 200 + b"\x1b\xe1\x01\xf0\x03abc" + b"\x06\xe1\x00\xf0\x00")
+    other = section(2, 9, b"\xe1\x02\xf0\x00" + b"\x06\xe1\x02\xf0\x00")
+    foreign = section(2, 8, b"\xe1\x05\xf0\x00" + b"\x06\xe1\x05\xf0\x00")
+    out = packet(0, 0, b"\x00" + pat, start=True) + packet(0x200, 0, b"\x00" + long[:183], start=True) + packet(0x200, 1, bytes([len(long) - 183]) + long[183:], start=True)
+    out += packet(0x300, 0, b"\x00" + foreign + other, start=True)
+    out += packet(0x101, 5, elementary(b"picture", 900), start=True, field=b"\x40") + packet(0x100, 14, elementary(b"words", 7), start=True)
+    return out + packet(0x101, 6, b" goes on") + between + packet(0x102, 3, elementary(b"nine", None), start=True) + packet(0x101, 7, b" and ends")
+
+
+def test_programs_and_tables_over_packet_bounds():
+    read = media.demux(two_programs())
+    assert (read["payload"], read["stamps"], read["random"], read["packets"], read["errors"]) == (b"picture goes on and ends", [900], [4], 9, 0)
+    assert media.demux(two_programs(), program=7, stream_type=6)["payload"] == b"words"
+    nine = media.demux(two_programs(), program=9)
+    assert (nine["payload"], nine["stamps"]) == (b"nine", [None])
+    with pytest.raises(ValueError):
+        media.demux(two_programs(), program=8)
+
+
+@pytest.mark.parametrize(
+    "between, errors",
+    [
+        (packet(0x101, 6, b" goes on"), 0),
+        (packet(0x101, 6, b" goes on") * 2, 1),
+        (packet(0x101, 6, b"", full=False), 0),
+        (packet(0x101, 9, b"", full=False), 2),
+        (packet(0x101, 6, b"", full=False, field=b"\x80"), 0),
+        (packet(0x1FFF, 0, b"idle"), 0),
+    ],
+)
+def test_repeats_and_packets_without_payload(between, errors):
+    read = media.demux(two_programs(between))
+    assert (read["payload"], read["errors"]) == (b"picture goes on and ends", errors)
+
+
+def test_an_announced_jump_is_no_error():
+    jump = lambda flags: two_programs() + packet(0x101, 13, b", later", field=flags)
+    assert media.demux(jump(b"\x00"))["errors"] == 1 and media.demux(jump(b"\x80"))["errors"] == 0
+    assert media.demux(jump(b"\x80"))["payload"] == b"picture goes on and ends, later"
