@@ -8,10 +8,12 @@ fingerprints meet under keys that lose none: the 64 bits are cut into stretches,
 differ in at most RADIUS bits agree in all stretches but RADIUS. The number of stretches follows the number of
 classes, so that by chance a key has about one member at any size.
 
-A key with at most SMALL members is one array, sifted by the table. Larger ones, which near copies in great number
-make, are dealt into shards; every pair of shards is one bounded group in which a walk over the pivot
-table gives a spanning forest, never all pairs. Components then come from the links by alternating large and small
-stars, each round written to the checkpoint folder; nothing is collected.
+A key with at most SMALL members is one array, sifted by the table. In larger ones, which near copies in great number
+make, all members are first compared with HUBS of them. What is linked with hubs that are connected is one component
+and needs no further pairs among itself; only what is left over, if anything, is dealt into shards and meets all members of
+its key, in bounded groups in which a walk over the pivot table gives a spanning forest, never all pairs. Components
+then come from the links by alternating large and small stars, each round written to the checkpoint folder; nothing
+is collected.
 
 near_duplicates() links texts by similarity of their word shingles instead: keys are bands of a MinHash sketch, the
 sizes of the shingle sets and the sketch, with a wide margin, discard, and the sets of every survivor are compared in
@@ -42,8 +44,8 @@ SEED = 42
 RADIUS = 3
 #: Reference fingerprints; their distances are packed eight to a long.
 PIVOTS_N = 16
-#: Largest key that is joined with itself, and members of a shard of a larger one.
-SMALL, SHARD = 32, 1024
+#: Largest key that is joined with itself, members of a shard of a larger one, and members of such a one that all others are compared with first.
+SMALL, SHARD, HUBS = 32, 1024, 4
 #: The sketch of near_duplicates: values, values per band, and the similarity (of the shingle sets) that links.
 #: With independent values a pair of that similarity has no band of four in common once in 12 million.
 SKETCH, BAND, SIMILARITY = 126, 4, 0.8
@@ -149,12 +151,30 @@ def _tables(fps: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fps[:, None] ^ np.array(PIVOTS, np.uint64)[None, :]).astype(np.int16)
 
 
-def sharded(members: DataFrame, key: list[str], sizes: DataFrame, node: str) -> DataFrame:
-    """members of large keys, dealt so that every two members of a key meet in one bounded group (key..., low, high)."""
-    shards = F.ceil(F.col("n") / SHARD).cast("int")
-    large = members.join(sizes.where(F.col("n") > SMALL), key).withColumn("shard", F.pmod(F.xxhash64(F.lit(1), node), shards).cast("int"))
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), shards - 1)))
-    return large.withColumns({"low": F.least("shard", "other"), "high": F.greatest("shard", "other")}).drop("n", "shard", "other")
+def settled(offers: DataFrame, key: list[str], node: str) -> DataFrame:
+    """offers (key..., node, near: bits of the key's hubs that the node is linked with) with open: whether it is not connected over the hubs with most of its key.
+
+    Hubs are connected where a node is linked with both. The sets of hubs that occur in a key are at most 2 ** HUBS.
+    """
+    counts = (F.struct(F.count_if(F.col("near").bitwiseAND(F.lit(1 << k)) != 0).alias("n"), F.lit(1 << k).alias("hub")) for k in range(HUBS))
+    found = offers.groupBy(*key).agg(F.collect_set("near").alias("met"), F.array_max(F.array(*counts))["hub"].alias("start"))
+    spread = lambda acc: F.aggregate("met", acc, lambda a, m: F.when(a.bitwiseAND(m) != 0, a.bitwiseOR(m)).otherwise(a))
+    found = found.select(*key, F.aggregate(F.sequence(F.lit(1), F.lit(HUBS)), F.col("start"), lambda acc, _: spread(acc)).alias("core"))
+    return offers.join(found, key).select(*key, node, (F.col("near").bitwiseAND(F.col("core")) == 0).alias("open"))
+
+
+def sharded(members: DataFrame, key: list[str], node: str) -> DataFrame:
+    """members (key..., node, open) dealt so that each open one meets every one of its key in some bounded group (key..., low, high).
+
+    Those that are not open are connected already, so a key without open members gives no group.
+    """
+    sizes = members.groupBy(*key).agg(F.count("*").alias("n"), F.count_if("open").alias("n_open")).where("n_open > 0")
+    lows, highs = (F.ceil(F.col(c) / SHARD).cast("int") for c in ("n_open", "n"))
+    dealt = members.join(sizes, key).select(*key, node, "open", lows.alias("lows"), highs.alias("highs"), F.xxhash64(F.lit(1), node).alias("deal"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    turn = lambda n: F.pmod("deal", F.col(n)).cast("int")
+    asking = dealt.where("open").select(*key, node, turn("lows").alias("low"), every("highs").alias("high"))
+    return asking.unionByName(dealt.select(*key, node, every("lows").alias("low"), turn("highs").alias("high")))
 
 
 def hamming_links(classes: DataFrame) -> DataFrame:
@@ -170,15 +190,24 @@ def hamming_links(classes: DataFrame) -> DataFrame:
     pairs = few.select(F.inline(F.flatten(F.transform("own", sifted))))
     links = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
 
+    large = members.where(F.col("n") > SMALL).drop("n")
+    hubs = large.groupBy("part", "bits").agg(F.array(*(F.min(F.when(F.pmod(F.xxhash64("fp"), F.lit(HUBS)) == k, F.col("fp"))) for k in range(HUBS))).alias("hubs"))
+    offers = large.join(hubs, ["part", "bits"]).withColumns({"table": pivot_table(F.col("fp"))})
+    linked = lambda h: F.coalesce(within(F.col("table"), pivot_table(h), RADIUS) & (F.bit_count(F.col("fp").bitwiseXOR(h)) <= RADIUS), F.lit(False))
+    offers = offers.select("part", "bits", "fp", "hubs", F.transform("hubs", linked).alias("linked"))
+    near = F.aggregate(F.transform("linked", lambda x, k: F.when(x, F.pow(F.lit(2), k).cast("int")).otherwise(0)), F.lit(0), lambda acc, x: acc + x)
+    offers = common.checkpointed(offers.select("part", "bits", "fp", "hubs", "linked", near.alias("near")))
+    to_hubs = offers.select(F.col("fp").alias("a"), F.explode(F.filter("hubs", lambda h, k: F.get("linked", k))).alias("b")).where("a <> b")
+
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         fps = np.unique(group["fp"].to_numpy().astype(np.uint64))
         alike = lambda v, others: np.bitwise_count(fps[others] ^ fps[v]) <= RADIUS
         pairs = np.array(forest(fps, _tables(fps), RADIUS, alike), np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": fps[pairs[:, 0]].astype(np.int64), "b": fps[pairs[:, 1]].astype(np.int64)})
 
-    many = sharded(members.where(F.col("n") > SMALL).drop("n"), ["part", "bits"], sizes, "fp")
+    many = sharded(common.checkpointed(settled(offers, ["part", "bits"], "fp")), ["part", "bits"], "fp")
     walked = many.groupBy("part", "bits", "low", "high").applyInPandas(walk, "a long, b long")
-    return links.unionByName(walked)
+    return links.unionByName(to_hubs).unionByName(walked)
 
 
 def stars(links: DataFrame) -> DataFrame:
@@ -272,7 +301,13 @@ def similar_links(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
 
     few = members.where(F.col("n") <= SMALL).drop("n")
     other = few.select(F.col("band").alias("band_"), F.col("body").alias("b"))
-    pairs = few.join(other, (F.col("band") == F.col("band_")) & (F.col("body") < F.col("b"))).select(F.col("body").alias("a"), "b").distinct()
+    pairs = few.join(other, (F.col("band") == F.col("band_")) & (F.col("body") < F.col("b"))).select(F.col("body").alias("a"), "b")
+    large = members.where(F.col("n") > SMALL).drop("n")
+    hubs = large.groupBy("band").agg(F.array(*(F.min(F.when(F.pmod(F.xxhash64("body"), F.lit(HUBS)) == k, F.col("body"))) for k in range(HUBS))).alias("hubs"))
+    offers = large.join(hubs, "band").select("band", "body", F.posexplode("hubs").alias("k", "hub")).where("hub IS NOT NULL")
+    offers = common.checkpointed(offers.withColumns({"least": F.least("body", "hub"), "most": F.greatest("body", "hub")}))
+    # A hub is mostly the same one in many bands.
+    pairs = pairs.unionByName(offers.where("least < most").select(F.col("least").alias("a"), F.col("most").alias("b"))).distinct()
     pairs = pairs.join(values, F.col("a") == F.col("of")).drop("of")
     pairs = pairs.join(values.select("of", *(F.col(c).alias(f"{c}_") for c in ("size", "sketch"))), F.col("b") == F.col("of"))
     # At best the smaller set lies in the other.
@@ -280,13 +315,17 @@ def similar_links(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     equal = F.aggregate(F.zip_with("sketch", "sketch_", lambda x, y: (x == y).cast("int")), F.lit(0), lambda acc, x: acc + x)
     pairs = common.checkpointed(pairs.where(near).where(equal >= enough).select("a", "b"))
 
-    large = members.where(F.col("n") > SMALL).drop("n")
     named = [pairs.select(F.col("a").alias("of")), pairs.select(F.col("b").alias("of")), large.select(F.col("body").alias("of"))]
     sets = shingle_sets(docs, named[0].unionByName(named[1]).unionByName(named[2]).distinct(), words)
     checked = pairs.join(sets, F.col("a") == F.col("of")).drop("of")
     checked = checked.join(sets.select("of", F.col("shingles").alias("shingles_")), F.col("b") == F.col("of"))
     shared = F.size(F.array_intersect("shingles", "shingles_"))
-    links = checked.where(similar(shared, F.size("shingles"), F.size("shingles_"))).select("a", "b")
+    links = common.checkpointed(checked.where(similar(shared, F.size("shingles"), F.size("shingles_"))).select("a", "b"))
+
+    met = offers.join(links, (F.col("least") == F.col("a")) & (F.col("most") == F.col("b")), "left")
+    hit = F.when((F.col("least") == F.col("most")) | F.col("a").isNotNull(), F.pow(F.lit(2), "k").cast("int")).otherwise(0)
+    met = met.groupBy("band", "body").agg(F.sum(hit).cast("int").alias("near"))
+    dealt = sharded(common.checkpointed(settled(common.checkpointed(met), ["band"], "body")), ["band"], "body")
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("body")
@@ -305,8 +344,7 @@ def similar_links(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
         found = np.array(forest(bodies, np.zeros((len(bodies), 1)), 0, alike), np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": bodies[found[:, 0]], "b": bodies[found[:, 1]]})
 
-    many = sharded(large, ["band"], sizes, "body")
-    many = many.join(values.join(sets, "of"), F.col("body") == F.col("of")).drop("of")
+    many = dealt.join(values.join(sets, "of"), F.col("body") == F.col("of")).drop("of")
     walked = many.groupBy("band", "low", "high").applyInPandas(walk, "a long, b long")
     return links.unionByName(walked)
 
