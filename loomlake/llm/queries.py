@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, common, decontam, exact, licenses, lines, media, mixing, quality, secrets, simhash, urls
+from . import chat, clusters, common, decontam, exact, licenses, lines, media, mixing, quality, secrets, simhash, urls
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op10_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(common.table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(common.table(spark, sf_dir, "embeddings"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.copy_report(common.table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_line_templates": op9_line_templates,
     "op10_transport_streams": op10_transport_streams,
+    "op11_centroid_clusters": op11_centroid_clusters,
     "op13_exact_dedup": op13_exact_dedup,
     "pipeline": pipeline,
 }
@@ -85,6 +90,7 @@ ORACLES: dict[str, str] = {
     "op5_url_verdicts": urls.oracle(),
     "op7_licenses": licenses.oracle(),
     "op9_line_templates": lines.oracle(),
+    "op11_centroid_clusters": clusters.oracle(),
     "op13_exact_dedup": exact.ORACLE,
     "op8_source_mix": r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
