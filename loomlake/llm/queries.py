@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, clusters, common, decontam, exact, licenses, lines, media, mixing, quality, secrets, simhash, urls
+from . import chat, clusters, common, decontam, exact, licenses, lines, media, mixing, quality, secrets, simhash, spelling, urls
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster(common.table(spark, sf_dir, "embeddings"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(common.table(spark, sf_dir, "documents"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.copy_report(common.table(spark, sf_dir, "documents"))
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_templates": op9_line_templates,
     "op10_transport_streams": op10_transport_streams,
     "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_exact_dedup": op13_exact_dedup,
     "pipeline": pipeline,
 }
@@ -91,6 +96,7 @@ ORACLES: dict[str, str] = {
     "op7_licenses": licenses.oracle(),
     "op9_line_templates": lines.oracle(),
     "op11_centroid_clusters": clusters.oracle(),
+    "op12_spelling_variants": spelling.oracle(),
     "op13_exact_dedup": exact.ORACLE,
     "op8_source_mix": r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
