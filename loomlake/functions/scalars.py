@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,6 +82,11 @@ def media_of(head: Column) -> Column:
     )
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value taken once: an expression from outside that stands inside a lambda is taken again for every element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def running_sums(widths: Column, block: int = 128) -> Column:
     """For an array of longs, what lies before each element. In blocks, so that a long array costs little more than in proportion."""
     empty = F.array().cast("array<bigint>")
@@ -87,8 +94,21 @@ def running_sums(widths: Column, block: int = 128) -> Column:
     def inside(part: Column) -> Column:
         return F.aggregate(part, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")), lambda acc, w: F.struct((acc["at"] + w).cast("long").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
 
-    firsts = F.sequence(F.lit(0), F.floor((F.size(widths) - 1) / block).cast("int"))
-    blocks = F.transform(firsts, lambda b: inside(F.slice(widths, b * block + 1, F.lit(block))))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<array<bigint>>").alias("out"))
-    step = lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(F.transform(x["out"], lambda s: s + acc["at"]))).alias("out"))
-    return F.when(F.size(widths) > 0, F.flatten(F.aggregate(blocks, zero, step, lambda acc: acc["out"]))).otherwise(empty)
+    def summed(widths: Column) -> Column:
+        firsts = F.sequence(F.lit(0), F.floor((F.size(widths) - 1) / block).cast("int"))
+        blocks = F.transform(firsts, lambda b: inside(F.slice(widths, b * block + 1, F.lit(block))))
+        # Sums of whole blocks are few, and a second level of blocks keeps them so.
+        return bound(blocks, lambda blocks: F.flatten(F.zip_with(blocks, starts(F.transform(blocks, lambda b: b["at"])), lambda b, at: F.transform(b["out"], lambda s: s + at))))
+
+    def starts(totals: Column) -> Column:
+        def groups(totals: Column) -> Column:
+            firsts = F.sequence(F.lit(0), F.floor((F.size(totals) - 1) / block).cast("int"))
+            return F.transform(firsts, lambda b: inside(F.slice(totals, b * block + 1, F.lit(block))))
+
+        def joined(groups: Column) -> Column:
+            before = F.aggregate(groups, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")), lambda acc, g: F.struct((acc["at"] + g["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+            return F.flatten(F.zip_with(groups, before, lambda g, at: F.transform(g["out"], lambda s: s + at)))
+
+        return bound(bound(totals, groups), joined)
+
+    return bound(widths, lambda w: F.when(F.size(w) > 0, summed(w)).when(w.isNotNull(), empty))

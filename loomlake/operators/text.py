@@ -117,14 +117,9 @@ def csv_records(df: DataFrame, key: str, text: Column) -> DataFrame:
     """
     lines = df.select(key, F.split(text, "\n", -1).alias("lines"))
     quotes = running_sums(F.transform("lines", lambda x: F.length(F.regexp_replace(x, '[^"]', "")).cast("long")))
-    marked = lines.select(key, F.zip_with("lines", quotes, lambda x, q: F.struct(x.alias("text"), (q % 2 == 1).alias("goes_on"))).alias("lines"))
-    zero = F.struct(F.lit(0).alias("line"), F.array().cast("array<struct<line:int,record:string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["line"] + 1
-        last = F.element_at(acc["out"], -1)
-        longer = F.concat(F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1), F.array(F.struct(last["line"].alias("line"), F.concat(last["record"], F.lit("\n"), x["text"]).alias("record"))))
-        return F.struct(at.alias("line"), F.when(x["goes_on"], longer).otherwise(F.concat(acc["out"], F.array(F.struct(at.alias("line"), x["text"].alias("record"))))).alias("out"))
-
-    records = F.filter(F.aggregate("lines", zero, step, lambda acc: acc["out"]), lambda r: F.btrim(r["record"]) != "")
-    return marked.select(key, F.posexplode(records).alias("idx", "r")).select(key, F.col("idx").cast("long").alias("idx"), F.col("r.line").cast("long").alias("line"), "r.record")
+    begins = F.filter(F.transform(quotes, lambda q, i: F.when(q % 2 == 0, i)), lambda i: i.isNotNull())
+    lines = lines.select(key, "lines", begins.alias("begins"))
+    record = lambda i, stop: F.struct((i + 1).alias("line"), F.array_join(F.slice("lines", i + 1, stop - i), "\n").alias("record"))
+    stops = F.concat(F.slice("begins", F.lit(2), F.greatest(F.size("begins") - 1, F.lit(0))), F.array(F.size("lines")))
+    records = F.filter(F.zip_with("begins", stops, record), lambda r: F.btrim(r["record"]) != "")
+    return lines.select(key, F.posexplode(records).alias("idx", "r")).select(key, F.col("idx").cast("long").alias("idx"), F.col("r.line").cast("long").alias("line"), "r.record")
