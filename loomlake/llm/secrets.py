@@ -12,7 +12,8 @@ of the kinds that it holds; folds run only where something was found. There is n
 Positions count code points, the end exclusive. Edge cases: a null or empty text has no spans; the digest is
 then that of the empty string; repeated rows give repeated results; an empty table gives an empty result; other
 columns are ignored. Running sums are kept in blocks, so a text with very many matches costs little more than
-in proportion.
+in proportion; a very long candidate is cut into overlapping pieces, tried in turn, so that it costs in proportion, and little where
+its first pieces are dense already.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomlake.functions.scalars import bound
+
 from . import common
 
 #: The fixed kinds in their order: pattern, group whose length counts (0: the match), least length.
@@ -49,6 +52,8 @@ UNIT = 1_000_000
 #: count * log2(count) by count.
 WEIGHTS = [0] + [round(UNIT * n * math.log2(n)) for n in range(1, WINDOW + 1)]
 BLOCK = 256
+#: Windows that one fold looks at, and the character that stands for a count of zero.
+PIECE, DIGIT = 1024, 48
 SPANS = "array<struct<start:int,stop:int>>"
 
 
@@ -60,47 +65,74 @@ def most_surprise(bits: float) -> int:
 def positions(gaps: Column, matches: Column) -> Column:
     """Spans of matches, by the lengths of the texts before, between and after them; blockwise running sums."""
     empty = F.array().cast(SPANS)
-    lengths = F.transform(matches, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), F.length(m).alias("own")))
+    lengths = lambda gaps: F.transform(matches, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), F.length(m).alias("own")))
 
     def inside(block: Column) -> Column:
         step = lambda acc, x: F.struct((acc["at"] + x["gap"] + x["own"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["own"]).alias("stop")))).alias("out"))
         return F.aggregate(block, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)
 
     firsts = F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / BLOCK).cast("int"))
-    blocks = F.transform(firsts, lambda b: inside(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK))))
+    blocks = bound(bound(gaps, lengths), lambda x: F.transform(firsts, lambda b: inside(F.slice(x, b * BLOCK + 1, F.lit(BLOCK)))))
     shifted = lambda acc, x: F.transform(x["out"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), (s["stop"] + acc["at"]).alias("stop")))
     total = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), empty.alias("out")), lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], shifted(acc, x)).alias("out")), lambda acc: acc["out"])
     return F.when(F.size(matches) > 0, total).otherwise(empty)
 
 
-def least_weight(candidate: Column) -> Column:
-    """The least sum of weights in any window over the candidate, kept up by incremental counts."""
-    codes = F.transform(F.sequence(F.lit(1), F.length(candidate)), lambda i: F.instr(F.lit(ALPHABET), F.substr(candidate, i, F.lit(1))) - 1)
+def moves(codes: Column) -> Column:
+    """For every character of a piece, what enters the window, what leaves it (-1: nothing), and whether it is full."""
+    return F.transform(codes, lambda c, i: F.struct(c.alias("enters"), F.when(i >= WINDOW, F.get(codes, i - WINDOW)).otherwise(-1).alias("leaves"), (i >= WINDOW - 1).alias("full")))
+
+
+def least_weight(letters: Column) -> Column:
+    """The least sum of weights in any window over an array of characters, kept up by incremental counts.
+
+    The counts are a text with one digit (from DIGIT on) for each character of the alphabet, of which a move overlays two.
+    """
     weight = lambda n: F.get(F.array(*map(F.lit, WEIGHTS)), n)
-    state = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0).cast("long").alias("sum"), F.lit(UNIT * 1000).cast("long").alias("least"))
-    moves = F.transform(codes, lambda c, i: F.struct(c.alias("enters"), F.when(i >= WINDOW, F.get(codes, i - WINDOW)).otherwise(-1).alias("leaves"), (i >= WINDOW - 1).alias("full")))
+    count = lambda counts, c: F.ascii(F.substr(counts, c + 1, F.lit(1))) - DIGIT
+    put = lambda counts, c, n: F.overlay(counts, F.char(n + DIGIT), c + 1, F.lit(1))
+    state = F.struct(F.lit(chr(DIGIT) * len(ALPHABET)).alias("counts"), F.lit(0).cast("long").alias("sum"), F.lit(UNIT * 1000).cast("long").alias("least"))
 
     def step(acc: Column, m: Column) -> Column:
-        gone = F.coalesce(F.get(acc["counts"], F.when(m["leaves"] >= 0, m["leaves"])), F.lit(0))
-        came = F.get(acc["counts"], m["enters"]) - (m["enters"] == m["leaves"]).cast("int")
-        total = acc["sum"] - weight(gone) + weight(F.greatest(gone - 1, F.lit(0))) - weight(came) + weight(came + 1)
-        counts = F.transform(acc["counts"], lambda n, k: n + (k == m["enters"]).cast("int") - (k == m["leaves"]).cast("int"))
-        return F.struct(counts.alias("counts"), total.cast("long").alias("sum"), F.when(m["full"], F.least(acc["least"], total.cast("long"))).otherwise(acc["least"]).alias("least"))
+        left = F.when(m["leaves"] < 0, F.struct(acc["counts"].alias("counts"), acc["sum"].alias("sum"))).otherwise(
+            bound(count(acc["counts"], m["leaves"]), lambda n: F.struct(put(acc["counts"], m["leaves"], n - 1).alias("counts"), (acc["sum"] - weight(n) + weight(n - 1)).alias("sum")))
+        )
+        come = lambda x, n: F.struct(put(x["counts"], m["enters"], n + 1).alias("counts"), (x["sum"] - weight(n) + weight(n + 1)).alias("sum"))
+        moved = bound(left, lambda x: bound(count(x["counts"], m["enters"]), lambda n: come(x, n)))
+        return bound(moved, lambda x: F.struct(x["counts"].alias("counts"), x["sum"].cast("long").alias("sum"), F.when(m["full"], F.least(acc["least"], x["sum"].cast("long"))).otherwise(acc["least"]).alias("least")))
+
+    codes = F.transform(letters, lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    return F.aggregate(bound(codes, moves), state, step, lambda acc: acc["least"])
+
+
+def dense(candidate: Column, limit: Column, needs: Column) -> Column:
+    """Whether any window's sum of weights is within limit.
+
+    The candidate is cut into pieces that overlap by a window less one, tried in turn until one is dense; a piece with fewer
+    different characters than a dense window needs has none.
+    """
+
+    def tried(letters: Column) -> Column:
+        firsts = F.sequence(F.lit(0), F.greatest(F.size(letters) - WINDOW, F.lit(0)), F.lit(PIECE))
+        piece = lambda at: F.slice(letters, at + 1, F.lit(PIECE + WINDOW - 1))
+        return F.exists(firsts, lambda at: bound(piece(at), lambda p: F.when(F.size(F.array_distinct(p)) >= needs, least_weight(p) <= limit).otherwise(F.lit(False))))
 
-    return F.aggregate(moves, state, step, lambda acc: acc["least"])
+    return bound(F.split(candidate, ""), tried)
 
 
 def is_secret(candidate: Column) -> Column:
     """Whether a candidate's densest window reaches its class's threshold and no allow-list pattern fits."""
-    limit = F.lit(most_surprise(list(CLASSES.values())[-1][1]))
-    for pattern, bits in list(CLASSES.values())[-2::-1]:
-        limit = F.when(candidate.rlike(pattern), F.lit(most_surprise(bits))).otherwise(limit)
+    bits = [b for _, b in CLASSES.values()]
+    limit, needs = F.lit(most_surprise(bits[-1])), F.lit(math.ceil(2 ** bits[-1]))
+    for pattern, b in list(CLASSES.values())[-2::-1]:
+        limit = F.when(candidate.rlike(pattern), F.lit(most_surprise(b))).otherwise(limit)
+        needs = F.when(candidate.rlike(pattern), F.lit(math.ceil(2**b))).otherwise(needs)
     fits = F.lit(True)
     for pattern in NEEDS:
         fits = fits & candidate.rlike(pattern)
     for pattern in ALLOWED:
         fits = fits & ~candidate.rlike(pattern)
-    return F.when(fits, least_weight(candidate) <= limit).otherwise(F.lit(False))
+    return F.when(fits, bound(F.struct(limit.alias("limit"), needs.alias("needs")), lambda x: dense(candidate, x["limit"], x["needs"]))).otherwise(F.lit(False))
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:

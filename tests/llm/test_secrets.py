@@ -62,11 +62,36 @@ def test_incremental_counts_equal_windows(spark):
     from pyspark.sql import functions as F
 
     text = "q7Zp2LmX9sVt4KcRwB8nHyJd5GfAq7q7q7q7q7"
-    got = spark.createDataFrame([(text,)], "t string").select(secrets.least_weight(F.col("t"))).first()[0]
+    got = spark.createDataFrame([(text,)], "t string").select(secrets.least_weight(F.split(F.col("t"), ""))).first()[0]
     windows = [text[k : k + secrets.WINDOW] for k in range(len(text) - secrets.WINDOW + 1)]
     assert got == min(sum(secrets.WEIGHTS[w.count(c)] for c in set(w)) for w in windows)
 
 
+def test_long_candidates(spark):
+    """A million characters take seconds: dense at the start, nowhere, and at the very end; and without many different characters."""
+    import time
+
+    key = "q7Zp2LmX9sVt4KcRwB8nHyJd5GfA"
+    sparse = "".join(c * 4 for c in "abcdefghijklmnopqrst0123456789") * 8_400
+    for text, found in ((key * 40_000, True), (sparse, False), (sparse + key, True), ("ab1" * 400_000, False)):
+        began = time.monotonic()
+        assert entropy_spans(spark, text) == [f"entropy:0:{len(text)}"] * found
+        assert time.monotonic() - began < 60
+
+
+def test_pieces_miss_no_window(spark, monkeypatch):
+    """The densest window at any place of a candidate that is cut into pieces."""
+    monkeypatch.setattr(secrets, "PIECE", 7)
+    dense = "q7Zp2LmX9sVt4KcRwB8n"
+    texts = ["a" * k + dense + "a" * (40 - k) for k in range(41)] + ["a" * k + dense[:-6] + "q7Zp2L" + "a" * (40 - k) for k in range(41)]
+    rows = secrets.secret_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    limit = secrets.most_surprise(3.6)
+    for r in rows:
+        t = texts[r.doc_id]
+        least = min(sum(secrets.WEIGHTS[t[k : k + 20].count(c)] for c in set(t[k : k + 20])) for k in range(len(t) - 19))
+        assert (r.n_entropy == 1) == (least <= limit)
+
+
 def test_odd_rows(spark, odd, none):
     assert secrets.secret_report(odd).count() == odd.count()
     assert secrets.secret_report(none).count() == 0
