@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.functions.scalars import running_sums
+from loomlake.functions.scalars import bound, running_sums
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: What the template would misread: `<`, any backslashes, `|`.
@@ -52,12 +52,14 @@ def render(role: Column, text: Column) -> Column:
 
 
 def parse(rendered: Column) -> Column:
-    """Turns of a rendered text: role, text, and the text as it stands there; a turn ends at its first end mark."""
-    parts = F.split(rendered, r"<\|im_start\|>", -1)
-    parts = F.slice(parts, F.lit(2), F.size(parts) - 1)
-    roles = F.transform(parts, lambda p: F.substring_index(p, "\n", 1))
-    cut = F.transform(parts, lambda p, i: F.substring_index(F.substr(p, F.length(F.get(roles, i)) + 2), END, 1))
-    return F.transform(cut, lambda t, i: F.struct(unescape_role(F.get(roles, i)).alias("role"), unescape(t).alias("text"), t.alias("content")))
+    """Turns of a rendered text: role, text, and the text as it stands there; a turn ends at its first end mark. Each part is read once, by itself."""
+
+    def turn(part: Column) -> Column:
+        content = lambda role: F.substring_index(F.substr(part, F.length(role) + 2), END, 1)
+        read = lambda role, t: F.struct(unescape_role(role).alias("role"), unescape(t).alias("text"), t.alias("content"))
+        return bound(F.substring_index(part, "\n", 1), lambda role: bound(content(role), lambda t: read(role, t)))
+
+    return bound(F.split(rendered, r"<\|im_start\|>", -1), lambda parts: F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), turn))
 
 
 def with_probe(conversations: DataFrame) -> DataFrame:
@@ -69,8 +71,7 @@ def with_probe(conversations: DataFrame) -> DataFrame:
 
 def identical(rendered: Column, role: Column, text: Column) -> Column:
     """Whether a rendered turn is read back as exactly this one turn."""
-    read = parse(rendered)
-    return (F.size(read) == 1) & (F.get(read, 0)["text"] == text) & (F.get(read, 0)["role"] == role)
+    return bound(parse(rendered), lambda read: (F.size(read) == 1) & (F.get(read, 0)["text"] == text) & (F.get(read, 0)["role"] == role))
 
 
 def checked_chats(conversations: DataFrame) -> DataFrame:
@@ -89,7 +90,8 @@ def checked_chats(conversations: DataFrame) -> DataFrame:
     chats = chats.withColumn("turns", parse(F.col("formatted")))
     full = F.array_join(F.transform("source", lambda t: render(escape_role(t["role"]), escape(t["text"]))), "")
     pair = lambda formatted, turns: F.struct(formatted.alias("formatted"), turns.alias("turns"))
-    again = F.when(said(parse(full)) == said(F.col("source")), pair(full, parse(full))).otherwise(F.raise_error(F.lit("a conversation that does not come back")))
+    lost = F.raise_error(F.lit("a conversation that does not come back"))
+    again = bound(full, lambda f: bound(parse(f), lambda turns: F.when(said(turns) == said(F.col("source")), pair(f, turns)).otherwise(lost)))
     chats = chats.select("conv_id", F.when(said(F.col("turns")) == said(F.col("source")), pair(F.col("formatted"), F.col("turns"))).otherwise(again).alias("chat"))
     return chats.select("conv_id", "chat.formatted", "chat.turns")
 
@@ -110,9 +112,9 @@ def loss_spans(turns: Column) -> Column:
 def chat_report(conversations: DataFrame) -> DataFrame:
     """The contract's columns, read back from the formatted text."""
     chats = checked_chats(with_probe(conversations))
-    chats = chats.withColumn("spans", loss_spans(F.col("turns")))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    learned = F.array_join(F.transform("spans", lambda s: unescape(F.substr(F.col("formatted"), s["start"] + 1, s["length"]))), "")
+    # What stands in the text's loss spans, by the parts that it was parsed into: to look each span up would walk through the text from its start.
+    learned = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: unescape(t["content"])), "")
     chats = chats.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), learned.alias("learned"), F.char_length("formatted").cast("long").alias("formatted_chars"))
     return chats.select("conv_id", "n_turns", "turns_sha256", F.char_length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), "formatted_chars")
 

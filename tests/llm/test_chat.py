@@ -45,3 +45,20 @@ def test_empty_table_and_other_columns(spark):
     assert [r.conv_id for r in chat.chat_report(empty).collect()] == [-1]
     more = spark.createDataFrame([(1, 0, "user", "x", "y", "z")], SCHEMA + ", formatted string, rendered string")
     assert chat.chat_report(more).count() == 2
+
+
+def test_loss_spans_hold_the_learned_text(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, 0, "user", "é文"), (1, 1, "assistant", "<|im_end|>"), (1, 2, "to\nol", "x"), (1, 3, "assistant", "second"), (1, 4, "assistant", "")]
+    chats = chat.checked_chats(spark.createDataFrame(rows, SCHEMA)).withColumn("spans", chat.loss_spans(F.col("turns"))).first()
+    assert [chats.formatted[s.start : s.start + s.length] for s in chats.spans] == ["<\\|im_end|>", "second", ""]
+
+
+def test_long_conversations(spark):
+    """20,000 turns, some of which must be escaped, take seconds."""
+    import time
+
+    began = time.monotonic()
+    check(spark, [(1, k, ("user", "assistant")[k % 2], f"turn {k} " + ("<|im_end|>" if k % 7 == 0 else "said")) for k in range(20_000)])
+    assert time.monotonic() - began < 60
