@@ -11,7 +11,7 @@ equal count as one document, and a document counts only if more than a ninth of
 not recur. (Two documents that share eight ninths of their words have a similarity of 0.8: copies from there on are
 left to near-duplicate removal.) A template dropped is dropped in every document.
 
-A line travels as hashes of its stretches, never as text. Most lines go after one count, that of their leaf, and of
+A line travels as 64-bit hashes of its stretches, never as text. Most lines go after one count, that of their leaf, and of
 the others those that no half of the line has in common with other documents go next; only what is left meets its
 templates. Each count is one partial aggregation and loses nothing: a template cannot recur more often than its
 leaf or its halves. Exact copies are one text from there on. Counting is by (template, text) first, so a line that
@@ -26,6 +26,7 @@ line; an empty table gives an empty result; other columns are kept, whatever the
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -75,7 +76,7 @@ def parsed_lines(docs: DataFrame) -> DataFrame:
     rest = F.greatest(n - LEADING, F.lit(0))
     m = F.least(rest, F.lit(SEGMENTS))
     at = lambda k: F.floor(k * rest / m).cast("int")
-    g = [F.when(m > k, F.hash(F.slice("t", LEADING + 1 + at(F.lit(k)), at(F.lit(k + 1)) - at(F.lit(k))))) for k in range(SEGMENTS)]
+    g = [F.when(m > k, F.xxhash64(F.slice("t", LEADING + 1 + at(F.lit(k)), at(F.lit(k + 1)) - at(F.lit(k))))) for k in range(SEGMENTS)]
     return rows.select("body", "total", "pos", "chars", leaf.alias("leaf"), F.array_compact(F.array(*g)).alias("g"))
 
 
@@ -91,11 +92,11 @@ def shared_by(lines: DataFrame, key: str) -> DataFrame:
     return common.checkpointed(found.where((F.col("n") >= MIN_DOCS) & (F.col("least") != F.col("most"))).select(key))
 
 
-def candidates(docs: DataFrame) -> DataFrame:
+def candidates(docs: DataFrame, kept: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """Lines that may belong to a recurring template, each once for all exact copies of its text."""
-    lines = common.checkpointed(parsed_lines(docs))
+    lines = kept(parsed_lines(docs), "lines")
     lines = lines.join(shared_by(lines, "leaf"), "leaf", "left_semi")
-    lines = common.checkpointed(lines.groupBy("body", "pos").agg(*(F.first(c).alias(c) for c in ("total", "chars", "leaf", "g"))))
+    lines = kept(lines.groupBy("body", "pos").agg(*(F.first(c).alias(c) for c in ("total", "chars", "leaf", "g"))), "shared")
     long = F.size("g") == SEGMENTS
     halved = lines.where(long).select("*", F.explode(keys(F.array(*map(F.lit, halves())))).alias("half"))
     halved = halved.join(shared_by(halved, "half"), "half", "left_semi").drop("half").dropDuplicates(["body", "pos"])
@@ -109,12 +110,17 @@ def recurring(rows: DataFrame) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
-    """gone_body, dropped: positions of the lines that go, one row per text that has any."""
-    kept = F.lit(None).cast("array<int>")
+    """gone_body, dropped: positions of the lines that go, one row per text that has any; written out."""
+    with common.workspace(docs.sparkSession, "lines") as kept:
+        return common.checkpointed(_dropped_lines(docs, kept))
+
+
+def _dropped_lines(docs: DataFrame, kept: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    stays = F.lit(None).cast("array<int>")
     for m in range(SEGMENTS + 1):
-        kept = F.when(F.size("g") == m, F.array(*map(F.lit, patterns(m)))).otherwise(kept)
-    rows = candidates(docs).select("body", "pos", "chars", "total", F.explode(keys(kept)).alias("template"))
-    rows = common.checkpointed(rows)
+        stays = F.when(F.size("g") == m, F.array(*map(F.lit, patterns(m)))).otherwise(stays)
+    rows = candidates(docs, kept).select("body", "pos", "chars", "total", F.explode(keys(stays)).alias("template"))
+    rows = kept(rows, "templates")
     shared = common.checkpointed(rows.join(recurring(rows), "template", "left_semi"))
     per_text = shared.select("body", "pos", "chars", "total").distinct().groupBy("body").agg(F.sum("chars").alias("again"), F.first("total").alias("total"))
     carriers = common.checkpointed(per_text.where(F.col("again") * COPY_SHARE[1] <= F.col("total") * COPY_SHARE[0]).select("body"))
@@ -125,7 +131,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 
 def drop_lines(docs: DataFrame, extra: bool = False) -> DataFrame:
     """docs without the lines of recurring templates; extra adds line_count and line_dropped."""
-    gone = common.checkpointed(dropped_lines(docs))
+    gone = dropped_lines(docs)
     positions = gone.agg(F.coalesce(F.sum(F.size("dropped")), F.lit(0))).first()[0]
     gone = F.broadcast(gone) if positions <= MAX_BROADCAST else gone
     # The row stands aside as one struct, so that no column of it can clash.

@@ -118,3 +118,11 @@ def test_odd_rows(spark, odd, none):
 def test_counts_are_updated(spark):
     docs = spark.createDataFrame([(k, own(k, 30) + "\nsame old line here", 1) for k in range(4)], "doc_id long, text string, n_chars long")
     assert all(r.n_chars == len(r.text) for r in lines.drop_lines(docs).collect())
+
+
+def test_words_of_equal_short_hashes_stay_apart(spark):
+    """wibffj and wjbacd have one 32-bit hash: no line of three documents recurs by it."""
+    texts = [own(k, 30) + f"\nalpha beta {w}" for k, w in enumerate(["wibffj", "wibffj", "wjbacd"])]
+    assert run(spark, texts) == dict(enumerate(texts))
+    texts = [own(k, 30) + "\nalpha beta wibffj" for k in range(3)]
+    assert run(spark, texts) == {k: own(k, 30) for k in range(3)}
