@@ -95,6 +95,7 @@ def append(spark: SparkSession, path: str, requests: DataFrame, order: str, expe
     now, last = heads(spark, path)
     if expected_head is not None and now != expected_head:
         raise HeadChanged(f"expected {expected_head}, found {now}")
+    requests = checkpointed(requests)  # what is judged is what is written, whatever the source does meanwhile
     bad = validated(requests).where("problem IS NOT NULL").groupBy("problem").agg(F.count("*").alias("n")).orderBy("problem").collect()
     if bad:
         raise InvalidBatch(", ".join(f"{r.n} x {r.problem}" for r in bad))
@@ -183,7 +184,7 @@ def restored(spark: SparkSession, log: DataFrame, folder: str, table: fold.Table
     if found is None:
         return fold.state(tail, table)
     seq, snapshot = found
-    return fold.merge(snapshot, fold.state(tail.where(F.col("seq") > seq), table), table)
+    return fold.absorb(snapshot, tail.where(F.col("seq") > seq), table)
 
 
 def export_lines(log: DataFrame) -> DataFrame:

@@ -55,6 +55,80 @@ def test_lenient_updates_and_deletes(spark):
     assert found == {(1, "missing"), (5, "missing"), (8, "missing")}
 
 
+LIVES = fold.Table(
+    ("entity",),
+    {
+        "last": fold.Last({"set": "amount", "clear": "CAST(NULL AS BIGINT)"}),
+        "first": fold.First({"set": "amount"}),
+        "total": fold.Total({"add": "amount"}),
+        "spent": fold.Reset({"add": "amount", "set": "CAST(1 AS BIGINT)"}, {"clear": "amount", "new": "CAST(0 AS BIGINT)"}),
+    },
+    creates=("new",),
+    deletes=("gone",),
+)
+COUNTS = fold.Table(("entity",), {"spent": fold.Reset({"add": "amount"}, {"set": "amount"}), "zero": fold.Reset({"add": "amount"}, {"set": "amount"}, nulls_as_zero=True), "last": fold.Last({"clear": "seq"})})
+
+
+def lives(seed, n=150, keys="abcdef"):
+    rng = random.Random(seed)
+    return [(k, rng.choice(["set", "clear", "add", "add", "noise", "new", "gone"]), rng.choice(keys) if rng.random() < 0.95 else None, rng.randrange(100)) for k in range(1, n + 1)]
+
+
+def replay_lives(events):
+    out = {}
+    for _, kind, entity, amount in events:
+        if kind == "new" and entity not in out:
+            out[entity] = {"last": None, "first": None, "total": None, "spent": None, "was_set": False}
+        if kind == "gone":
+            out.pop(entity, None)
+        if entity not in out:
+            continue
+        row = out[entity]
+        if kind in ("set", "clear"):
+            row["last"] = amount if kind == "set" else None
+        if kind == "set" and not row["was_set"]:
+            row["first"], row["was_set"] = amount, True
+        if kind == "add":
+            row["total"] = (row["total"] or 0) + amount
+        if kind in ("clear", "new"):
+            row["spent"] = amount if kind == "clear" else 0
+        if kind in ("add", "set"):
+            row["spent"] = (row["spent"] or 0) + (amount if kind == "add" else 1)
+    return {(e, r["last"], r["first"], r["total"], r["spent"]) for e, r in out.items()}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_lives_and_resets_on_three_paths(spark, seed):
+    """Folded at once, a tail absorbed by a head, and three parts absorbed in turn: deletes, rebirths and overwritten counters."""
+    events = lives(seed)
+    log = spark.createDataFrame(events, SCHEMA)
+    expected = replay_lives(events)
+    got = lambda states: {tuple(r) for r in fold.finish(states, LIVES).collect()}
+    assert got(fold.state(log, LIVES)) == expected
+    for cuts in ((40,), (30, 90)):
+        state, before = fold.state(log.where(F.col("seq") <= cuts[0]), LIVES), cuts[0]
+        for cut in (*cuts[1:], len(events)):
+            state = fold.absorb(state, log.where((F.col("seq") > before) & (F.col("seq") <= cut)), LIVES)
+            before = cut
+        assert got(state) == expected
+
+
+def test_counters_that_are_overwritten(spark):
+    log = spark.createDataFrame([(1, "add", "a", 5), (2, "set", "a", 100), (3, "add", "a", 7), (4, "add", "b", 1), (5, "clear", "c", 0), (6, "set", "d", 3), (7, "set", "d", 4)], SCHEMA)
+    expected = {("a", 107, 107, None), ("b", 1, 1, None), ("c", None, 0, 5), ("d", 4, 4, None)}
+    assert {tuple(r) for r in fold.fold(log, COUNTS).collect()} == expected
+    for cut in range(8):
+        merged = fold.merge(fold.state(log.where(F.col("seq") <= cut), COUNTS), fold.state(log.where(F.col("seq") > cut), COUNTS), COUNTS)
+        assert {tuple(r) for r in fold.finish(merged, COUNTS).collect()} == expected
+
+
+def test_states_that_cannot_be_merged_are_refused(spark):
+    log = spark.createDataFrame(lives(1), SCHEMA)
+    with pytest.raises(ValueError, match="absorb"):
+        fold.merge(fold.state(log, LIVES), fold.state(log, LIVES), LIVES)
+    assert T.order_free() and not LIVES.order_free() and not COUNTS.order_free()
+
+
 def requests(spark, n, width=2):
     body = F.repeat(F.lit("x"), width)
     return spark.range(n).select(F.col("id").alias("at"), (F.col("id") % 3).alias("device"), F.concat(F.lit("Kind"), "id").alias("kind"), body.alias("body"), F.array().cast("array<string>").alias("refs"))
