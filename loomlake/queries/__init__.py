@@ -1,3 +1,3 @@
 """All registered queries; importing this package registers them."""
 
-from loomlake.queries import aggregates, chain, jobs, logs, more, reads, streams, surface, texts, vectors  # noqa: F401
+from loomlake.queries import aggregates, chain, jobs, logs, more, reads, runs, streams, surface, texts, vectors  # noqa: F401
