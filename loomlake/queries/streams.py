@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from loomlake.plans import fold
 from loomlake.queries.logs import USERS
 from loomlake.registry import query
+from loomlake.session import scratch
+from loomlake.sources import folders
 from loomlake.sources.tables import LOG_SQL, epoch_us, event_log, micros, table
 from loomlake.streaming import stream as ops
 
@@ -26,6 +28,34 @@ def stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.folded_stream(spark, f"{sf_dir}/events.parque[t]", schema, prepare, USERS)
 
 
+#: A table whose rows are born, deleted and overwritten: users from signup to error; a signup sets what they spent to its amount.
+MEMBERS = fold.Table(
+    key=("entity",),
+    columns={
+        "clicked": fold.Last({"click": "amount"}),
+        "first_view": fold.First({"view": "seq"}),
+        "clicks": fold.Total({"click": "CAST(1 AS BIGINT)"}, nulls_as_zero=True),
+        "spent": fold.Reset({"purchase": "amount"}, {"signup": "amount"}),
+    },
+    creates=("signup",),
+    deletes=("error",),
+)
+
+
+@query(f"""WITH {LOG_SQL}, d AS (SELECT entity, max(seq) AS gone FROM log WHERE kind = 'error' GROUP BY entity), l AS (SELECT log.* FROM log LEFT JOIN d ON log.entity = d.entity WHERE gone IS NULL OR seq > gone),
+b AS (SELECT entity, min(seq) AS born, max(seq) AS set_at, max_by(amount, seq) AS base FROM l WHERE kind = 'signup' GROUP BY entity)
+SELECT l.entity, max_by(amount, seq) FILTER (kind = 'click') AS clicked, min(seq) FILTER (kind = 'view') AS first_view, count(*) FILTER (kind = 'click') AS clicks,
+CAST(any_value(base) + coalesce(sum(amount) FILTER (kind = 'purchase' AND seq > set_at), 0) AS BIGINT) AS spent FROM l JOIN b ON l.entity = b.entity WHERE seq >= born GROUP BY l.entity""")
+def stream_fold_lives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that are born, deleted and overwritten, folded by a stream over files of the log that come out of order."""
+    path = scratch(spark, "shuffled")
+    log = event_log(spark, sf_dir).select("seq", "kind", "entity", "amount")
+    log.repartition(12, F.xxhash64("seq")).write.parquet(path)
+    folded = ops.folded_stream(spark, path, log.schema, lambda batch: batch, MEMBERS, files_per_trigger=4)
+    folders.remove(spark, path)
+    return folded
+
+
 @query(f"WITH {LOG_SQL}, r AS (SELECT entity, seq, row_number() OVER (PARTITION BY entity ORDER BY seq DESC) AS r FROM log) SELECT entity, min(seq) AS first_seq, max(seq) AS head, count(*) AS frames FROM r WHERE r <= 20 GROUP BY entity")
 def resume_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = ops.resume_window(event_log(spark, sf_dir), "entity", "seq", 20)
