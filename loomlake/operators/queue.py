@@ -105,39 +105,47 @@ def parse_cron(text: str) -> tuple[frozenset[int], ...]:
     return (*out[:4], frozenset(v % 7 for v in out[4]))
 
 
+#: Years that the search for one firing goes ahead: no two leap days are further apart.
+CRON_YEARS_MAX = 8
+
+
+def next_minute(fields: tuple[frozenset[int], ...], days_both: bool, at: datetime) -> datetime | None:
+    """The first minute at or after a local time that fits the fields: what does not fit carries into the next month, day, hour or minute.
+
+    days_both: the day fits by the month or the week (both are restricted), else by both.
+    """
+    minutes, hours, days, months, week = fields
+    last = at.year + CRON_YEARS_MAX
+    while at.year <= last:
+        in_month, in_week = at.day in days, at.isoweekday() % 7 in week
+        if at.month not in months:
+            at = (at.replace(day=1, hour=0, minute=0) + timedelta(days=32)).replace(day=1)
+        elif not (in_month or in_week if days_both else in_month and in_week):
+            at = at.replace(hour=0, minute=0) + timedelta(days=1)
+        elif at.hour not in hours:
+            at = at.replace(minute=0) + timedelta(hours=1)
+        elif at.minute not in minutes:
+            at += timedelta(minutes=1)
+        else:
+            return at
+    return None
+
+
 def firings(cron: str, zone: str, after_ms: int, limit: int) -> Iterator[int]:
-    """The next firings in Unix ms. A local time that a clock change skips fires when the gap ends; one that it repeats fires the first time."""
+    """The next firings in Unix ms, each searched anew from the one before. A local time that a clock change skips fires as much later as the change skips; one that it repeats fires the first time."""
     fields, tz = parse_cron(cron), ZoneInfo(zone)
-    days_any, week_any = cron.split()[2] == "*", cron.split()[4] == "*"
-    day = datetime.fromtimestamp(after_ms / 1000, tz).replace(tzinfo=None, hour=0, minute=0, second=0, microsecond=0)
-    found, last = 0, after_ms
-    for k in range(366 * 5):
-        d = day + timedelta(days=k)
-        in_month, in_week = d.day in fields[2], d.isoweekday() % 7 in fields[4]
-        fits = (in_month and in_week) if days_any or week_any else (in_month or in_week)
-        if d.month not in fields[3] or not fits:
-            continue
-        for h in sorted(fields[1]):
-            for m in sorted(fields[0]):
-                local = d.replace(hour=h, minute=m)
-                at = local.replace(tzinfo=tz, fold=0)
-                if datetime.fromtimestamp(at.timestamp(), tz).replace(tzinfo=None) != local:
-                    # In a gap: read with the offset before it, the wall clock lands just after the gap; fire when the gap ends.
-                    shift = at.replace(fold=1).utcoffset() - at.utcoffset()
-                    gap = abs(int(shift.total_seconds()))
-                    end = datetime.fromtimestamp(at.timestamp(), timezone.utc).timestamp()
-                    lo = int(end) - gap
-                    while datetime.fromtimestamp(lo, tz).utcoffset() == datetime.fromtimestamp(lo - 60, tz).utcoffset():
-                        lo += 60
-                    ms = lo * 1000
-                else:
-                    ms = int(at.timestamp() * 1000)
-                if ms > last:
-                    last = ms
-                    yield ms
-                    found += 1
-                    if found >= limit:
-                        return
+    days_both = cron.split()[2] != "*" and cron.split()[4] != "*"
+    found = 0
+    while found < limit:
+        local = datetime.fromtimestamp(after_ms / 1000, tz).replace(tzinfo=None, second=0, microsecond=0, fold=0)
+        fire_ms = after_ms
+        while fire_ms <= after_ms:  # minutes that the clock repeats have fired already
+            local = next_minute(fields, days_both, local + timedelta(minutes=1))
+            if local is None:
+                return
+            fire_ms = int(local.replace(tzinfo=tz).timestamp()) * 1000
+        yield fire_ms
+        after_ms, found = fire_ms, found + 1
 
 
 def cron_preview(crons: DataFrame, limit: int = 8) -> DataFrame:

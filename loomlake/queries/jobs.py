@@ -101,12 +101,29 @@ def cron_overlap_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return firing.join(live, "project", "left").select("project", "policy", action.alias("action"), "live")
 
 
-@query()
+#: The crons of the query and what their fields allow (months and days of the week: all, if empty), as the SQL reads it: fixed values.
+ZONES = ("UTC", "Europe/Berlin", "America/New_York", "Asia/Kolkata", "Australia/Lord_Howe")
+CRONS = {
+    "30 2 * * *": "minute = 30 AND hour = 2",
+    "*/15 9-17 * * 1-5": "minute % 15 = 0 AND hour BETWEEN 9 AND 17 AND isodow <= 5",
+    "0 0 1,15 * *": "minute = 0 AND hour = 0 AND day IN (1, 15)",
+    "5 4 * * 7": "minute = 5 AND hour = 4 AND isodow = 7",
+    "0 12 29 2 *": "minute = 0 AND hour = 12 AND day = 29 AND month = 2",
+}
+CRON_AFTER_MS = 1711700000000
+_FITS = " ".join(f"WHEN {k} THEN {fits}" for k, fits in enumerate(CRONS.values()))
+
+
+@query(f"""WITH c AS (SELECT CAST(n_nationkey AS BIGINT) AS cron_id, n_nationkey % 5 AS which, [{', '.join(map(repr, ZONES))}][n_nationkey // 5 + 1] AS tz FROM nation),
+d AS (SELECT CAST(d AS DATE) AS d, isodow(d) AS isodow, day(d) AS day, month(d) AS month FROM (SELECT unnest(generate_series(DATE '2024-03-28', DATE '2064-03-28', INTERVAL 1 DAY)) AS d)),
+h AS (SELECT h.hour, m.minute FROM range(0, 24) h(hour), range(0, 60, 5) m(minute)),
+l AS (SELECT cron_id, tz, d + to_hours(hour) + to_minutes(minute) AS local FROM c, d, h WHERE (which = 4 OR d < DATE '2024-08-28') AND CASE which {_FITS} END),
+u AS (SELECT cron_id, tz, local, timezone(tz, local) AS t FROM l),
+f AS (SELECT DISTINCT cron_id, epoch_ms(CASE WHEN timezone(tz, t - INTERVAL 60 MINUTE) = local THEN t - INTERVAL 60 MINUTE WHEN timezone(tz, t - INTERVAL 30 MINUTE) = local THEN t - INTERVAL 30 MINUTE ELSE t END) AS fire_ms FROM u)
+SELECT cron_id, CAST(row_number() OVER (PARTITION BY cron_id ORDER BY fire_ms) AS INTEGER) AS turn, fire_ms FROM f WHERE fire_ms > {CRON_AFTER_MS} QUALIFY turn <= 8""")
 def cron_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The next firings of each nation's cron in its time zone, clock changes included."""
-    zones = ["UTC", "Europe/Berlin", "America/New_York", "Asia/Kolkata", "Australia/Lord_Howe"]
-    exprs = ["30 2 * * *", "*/15 9-17 * * 1-5", "0 0 1,15 * *", "5 4 * * 7", "0 12 29 2 *"]
+    """The next eight firings of each nation's cron in its time zone, clock changes included; a leap day's take 28 years."""
     n = table(spark, sf_dir, "nation")
     pick = lambda values, k: F.get(F.array(*map(F.lit, values)), k.cast("int"))
-    crons = n.select(F.col("n_nationkey").cast("long").alias("cron_id"), pick(exprs, F.col("n_nationkey") % 5).alias("expr"), pick(zones, F.floor(F.col("n_nationkey") / 5)).alias("tz"), F.lit(1711700000000).alias("after_ms"))
+    crons = n.select(F.col("n_nationkey").cast("long").alias("cron_id"), pick(CRONS, F.col("n_nationkey") % 5).alias("expr"), pick(ZONES, F.floor(F.col("n_nationkey") / 5)).alias("tz"), F.lit(CRON_AFTER_MS).alias("after_ms"))
     return queue.cron_preview(crons)

@@ -22,13 +22,24 @@ def local(fired, tz):
 
 def test_cron_over_clock_changes():
     after = ms(2024, 3, 30, 12, tz="Europe/Berlin")
-    assert local(queue.firings("30 2 * * *", "Europe/Berlin", after, 2), "Europe/Berlin") == ["03-31 03:00", "04-01 02:30"]
+    assert local(queue.firings("30 2 * * *", "Europe/Berlin", after, 2), "Europe/Berlin") == ["03-31 03:30", "04-01 02:30"]
     after = ms(2024, 10, 26, 12, tz="Europe/Berlin")
     fired = list(queue.firings("30 2 * * *", "Europe/Berlin", after, 2))
     assert local(fired, "Europe/Berlin") == ["10-27 02:30", "10-28 02:30"]
     assert datetime.fromtimestamp(fired[0] / 1000, timezone.utc).hour == 0
 
 
+def test_cron_searches_each_firing_anew():
+    leap = [datetime.fromtimestamp(x / 1000, timezone.utc).year for x in queue.firings("0 12 29 2 *", "UTC", ms(2024, 6, 1), 8)]
+    assert leap == list(range(2028, 2060, 4))
+    assert [datetime.fromtimestamp(x / 1000, timezone.utc).year for x in queue.firings("0 12 29 2 *", "UTC", ms(2094, 6, 1), 2)] == [2096, 2104]
+    assert list(queue.firings("0 0 30 2 *", "UTC", ms(2024, 1, 1), 8)) == []
+    # Skipped minutes shift by the gap and meet others; none fires twice, and repeated minutes fire once.
+    assert local(queue.firings("*/30 2-3 * * *", "Europe/Berlin", ms(2024, 3, 31, 1, tz="Europe/Berlin"), 4), "Europe/Berlin") == ["03-31 03:00", "03-31 03:30", "04-01 02:00", "04-01 02:30"]
+    assert local(queue.firings("*/30 2 * * *", "Europe/Berlin", ms(2024, 10, 27, 0, tz="UTC"), 3), "Europe/Berlin") == ["10-27 02:30", "10-28 02:00", "10-28 02:30"]
+    assert local(queue.firings("10 2 * * *", "Australia/Lord_Howe", ms(2024, 10, 5, 5, tz="Australia/Lord_Howe"), 2), "Australia/Lord_Howe") == ["10-06 02:40", "10-07 02:10"]
+
+
 def test_cron_fields():
     assert queue.parse_cron("*/20 9-17/4 1,15 * 7")[:3] == (frozenset({0, 20, 40}), frozenset({9, 13, 17}), frozenset({1, 15}))
     assert queue.parse_cron("0 0 * * 7")[4] == frozenset({0})
