@@ -31,6 +31,40 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.knn(e, e.where("vec_id % 100 = 0"), 10).select("query_id", "vec_id", "rank", F.round("d2", 5).alias("d2"))
 
 
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0),
+d AS (SELECT query_id, vec_id, list_sum(list_transform(list_zip(embedding, q), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)))) AS d2 FROM embeddings, q WHERE query_id <> vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, vec_id) AS rank FROM d) SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, round(d2, 5) AS d2 FROM r WHERE rank <= 10""")
+def knn_by_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest, exact, from an index of cells: the nearest cells bound the tenth distance, and only cells that come as near are looked into."""
+    e = table(spark, sf_dir, "embeddings")
+    return ops.knn_exact(ops.cell_index(e), e.where("vec_id % 100 = 0"), 10, 4).select("query_id", "vec_id", "rank", F.round("d2", 5).alias("d2"))
+
+
+#: Cells that the approximate search looks into, as a share of all. The given vectors hardly cluster, so it takes many.
+PROBED = 0.75
+
+
+@query()
+def knn_cell_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the nearest cells alone find of the ten true neighbours of every query; a row for each query."""
+    e = table(spark, sf_dir, "embeddings")
+    q, index = e.where("vec_id % 100 = 0"), ops.cell_index(e)
+    found = ops.knn_cells(index, q, 10, max(1, round(PROBED * len(index[1].centres)))).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    true = ops.knn(e, q, 10).select("query_id", "vec_id", F.lit(1).alias("true"))
+    both = true.join(found, ["query_id", "vec_id"], "left")
+    return both.groupBy("query_id").agg(F.sum("true").alias("true"), F.sum("hit").alias("found"), (F.coalesce(F.sum("hit"), F.lit(0)) / F.sum("true")).alias("recall"))
+
+
+@query("""WITH n AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS n FROM embeddings)
+SELECT vec_id, n // 63 AS batch, n % 63 * 256 AS byte_start, CAST(256 AS BIGINT) AS n_bytes, embedding[1] = embedding[1] AS same, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[64] AS DOUBLE) AS last FROM n""")
+def packed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors packed into blobs of 32-bit floats, each read back from its byte range, bit for bit."""
+    e = table(spark, sf_dir, "embeddings")
+    back = ops.unpacked(*ops.packed(e)).join(e.select(F.col("vec_id").alias("of"), F.col("embedding").alias("source")), F.col("vec_id") == F.col("of"))
+    ends = [F.get("embedding", k).cast("double") for k in (0, 63)]
+    return back.select("vec_id", "batch", "byte_start", "n_bytes", (F.col("embedding") == F.col("source")).alias("same"), ends[0].alias("first"), ends[1].alias("last"))
+
+
 @query("SELECT label, count(*) AS n, round(avg(CAST(embedding[1] AS DOUBLE)), 6) AS first_mean, round(avg(CAST(embedding[64] AS DOUBLE)), 6) AS last_mean FROM embeddings GROUP BY label")
 def mean_pool_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     pooled = ops.mean_pool(table(spark, sf_dir, "embeddings"), "label", "embedding", 64)
