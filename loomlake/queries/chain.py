@@ -151,11 +151,11 @@ def supersede_older(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.superseded(waiting, ["project", "class", "slot"], "enqueued_seq").select("job_id", "superseded")
 
 
-@query("SELECT 'users' AS name, 'CREATE TABLE users (entity BIGINT, last_view BIGINT, last_touch BIGINT, first_purchase BIGINT, spent BIGINT, errors BIGINT) USING PARQUET' AS ddl")
+@query(f"""WITH {LOG_SQL} SELECT 'users' AS name, 'CREATE TABLE users (entity BIGINT, last_view BIGINT, last_touch BIGINT, first_purchase BIGINT, spent BIGINT, errors BIGINT) USING PARQUET' AS ddl, count(DISTINCT entity) AS rows FROM log WHERE kind IN ('view', 'click', 'purchase', 'error')""")
 def ddl_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The definition of a folded table, from its schema."""
-    log = event_log(spark, sf_dir).limit(0)
-    return spark.createDataFrame([("users", fold.ddl("users", fold.fold(log, USERS)))], "name string, ddl string")
+    """The definition of a folded table, from its schema, and the rows that it is for."""
+    users = fold.fold(event_log(spark, sf_dir), USERS)
+    return users.agg(F.lit("users").alias("name"), F.lit(fold.ddl("users", users)).alias("ddl"), F.count("*").alias("rows"))
 
 
 @query("""WITH c AS (SELECT lang AS suite, contains(lower(text), 'license') = contains(text, 'License') AS same FROM documents), s AS (SELECT suite, count(*) FILTER (same) AS passed, count(*) FILTER (NOT same) AS failed FROM c GROUP BY suite)

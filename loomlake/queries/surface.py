@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,12 +13,15 @@ from loomlake.registry import query
 from loomlake.sources import files
 from loomlake.sources.tables import CALLS_SQL, LOG_SQL, event_log, model_calls, table
 
-CAPABILITIES = (("bus", "local"), ("sync", "local"), ("meter", "local"), ("workers", "local"), ("credentials", "local"), ("identity", "unavailable"), ("search", "local"), ("models", "hosted"), ("storage", "local"), ("telemetry", "local"))
+#: Capabilities, the table that stands behind each, and how it is provided where that table has rows: fixed values.
+CAPABILITIES = (("bus", "events", "local"), ("sync", "events", "local"), ("meter", "lineitem", "local"), ("workers", "orders", "local"), ("credentials", "customer", "local"), ("search", "documents", "local"), ("models", "embeddings", "hosted"), ("storage", "pages", "local"), ("telemetry", "labels", "local"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{m}')" for n, m in CAPABILITIES) + ") t(id, mode)")
+@query(" UNION ALL ".join(f"SELECT '{i}' AS id, CASE WHEN count(*) > 0 THEN '{m}' ELSE 'unavailable' END AS mode, count(*) AS rows FROM {t}" for i, t, m in CAPABILITIES) + " UNION ALL SELECT 'identity', 'unavailable', 0")
 def surface_capability_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(CAPABILITIES), "id string, mode string")
+    """What is there to be asked: every capability with how it is provided, by what its table holds."""
+    one = [table(spark, sf_dir, t).agg(F.count("*").alias("rows")).select(F.lit(i).alias("id"), F.when(F.col("rows") > 0, m).otherwise("unavailable").alias("mode"), "rows") for i, t, m in CAPABILITIES]
+    return reduce(DataFrame.unionByName, one).unionByName(spark.range(1).select(F.lit("identity").alias("id"), F.lit("unavailable").alias("mode"), F.lit(0).cast("long").alias("rows")))
 
 
 @query("SELECT lower(hex(encode(r_name))) AS project_id, r_name AS name, row_number() OVER (ORDER BY lower(hex(encode(r_name)))) AS position FROM region")
@@ -44,10 +49,12 @@ def surface_evidence_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT turn AS segment_index, coalesce(CASE WHEN turn % 2 = 1 THEN upper(text) END, text) AS rendered, turn % 2 = 1 AS is_edited, CASE role WHEN 'user' THEN 'Asker' WHEN 'assistant' THEN 'Helper' ELSE 'unnamed' END AS speaker
-FROM conversations WHERE conv_id = 26 AND turn >= 0 ORDER BY turn LIMIT 200""")
+FROM conversations WHERE conv_id = (SELECT conv_id FROM conversations GROUP BY conv_id ORDER BY count(*) DESC, conv_id LIMIT 1) AND turn >= 0 ORDER BY turn LIMIT 200""")
 def surface_transcript_get(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page of a transcript, corrections before what was heard, with speakers' names."""
-    c = table(spark, sf_dir, "conversations").where("conv_id = 26")
+    """A page of the longest transcript, corrections before what was heard, with speakers' names."""
+    c = table(spark, sf_dir, "conversations")
+    longest = c.groupBy(F.col("conv_id").alias("of")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "of").limit(1)
+    c = c.join(F.broadcast(longest), F.col("conv_id") == F.col("of"), "left_semi")  # one row
     own = F.col("text")
     edited = F.when(F.col("turn") % 2 == 1, F.upper(own))
     page = reads.after(c, "turn", None, 200)
@@ -71,10 +78,11 @@ def text_byte_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("item_id", F.hex(F.substring(F.encode("text", "UTF-8"), 11, 40)).alias("bytes_hex"), F.octet_length("text").cast("long").alias("n_bytes"))
 
 
-@query("""WITH e AS (SELECT range + 1 AS seq, md5('7:' || (range + 1)) AS h FROM range(10000)), n AS (SELECT seq, CAST('0x' || substr(h, 1, 7) AS BIGINT) % 100 AS pick, CAST('0x' || substr(h, 9, 7) AS BIGINT) % 3 AS device, CAST('0x' || substr(h, 17, 7) AS BIGINT) % 1000000 AS amount FROM e)
+@query("""WITH e AS (SELECT event_id + 1 AS seq, md5('7:' || (event_id + 1)) AS h FROM events), n AS (SELECT seq, CAST('0x' || substr(h, 1, 7) AS BIGINT) % 100 AS pick, CAST('0x' || substr(h, 9, 7) AS BIGINT) % 3 AS device, CAST('0x' || substr(h, 17, 7) AS BIGINT) % 1000000 AS amount FROM e)
 SELECT seq, device, CASE WHEN pick < 45 THEN 'step' WHEN pick < 55 THEN 'start' WHEN pick < 65 THEN 'finish' WHEN pick < 78 THEN 'enqueue' WHEN pick < 88 THEN 'complete' WHEN pick < 94 THEN 'rename' ELSE 'audit' END AS kind, amount FROM n""")
 def synthetic_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.synthetic_events(spark, 7, 10000)
+    """A made-up twin of the log: for each of its numbers the event that a seed gives."""
+    return files.synthetic_events(event_log(spark, sf_dir).select("seq"), 7)
 
 
 @query("""WITH h AS (SELECT sha256(text) AS hash, doc_id, length(text) AS n FROM documents) SELECT DISTINCT hash, n AS n_chars FROM h WHERE hash NOT IN (SELECT hash FROM h WHERE doc_id % 3 = 0)""")

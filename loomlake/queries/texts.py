@@ -132,14 +132,26 @@ def captions_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.clamp_cues(cues, "entity", "seq", "start_ms", "end_ms")
 
 
-VTT = "WEBVTT\n\nNOTE made up\n\n1\n00:01.000 --> 00:03.5 align:start\nHello\nthere\n\n00:00:03,000 --> 00:00:07,000\nsecond\n\n00:06.000 --> 00:05.000\nbackwards\n\n00:02.000 --> 00:03.000\ninside"
-
-
-@query("SELECT * FROM (VALUES (CAST(1000 AS BIGINT), CAST(3500 AS BIGINT), 'Hello there'), (3500, 7000, 'second')) t(start_ms, end_ms, cue)")
+def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as caption files: a header and a note, then a cue for each turn; some begin before the one before has ended, some end before they begin."""
+    start = F.col("turn") * 4000 - F.when(F.col("turn") % 3 == 2, 1500).otherwise(0)
+    stop = start + F.when(F.col("turn") % 7 == 6, -500).otherwise(F.col("turn") % 4 * 900 + 1800)
+    stamp = lambda ms, point: F.format_string(f"%02d:%02d:%02d{point}%03d", F.floor(ms / 3600000), F.floor(ms / 60000) % 60, F.floor(ms / 1000) % 60, ms % 1000)
+    lines = F.array_join(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x != ""), "\n")
+    cue = F.concat((F.col("turn") + 1).cast("string"), F.lit("\n"), stamp(start, "."), F.lit(" --> "), stamp(stop, ","), F.lit(" align:start\n"), lines)
+    own = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", cue.alias("cue")).alias("c"))
+    cues = F.transform(F.array_sort(F.collect_list("c")), lambda c: c["cue"])
+    return own.groupBy("conv_id").agg(cues.alias("cues")).select("conv_id", F.array_join(F.concat(F.array(F.lit("WEBVTT"), F.lit("NOTE made of turns")), "cues"), "\n\n").alias("text"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, turn * 4000 - CASE WHEN turn % 3 = 2 THEN 1500 ELSE 0 END AS start_ms, array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> ''), ' ') AS cue FROM conversations),
+e AS (SELECT *, start_ms + turn % 4 * 900 + 1800 AS end_ms FROM c WHERE turn % 7 <> 6),
+m AS (SELECT *, coalesce(max(end_ms) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM e)
+SELECT conv_id, greatest(start_ms, done) AS start_ms, end_ms, cue FROM m WHERE end_ms > done""")
 def caption_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A caption text parsed, clamped, and without what overlaps."""
-    files = spark.createDataFrame([(1, VTT)], "file long, text string")
-    return ops.clamp_cues(ops.cues_of(files, "file", F.col("text")), "file", "idx", "start_ms", "end_ms").select("start_ms", "end_ms", "cue")
+    """Caption files parsed into cues, clamped, and without what overlaps."""
+    cues = ops.cues_of(captions(spark, sf_dir), "conv_id", F.col("text"))
+    return ops.clamp_cues(cues, "conv_id", "idx", "start_ms", "end_ms").select("conv_id", "start_ms", "end_ms", "cue")
 
 
 @query("""WITH s AS (SELECT conv_id, turn, CAST(coalesce(sum(length(text) + (turn * 389) % 1400) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_ms, length(text) AS n FROM conversations),
@@ -199,10 +211,12 @@ def wordpiece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", F.size("ids").alias("n"), F.md5(F.array_join("ids", " ")).alias("ids_md5"))
 
 
-CSV = 'name,note\nfirst,"two\nlines, and ""quotes"""\n\nsecond,plain\n'
-
-
-@query("""SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(1 AS BIGINT), 'name,note'), (1, 2, 'first,"two' || chr(10) || 'lines, and ""quotes""\"'), (2, 5, 'second,plain')) t(idx, line, record)""".replace('\\"', '"'))
+@query("""WITH r AS (SELECT conv_id, turn + 1 AS idx, turn || ',' || role || ',"' || replace(text, '"', '""') || '"' AS record FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, role, text FROM conversations WHERE role IS NOT NULL AND text IS NOT NULL)
+UNION ALL SELECT DISTINCT conv_id, 0, 'turn,role,text' FROM conversations WHERE role IS NOT NULL AND text IS NOT NULL)
+SELECT conv_id, idx, CAST(1 + coalesce(sum(1 + length(record) - length(replace(record, chr(10), ''))) OVER (PARTITION BY conv_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line, record FROM r""")
 def csv_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of a CSV text with quoted line ends, and the lines that they start at."""
-    return ops.csv_records(spark.createDataFrame([(1, CSV)], "file long, text string"), "file", F.col("text")).select("idx", "line", "record")
+    """Conversations as CSV files, whose quoted texts hold line ends, and their records with the lines that they start at."""
+    c = table(spark, sf_dir, "conversations").where("role IS NOT NULL AND text IS NOT NULL").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("rows"))
+    record = lambda r, k: F.concat(k.cast("string"), F.lit(","), r["role"], F.lit(',"'), F.replace(r["text"], F.lit('"'), F.lit('""')), F.lit('"'))
+    files = c.select("conv_id", F.array_join(F.concat(F.array(F.lit("turn,role,text")), F.transform("rows", record)), "\n").alias("text"))
+    return ops.csv_records(files, "conv_id", F.col("text"))

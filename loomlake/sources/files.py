@@ -74,13 +74,13 @@ def read_blobs(wanted: DataFrame, store: DataFrame) -> DataFrame:
     return joined.withColumn("status", status).withColumn("content", F.when(F.col("status") == "ok", F.col("_content"))).drop("_name", "_content")
 
 
-def synthetic_events(spark: SparkSession, seed: int, count: int) -> DataFrame:
-    """Reproducible events by (seed, count): seq, device, kind in a weighted mix, amount. A map over a range: any part can be made again."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col("id") + 1).cast("string")))
+def synthetic_events(numbers: DataFrame, seed: int) -> DataFrame:
+    """Reproducible events by seed and number (seq): seq, device, kind in a weighted mix, amount. A map: any part can be made again."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("seq").cast("string")))
     number = lambda at: F.conv(F.substring(digest, at, 7), 16, 10).cast("long")
     pick = number(1) % 100
     kind = F.when(pick < 45, "step").when(pick < 55, "start").when(pick < 65, "finish").when(pick < 78, "enqueue").when(pick < 88, "complete").when(pick < 94, "rename").otherwise("audit")
-    return spark.range(count).select((F.col("id") + 1).alias("seq"), (number(9) % 3).alias("device"), kind.alias("kind"), (number(17) % 1000000).alias("amount"))
+    return numbers.select("seq", (number(9) % 3).alias("device"), kind.alias("kind"), (number(17) % 1000000).alias("amount"))
 
 
 def little_endian(value: Column) -> Column:
