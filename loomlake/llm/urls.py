@@ -2,15 +2,16 @@
 
 Fixed host and path rules come first. Every other url is judged by the template of its path: per host, segments
 that vary by digits are generalised, then segments whose parent has too many different children become
-wildcards, level by level over the whole path; sibling templates are merged into branches where their labelled
-shares do not differ significantly, each tested against all that its branch holds so far, in the order of their
-shares; a template is rejected if its branch's share of bad pages, smoothed towards that of all labelled pages,
-exceeds one half. A template without labelled pages joins no branch: it takes the share of all its siblings.
+wildcards, level by level over the whole path; at every level siblings (templates that end there, and branches with all that
+lies below them) are merged where their labelled shares do not differ significantly, each tested against all
+that its branch holds so far, in the order of their shares. From the host down, each merged branch's share of bad pages is
+smoothed towards that of the branch that it hangs from, a host's towards that of all labelled pages; a template is
+rejected if its own exceeds one half. What has no labelled pages joins no branch and takes the share above it.
 
 Pages are first counted per host and path shape (partial sums before the shuffle), so a host with a third of all
 pages is a handful of rows from there on. The tree is grown by as many steps as the deepest path has levels, at most
-DEPTH; what lies deeper stays one last segment, in full. Siblings that are merged are at most twice MAX_CHILDREN by
-construction. The verdicts join back on host and shape, a join that can be split where one host dominates.
+DEPTH; what lies deeper stays one last segment, in full. Siblings that are merged are at most three times MAX_CHILDREN by
+construction (leaves with and without a slash, and branches). The verdicts join back on host and shape, a join that can be split where one host dominates.
 
 DEPTH, MAX_CHILDREN and LONG are parameters of the tree, alike for every host and size.
 
@@ -111,22 +112,35 @@ def judge_templates(shapes: DataFrame) -> DataFrame:
         general = F.when(F.col("host_").isNotNull(), wild).otherwise(F.col("t"))
         # Written out at each level, as the next one reads it twice.
         tree = common.checkpointed(joined.select("host", "steps", "tail", "seen", "bad", general.alias("t")))
-    depth = F.greatest(F.size("t") - 1, F.lit(0))
-    tree = tree.select("host", "steps", "tail", "seen", "bad", below(F.col("t"), depth).alias("parent"), F.concat(F.coalesce(F.get("t", depth), F.lit("")), "tail").alias("leaf"))
-    tree = common.checkpointed(tree)
-    templates = tree.groupBy("host", "parent", "leaf").agg(F.sum("seen").cast("double").alias("n"), F.sum("bad").cast("double").alias("b"))
-    overall = templates.agg(F.sum("n").alias("all_n"), F.sum("b").alias("all_b")).select(F.when(F.col("all_n") > 0, F.col("all_b") / F.col("all_n")).otherwise(0.0).alias("prior"))
-
-    share = F.when(F.col("n") > 0, F.col("b") / F.col("n")).otherwise(0.0)
-    siblings = templates.groupBy("host", "parent").agg(F.array_sort(F.collect_list(F.struct(share.alias("share"), "leaf", "n", "b"))).alias("leaves"), F.sum("n").alias("parent_n"), F.sum("b").alias("parent_b"))
-    placed = siblings.select("host", "parent", F.inline(branches(F.filter("leaves", lambda x: x["n"] > 0))))
-    own = templates.join(placed, ["host", "parent", "leaf"])
-    totals = own.groupBy("host", "parent", "branch").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
-    known = own.select("host", "parent", "leaf", "branch").join(totals, ["host", "parent", "branch"]).select("host", "parent", "leaf", "n", "b")
-    alone = templates.where("n = 0").join(siblings, ["host", "parent"]).select("host", "parent", "leaf", F.col("parent_n").alias("n"), F.col("parent_b").alias("b"))
-    judged = known.unionByName(alone).join(F.broadcast(overall))  # one row
-    judged = judged.select("host", "parent", "leaf", ((F.col("b") + STRENGTH * F.col("prior")) / (F.col("n") + STRENGTH)).alias("purity"))
-    return tree.join(judged, ["host", "parent", "leaf"]).select("host", "steps", "tail", F.concat("parent", F.lit("/"), "leaf").alias("template"), "purity")
+    # The last step with the tail is the leaf; nodes above are told from leaves by two slashes at their end.
+    steps = F.when(F.size("t") > 0, F.concat(F.slice("t", F.lit(1), F.size("t") - 1), F.array(F.concat(F.element_at("t", -1), "tail")))).otherwise(F.array("tail"))
+    tree = common.checkpointed(tree.select("host", "steps", "tail", "seen", "bad", steps.alias("u")))
+    nodes = tree.select("host", "seen", "bad", "u", F.explode(F.sequence(F.lit(1), F.size("u"))).alias("level"))
+    node = lambda level: F.concat(below(F.col("u"), level), F.lit("//"))
+    parent = F.when(F.col("level") == 1, "").otherwise(node(F.col("level") - 1))
+    key = F.when(F.col("level") == F.size("u"), below(F.col("u"), F.size("u"))).otherwise(node(F.col("level")))
+    nodes = nodes.groupBy("host", "level", parent.alias("parent"), key.alias("leaf")).agg(F.sum("seen").cast("double").alias("n"), F.sum("bad").cast("double").alias("b"))
+    nodes = common.checkpointed(nodes)
+    # Alike siblings, leaves and branches with all that is below them, are one branch.
+    siblings = nodes.where("n > 0").groupBy("host", "level", "parent").agg(F.array_sort(F.collect_list(F.struct((F.col("b") / F.col("n")).alias("share"), "leaf", "n", "b"))).alias("leaves"))
+    own = nodes.join(siblings.select("host", "level", "parent", F.inline(branches(F.col("leaves")))), ["host", "level", "parent", "leaf"])
+    totals = own.groupBy("host", "level", "parent", "branch").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+    merged = own.select("host", "level", "parent", "leaf", "branch").join(totals, ["host", "level", "parent", "branch"]).select("host", "level", "parent", "leaf", "n", "b")
+    merged = common.checkpointed(merged.unionByName(nodes.where("n = 0").select("host", "level", "parent", "leaf", "n", "b")))
+    # From the host down, a branch is smoothed towards the one that it hangs from.
+    hosts = nodes.where("level = 1").groupBy("host").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+    overall = hosts.agg(F.sum("n").alias("all_n"), F.sum("b").alias("all_b")).select(F.when(F.col("all_n") > 0, F.col("all_b") / F.col("all_n")).otherwise(0.0).alias("above"))
+    smoothed = ((F.col("b") + STRENGTH * F.col("above")) / (F.col("n") + STRENGTH)).alias("purity")
+    upper = hosts.join(F.broadcast(overall)).select("host", F.lit("").alias("leaf"), smoothed)  # one row
+    judged = None
+    for k in range(1, (tree.agg(F.coalesce(F.max(F.size("u")), F.lit(0))).first()[0]) + 1):
+        above = upper.select(F.col("host").alias("host_"), F.col("leaf").alias("parent_"), F.col("purity").alias("above"))
+        upper = merged.where(F.col("level") == k).join(above, (F.col("host") == F.col("host_")) & (F.col("parent") == F.col("parent_"))).select("host", "leaf", smoothed)
+        upper = common.checkpointed(upper)
+        judged = upper if judged is None else judged.unionByName(upper)
+    judged = upper if judged is None else judged
+    tree = tree.select("host", "steps", "tail", below(F.col("u"), F.size("u")).alias("leaf"))
+    return tree.join(judged, ["host", "leaf"]).select("host", "steps", "tail", F.col("leaf").alias("template"), "purity")
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -165,13 +179,18 @@ p1 AS (SELECT *, {general} AS gen, CASE WHEN suffix(path, '/') THEN '/' ELSE ''
 p AS (SELECT page_id, host, path, rule, ruled, number, CASE WHEN len(gen) > {DEPTH} THEN list_append(gen[1:{DEPTH}], array_to_string(gen[{DEPTH + 1}:], '/')) ELSE gen END AS steps, tail FROM p1),
 l AS (SELECT doc_id AS of_id, max(CAST(coalesce(toxic = 1 OR quality = 0, false) AS BIGINT)) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
 c0 AS (SELECT host, steps, tail, steps AS t, count(bad) AS seen, coalesce(sum(bad), 0) AS bad FROM p LEFT JOIN l ON number = of_id GROUP BY host, steps, tail),{levels}
-f AS (SELECT host, steps, tail, seen, bad, {path_of('t', '(len(t) - 1)')} AS parent, coalesce(t[len(t)], '') || tail AS leaf FROM c{DEPTH + 1}),
-g AS (SELECT host, parent, leaf, CAST(sum(seen) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS b FROM f GROUP BY host, parent, leaf),
-sib AS (SELECT *, row_number() OVER (PARTITION BY host, parent ORDER BY b / n, leaf) AS i FROM g WHERE n > 0),
-w(host, parent, i, leaf, n, b, branch) AS (SELECT host, parent, i, leaf, n, b, 0 FROM sib WHERE i = 1
-UNION ALL SELECT s.host, s.parent, s.i, s.leaf, CASE WHEN {test} THEN s.n ELSE s.n + w.n END, CASE WHEN {test} THEN s.b ELSE s.b + w.b END, w.branch + CASE WHEN {test} THEN 1 ELSE 0 END FROM w JOIN sib s ON s.host = w.host AND s.parent = w.parent AND s.i = w.i + 1),
-o AS (SELECT CASE WHEN sum(n) > 0 THEN sum(b) / sum(n) ELSE 0 END AS prior FROM g),
-x AS (SELECT w.host, w.parent, w.leaf, sum(sib.n) OVER u AS n, sum(sib.b) OVER u AS b FROM w JOIN sib USING (host, parent, i) WINDOW u AS (PARTITION BY w.host, w.parent, w.branch)
-UNION ALL SELECT host, parent, leaf, (SELECT sum(y.n) FROM g y WHERE y.host = g.host AND y.parent = g.parent), (SELECT sum(y.b) FROM g y WHERE y.host = g.host AND y.parent = g.parent) FROM g WHERE n = 0),
-m AS (SELECT f.host, f.steps, f.tail, f.parent || '/' || f.leaf AS template, (b + {STRENGTH} * prior) / (n + {STRENGTH}) AS purity FROM f JOIN x ON f.host = x.host AND f.parent = x.parent AND f.leaf = x.leaf, o)
+f AS (SELECT host, steps, tail, seen, bad, CASE WHEN len(t) > 0 THEN list_append(t[1:len(t) - 1], t[len(t)] || tail) ELSE [tail] END AS u FROM c{DEPTH + 1}),
+e AS (SELECT *, unnest(range(1, len(u) + 1)) AS level FROM f),
+g AS (SELECT host, level, parent, leaf, CAST(sum(seen) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS b FROM (
+  SELECT host, level, seen, bad, CASE WHEN level = 1 THEN '' ELSE {path_of('u', '(level - 1)')} || '//' END AS parent, {path_of('u', 'level')} || CASE WHEN level = len(u) THEN '' ELSE '//' END AS leaf FROM e) GROUP BY host, level, parent, leaf),
+sib AS (SELECT *, row_number() OVER (PARTITION BY host, level, parent ORDER BY b / n, leaf) AS i FROM g WHERE n > 0),
+w(host, level, parent, i, leaf, n, b, branch) AS (SELECT host, level, parent, i, leaf, n, b, 0 FROM sib WHERE i = 1
+UNION ALL SELECT s.host, s.level, s.parent, s.i, s.leaf, CASE WHEN {test} THEN s.n ELSE s.n + w.n END, CASE WHEN {test} THEN s.b ELSE s.b + w.b END, w.branch + CASE WHEN {test} THEN 1 ELSE 0 END FROM w JOIN sib s ON s.host = w.host AND s.level = w.level AND s.parent = w.parent AND s.i = w.i + 1),
+x AS (SELECT w.host, w.level, w.parent, w.leaf, sum(sib.n) OVER y AS n, sum(sib.b) OVER y AS b FROM w JOIN sib USING (host, level, parent, i) WINDOW y AS (PARTITION BY w.host, w.level, w.parent, w.branch)
+UNION ALL SELECT host, level, parent, leaf, n, b FROM g WHERE n = 0),
+h AS (SELECT host, sum(n) AS n, sum(b) AS b FROM g WHERE level = 1 GROUP BY host),
+o AS (SELECT CASE WHEN sum(n) > 0 THEN sum(b) / sum(n) ELSE 0 END AS prior FROM h),
+v(host, level, leaf, purity) AS (SELECT host, CAST(0 AS BIGINT), '', (b + {STRENGTH} * prior) / (n + {STRENGTH}) FROM h, o
+UNION ALL SELECT x.host, x.level, x.leaf, (x.b + {STRENGTH} * v.purity) / (x.n + {STRENGTH}) FROM v JOIN x ON x.host = v.host AND x.level = v.level + 1 AND x.parent = v.leaf),
+m AS (SELECT f.host, f.steps, f.tail, v.leaf AS template, purity FROM f JOIN v ON f.host = v.host AND v.level = len(f.u) AND v.leaf = {path_of('f.u', 'len(f.u)')})
 SELECT page_id, p.host, path, rule, coalesce(ruled, CASE WHEN purity > {REJECT} THEN 'block' ELSE 'allow' END) AS verdict, template, purity FROM p JOIN m ON p.host = m.host AND p.steps = m.steps AND p.tail = m.tail"""
