@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomlake.functions.scalars import running_sums
+from loomlake.functions.scalars import bound, running_sums
 
 TARGET_BYTES, MAX_BYTES = 1200, 1600
 #: Silence in ms after which a segment starts a turn.
@@ -33,6 +33,19 @@ def segments(df: DataFrame, key: str, text: Column, separator: str) -> DataFrame
     return segment_arrays(df, key, text, separator).select(key, F.inline("segs"))
 
 
+def line_spans(text: Column, separator: str) -> Column:
+    """For every part between separators that is not blank, in the order of segment_arrays: the first and last line (from 0) that hold anything of it."""
+    breaks = lambda p: F.length(F.regexp_replace(p, r"[^\n]", ""))
+    gap = separator.encode().decode("unicode_escape").count("\n")
+
+    def spans(parts: Column) -> Column:
+        starts = running_sums(F.transform(parts, lambda p: (breaks(p) + gap).cast("long")))
+        own = lambda p, at: F.struct((at + breaks(F.regexp_extract(p, r"^\s*", 0))).alias("first"), (at + breaks(F.regexp_replace(p, r"\s*$", ""))).alias("last"), (F.btrim(p) != "").alias("kept"))
+        return F.filter(F.zip_with(parts, starts, own), lambda x: x["kept"])
+
+    return bound(F.split(text, separator, -1), spans)
+
+
 def chunk_windows(items: DataFrame, key: str, shape: str = "any", target: int = TARGET_BYTES, most: int = MAX_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
     """key, keep..., ordinal, byte_start, byte_end, first_idx, last_idx: greedy windows over consecutive segments (segs) of each item.
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,11 +61,20 @@ def normalize(items: DataFrame) -> DataFrame:
 
 @DEFAULT.register("chunk")
 def chunk(items: DataFrame) -> DataFrame:
-    """item, ordinal, content (bytes as hex digits), content_hash: paragraphs in greedy windows, within each item's row."""
-    segs = ops.segment_arrays(items, "item", F.col("text"), "\\n\\n", "text")
-    rows = ops.chunk_windows(segs, "item", keep=("text",))
+    """item, ordinal, content (bytes as hex digits), content_hash, locator_kind, locator_first, locator_last: paragraphs in greedy windows of the shape that the media asks for, within each item's row.
+
+    A locator says where a chunk comes from: messages of a thread (by their number), else lines; both from 0, the last included, over all segments that the chunk is cut from.
+    """
+    segs = ops.segment_arrays(items, "item", F.col("text"), "\\n\\n", "text", "media").withColumn("lines", ops.line_spans(F.col("text"), "\\n\\n"))
+    segs = segs.withColumn("segs", F.transform("segs", lambda s: s.withField("depth", scalars.heading_depth(s["segment"]))))
+    of = F.coalesce(*(F.when(F.col("media") == m, shape) for m, shape in SHAPES.items()), F.lit("any"))
+    parts = [ops.chunk_windows(segs.where(of == shape), "item", shape, keep=("text", "media", "lines")) for shape in dict.fromkeys(SHAPES.values())]
+    rows = reduce(DataFrame.unionByName, parts)
     cut = F.substr(F.encode("text", "UTF-8"), (F.col("byte_start") + 1).cast("int"), (F.col("byte_end") - F.col("byte_start")).cast("int"))
-    return rows.select("item", "ordinal", F.hex(cut).alias("content")).withColumn("content_hash", F.sha2("content", 256))
+    thread = F.col("media") == "json"
+    at = lambda idx, end: F.when(thread, F.col(idx)).otherwise(F.get("lines", F.col(idx).cast("int"))[end])
+    rows = rows.select("item", "ordinal", F.hex(cut).alias("content"), F.when(thread, "message").otherwise("line").alias("locator_kind"), at("first_idx", "first").alias("locator_first"), at("last_idx", "last").alias("locator_last"))
+    return rows.withColumn("content_hash", F.sha2("content", 256))
 
 
 def hashed_embedder(content: DataFrame, dim: int = 8) -> DataFrame:

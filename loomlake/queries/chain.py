@@ -26,6 +26,16 @@ def ingest_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.embed(chunks, known).select("item", "ordinal", "content_hash", "outcome", F.round(F.get("vector", 0), 6).alias("first"))
 
 
+@query(f"""{CHUNKS_SQL}, loc_sp AS (SELECT conv_id, unnest(string_split(text, chr(10) || chr(10))) AS part, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS k FROM threads),
+loc_sl AS (SELECT *, coalesce(sum(length(part) - length(replace(part, chr(10), '')) + 2) OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line, regexp_extract(part, '^\\s*') AS lead, regexp_replace(part, '\\s*$', '') AS body FROM loc_sp),
+loc_sk AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY k) - 1 AS idx, CAST(line + length(lead) - length(replace(lead, chr(10), '')) AS BIGINT) AS first, CAST(line + length(body) - length(replace(body, chr(10), '')) AS BIGINT) AS last FROM loc_sl WHERE trim(part) <> '')
+SELECT p.conv_id AS item, row_number() OVER (PARTITION BY p.conv_id ORDER BY byte_start) - 1 AS ordinal, 'line' AS locator_kind, a.first AS locator_first, z.last AS locator_last FROM p JOIN loc_sk a ON a.conv_id = p.conv_id AND a.idx = p.i JOIN loc_sk z ON z.conv_id = p.conv_id AND z.idx = p.j""")
+def chunk_locators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where in its item every chunk of the chain comes from."""
+    items = threads(spark, sf_dir).select(F.col("conv_id").alias("item"), "text")
+    return stages.DEFAULT.run(items, ["normalize", "chunk"]).select("item", "ordinal", "locator_kind", "locator_first", "locator_last")
+
+
 #: Kinds of a run's events, in the order in which the queries deal them out.
 RUN_KINDS = ("RunStarted", "RunStepCommitted", "RunToolEffectRecorded", "RunCheckpointSaved", "RunValidationRecorded", "RunPauseRequested", "RunPaused", "RunResumed", "RunCancelRequested", "RunCanceled", "RunTaintRaised", "RunQuestionAsked", "RunQuestionAnswered", "RunFinished")
 NULL_TEXT = "CAST(NULL AS STRING)"

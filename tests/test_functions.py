@@ -115,3 +115,19 @@ def test_named_queries(spark, data):
     assert surface.ask(spark, data, "cost.rollup").count() > 0
     with pytest.raises(surface.UnknownQuery):
         surface.ask(spark, data, "nothing")
+
+
+def test_locators_and_shapes(spark):
+    """Each medium is cut by its shape, and every chunk says where it comes from."""
+    from loomlake.plans import stages
+
+    texts = {
+        1: "first line\nsecond\n\n\n\nthird block\n\n  \n\nlast",
+        2: '{"a": 1}\n\n{"b": 2}\n\n{"c": 3}',
+        3: "# One\n\ntext a\n\n## Two\n\ntext b\n\ntext c",
+    }
+    items = spark.createDataFrame(list(texts.items()), "item long, text string")
+    rows = stages.DEFAULT.run(items, ["normalize", "chunk"]).orderBy("item", "ordinal").collect()
+    got = [(r.item, r.ordinal, r.locator_kind, r.locator_first, r.locator_last) for r in rows]
+    assert got == [(1, 0, "line", 0, 9), (2, 0, "message", 0, 0), (2, 1, "message", 1, 1), (2, 2, "message", 2, 2), (3, 0, "line", 0, 2), (3, 1, "line", 4, 8)]
+    assert bytes.fromhex(rows[4].content).decode() == "# One\n\ntext a"
