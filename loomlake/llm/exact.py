@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Bits of a run's number that one round takes off: so many runs, as a power of two, merge into one.
-FAN_BITS = 5
+FAN_BITS = 4
 #: What tells texts apart: the digest that runs are sorted by, and what verifies it.
 DIGEST = ("digest", "sha", "size")
 

@@ -16,7 +16,7 @@ def brute(rows, keep="largest"):
     return sorted(((d, stays[t or ""], len(by[t or ""]), hashlib.sha256((t or "").encode()).hexdigest()) for d, t in rows), key=str), stays
 
 
-@pytest.mark.parametrize("bits,parts", [(1, 13), (5, 40), (2, 1)])
+@pytest.mark.parametrize("bits,parts", [(1, 13), (4, 40), (2, 1)])
 def test_runs_merge_to_what_brute_force_gives(spark, monkeypatch, bits, parts):
     monkeypatch.setattr(exact, "FAN_BITS", bits)
     rng = random.Random(bits)
@@ -34,6 +34,18 @@ def test_runs_merge_to_what_brute_force_gives(spark, monkeypatch, bits, parts):
         assert sorted(left, key=str) == sorted(((d, t) for t, d in stays.items()), key=str)
 
 
+def test_rounds_follow_the_number_of_runs(spark, monkeypatch):
+    """Sixteen runs meet in a round: as many rounds as it takes until one is left, and one where there is but one."""
+    rounds = []
+    kept = exact.merged_runs
+    monkeypatch.setattr(exact, "merged_runs", lambda runs: rounds.append(1) or kept(runs))
+    runs = spark.createDataFrame([(0, 1, bytearray(32), 4, (5, 0), 1)], "run long, digest long, sha binary, size int, best struct<ident:long,row:long>, n long")
+    for count, want in ((1, 1), (16, 1), (17, 2), (256, 2), (257, 3), (800_000, 5)):
+        rounds.clear()
+        exact.tree_merge(runs, count)
+        assert len(rounds) == want
+
+
 def test_odd_rows(spark, odd, none):
     got = exact.copy_report(odd)
     assert got.columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
