@@ -50,9 +50,9 @@ def manifest(spark: SparkSession, path: str, schema: str, entries: str) -> DataF
 
 
 def prompts(spark: SparkSession, root: str) -> DataFrame:
-    """name, version, front (as text), fields (its `key: value` lines as a map), body, hash of files name@version.md with front matter between lines of dashes."""
+    """name, version, front (as text), fields (its `key: value` lines as a map), body, hash of files name@version.md (or the one file in a folder of that name, as Spark writes it) with front matter between lines of dashes."""
     files = spark.read.text(root, wholetext=True).select(F.col("value"), F.input_file_name().alias("path"))
-    name = r"([^/@]+)@(\d+)\.md$"
+    name = r"([^/@=]+)@(\d+)\.md(?:/[^/]+)?$"
     matter = r"(?s)^---\n(.*?)\n---\n(.*)$"
     return files.select(
         F.regexp_extract("path", name, 1).alias("name"), F.regexp_extract("path", name, 2).try_cast("int").alias("version"),
