@@ -1,4 +1,9 @@
-"""WordPiece: a small vectorised helper over a broadcast vocabulary."""
+"""WordPiece: greedy longest matches of a given vocabulary, as a join over distinct words or as a helper in Arrow batches.
+
+The vocabulary is a table (piece, id), read from a file or listed; nothing is trained here. encoded() matches each distinct word once:
+all its prefixes meet the vocabulary in a join, the longest counts, and so on from where it ends, in as many rounds as the
+word with most pieces has; texts then take their words' pieces. wordpiece() does the same within a task, a word at a time, for a text or two.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomlake.session import checkpointed, sized
+
 WORD_CHARS_MAX = 100
 SPECIAL = ("[PAD]", "[UNK]", "[CLS]", "[SEP]")
 
@@ -70,3 +77,72 @@ def wordpiece(vocab: dict[str, int], limit: int = 512) -> Column:
             yield texts.map(lambda t: encode(t, vocab, limit))
 
     return run
+
+
+#: Pieces of a vocabulary that are broadcast at most.
+PIECES_MAX = 1_000_000
+#: Letters with accents that have a plain letter as their base, by Unicode's own decompositions.
+ACCENTED = "".join(chr(c) for c in range(0xC0, 0x250) if unicodedata.normalize("NFD", chr(c))[0] < "\x80" and len(unicodedata.normalize("NFD", chr(c))) > 1)
+PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in ACCENTED)
+#: What stands alone: punctuation, other marks of ASCII, ideographs.
+ALONE = r"([\p{P}!-/:-@\[-`{-~\u3400-\u9FFF\uF900-\uFAFF])"
+
+
+def split_words(text: Column) -> Column:
+    """words_of() as a column expression, for accents of Latin letters up to U+024F and combining marks."""
+    clean = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)[\p{C}&&[^\s]]", "")
+    plain = F.regexp_replace(F.translate(F.lower(clean), ACCENTED, PLAIN), r"\p{Mn}", "")
+    return F.filter(F.split(F.regexp_replace(plain, ALONE, " $1 "), r"(?U)\s+", -1), lambda w: w != "")
+
+
+def word_pieces(words: DataFrame, vocab: DataFrame) -> DataFrame:
+    """word, ids of distinct words: the longest piece that begins each, then the longest that goes on, marked by ##; unknown if some rest has none."""
+    vocab = sized(vocab.select(F.col("piece"), F.col("id").cast("int").alias("id")), PIECES_MAX)
+    special = {r.piece: r.id for r in vocab.where(F.col("piece").isin(*SPECIAL)).collect()}
+    if missing := [s for s in SPECIAL if s not in special]:
+        raise ValueError(f"pieces that a vocabulary needs: {missing}")
+    longest = vocab.agg(F.max(F.char_length("piece")).alias("n")).first().n
+    unknown = F.array(F.lit(special["[UNK]"]))
+    n = F.char_length("word")
+    fits = n <= WORD_CHARS_MAX
+    done = words.where(~fits).select("word", unknown.alias("ids"))
+    pending = words.where(fits).select("word", F.lit(0).alias("at"), F.array().cast("array<int>").alias("ids"))
+    while True:
+        ends = F.explode(F.sequence(F.lit(1), F.least(n - F.col("at"), F.lit(longest))))
+        tried = pending.select("word", "at", "ids", ends.alias("length"))
+        tried = tried.withColumn("own", F.concat(F.when(F.col("at") > 0, "##").otherwise(""), F.substr("word", F.col("at") + 1, F.col("length"))))
+        found = tried.join(vocab, F.col("own") == F.col("piece"), "left")
+        best = found.groupBy("word", "at", "ids").agg(F.max(F.when(F.col("id").isNotNull(), F.struct("length", "id"))).alias("best"))
+        best = best.select("word", (F.col("at") + F.col("best.length")).alias("at"), F.when(F.col("best").isNull(), unknown).otherwise(F.concat("ids", F.array("best.id"))).alias("ids"))
+        best = checkpointed(best)
+        ended = F.col("at").isNull() | (F.col("at") == n)
+        done = done.unionByName(best.where(ended).select("word", "ids"))
+        pending = best.where(~ended)
+        if pending.isEmpty():
+            return done
+
+
+def encoded(texts: DataFrame, key: list[str], text: Column, vocab: DataFrame, limit: int = 512) -> DataFrame:
+    """key, ids of every text: the first and last piece of a text around at most limit - 2 others. Keys are unique."""
+    rows = checkpointed(texts.select(*key, split_words(text).alias("words")))
+    words = rows.select(F.explode("words").alias("word")).distinct()
+    pieces = word_pieces(words, vocab)
+    # No more words than pieces can count.
+    tokens = rows.select(F.struct(*key).alias("key"), F.posexplode(F.slice("words", 1, limit - 2)).alias("at", "word"))
+    own = tokens.join(pieces, "word").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("found"))
+    ids = F.slice(F.flatten(F.transform("found", lambda x: x["ids"])), 1, limit - 2)
+    ends = {r.piece: r.id for r in vocab.where(F.col("piece").isin("[CLS]", "[SEP]")).collect()}
+    whole = rows.select(F.struct(*key).alias("of")).join(own, F.col("of").eqNullSafe(F.col("key")), "left")
+    around = F.concat(F.array(F.lit(ends["[CLS]"]).cast("int")), F.coalesce(ids, F.array().cast("array<int>")), F.array(F.lit(ends["[SEP]"]).cast("int")))
+    return whole.select(*(F.col("of")[k].alias(k) for k in key), around.alias("ids"))
+
+
+def listed_pieces(texts: DataFrame, text: Column, words: int = 4096) -> DataFrame:
+    """value: a plain list of pieces, a line each, in one text: the special ones, all characters, and the words seen most. By counts alone: a stand-in for a vocabulary file, for want of one."""
+    seen = checkpointed(texts.select(F.explode(split_words(text)).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+    most = seen.where(F.char_length("word") > 1).orderBy(F.desc("n"), "word").limit(words).select(F.lit(2).alias("kind"), (-F.col("n")).alias("rank"), F.col("word").alias("piece"))
+    letters = seen.select(F.explode(F.split("word", "")).alias("c")).distinct()
+    singles = letters.select(F.lit(1).alias("kind"), F.lit(0).cast("long").alias("rank"), F.explode(F.array("c", F.concat(F.lit("##"), "c"))).alias("piece"))
+    special = texts.sparkSession.createDataFrame([(0, k, p) for k, p in enumerate(SPECIAL)], "kind int, rank long, piece string")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("kind", "rank", "piece"))), lambda x: x["piece"])
+    return special.unionByName(singles).unionByName(most).agg(F.array_join(lines, "\n").alias("value"))  # bounded by words and the alphabet
