@@ -75,9 +75,14 @@ def blocks(vectors: DataFrame, size: int, scale: int, ident: str = "vec_id", col
     return common.checkpointed(rows.mapInArrow(run, BLOCKS))
 
 
+def magnitude(x: np.ndarray) -> int:
+    """The largest absolute value; not by abs(), which leaves the smallest number of a narrow type negative."""
+    return max(int(x.max()), -int(x.min()))
+
+
 def distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     """Squared distances of every row of x to every centroid, exact: by matrix product where all terms are below 2^53."""
-    peak = int(abs(x).max()) + int(abs(centroids).max())
+    peak = magnitude(x) + magnitude(centroids)
     bound = x.shape[1] * peak * peak
     if bound < EXACT:
         a, c = x.astype(np.float64), centroids.astype(np.float64)
@@ -89,7 +94,7 @@ def distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 
 def block_sums(x: np.ndarray, nearest: np.ndarray, far: np.ndarray, k: int) -> np.ndarray:
     """By cluster: count, inertia and the sum of each component, as Python's integers."""
-    if x.dtype != object and len(x) * int(abs(x).max()) < EXACT:
+    if x.dtype != object and len(x) * magnitude(x) < EXACT:
         member = (nearest == np.arange(k)[:, None]).astype(np.float64)
         sums = (member @ x.astype(np.float64)).astype(np.int64).astype(object)
     else:

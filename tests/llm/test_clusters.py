@@ -70,6 +70,14 @@ def test_guard_holds_at_its_edge():
         assert clusters.distances(x, c).tolist() == [[64 * 4 * e * e]] * 2
 
 
+def test_the_smallest_number_of_a_narrow_type_counts_for_the_guard():
+    for kind in (np.int8, np.int16, np.int32, np.int64):
+        low = int(np.iinfo(kind).min)
+        x = np.array([[low, 1, *[0] * 62]], kind)
+        assert clusters.magnitude(x) == -low
+        assert clusters.distances(x, np.zeros((1, 64), object)).tolist() == [[low * low + 1]]
+
+
 def test_odd_vectors(spark):
     one = [0.5] * 64
     rows = [(1, one), (1, one), (None, [-0.01] * 64), (2, None), (3, []), (4, one[:63]), (5, [*one, 0.5]), (6, [None, *one[1:]]), (7, [math.nan, *one[1:]]), (8, [math.inf, *one[1:]]), (9, [1.0] * 64)]
