@@ -17,14 +17,15 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlake.functions.scalars import bound
+from loomlake.plans.ranges import BOUNDS_MAX, before, placed
 from loomlake.session import checkpointed, sized
 
-#: Events that one function stands for at the lowest level, and rows of states that are broadcast at most.
-BLOCK, BOUNDS_MAX = 256, 500_000
+#: Events that one function stands for at the lowest level.
+BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -52,30 +53,6 @@ def table(rows: list[list]) -> Column:
     return F.array(*(F.array(*map(F.lit, r)) for r in rows))
 
 
-def placed(rows: DataFrame, by: tuple[str, ...], order: str) -> DataFrame:
-    """rows sorted by range over key and order and written out, with the key as one struct, the partition and the place."""
-    marks = {"_key": F.struct(*by), "_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}
-    return checkpointed(rows.orderBy(*by, order).withColumns(marks))
-
-
-def before(rows: DataFrame, sums: dict[str, Column], lasts: dict[str, Column] | None = None) -> DataFrame:
-    """placed rows with the sum of each of sums, and the last of lasts that is not null, over the rows of its key before it.
-
-    Within a partition by a window; what the partitions before hold is one row per partition and key.
-    """
-    lasts = lasts or {}
-    names = [*sums, *lasts]
-    rows = rows.withColumns({f"_of_{n}": c for n, c in {**sums, **lasts}.items()})
-    bounds = rows.groupBy("_key", "_part").agg(*(F.sum(f"_of_{n}").alias(n) for n in sums), *(F.max_by(f"_of_{n}", F.when(F.col(f"_of_{n}").isNotNull(), F.col("_at"))).alias(n) for n in lasts))
-    over = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bounds = bounds.select(F.col("_key").alias("_k"), F.col("_part").alias("_p"), *(F.coalesce(F.sum(n).over(over), F.lit(0)).alias(f"_from_{n}") for n in sums), *(F.last(n, ignorenulls=True).over(over).alias(f"_from_{n}") for n in lasts))
-    joined = rows.join(sized(bounds, BOUNDS_MAX), (F.col("_part") == F.col("_p")) & F.col("_key").eqNullSafe(F.col("_k")))
-    own = Window.partitionBy("_key", "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    values = {n: F.coalesce(F.sum(f"_of_{n}").over(own), F.lit(0)) + F.col(f"_from_{n}") for n in sums}
-    values |= {n: F.coalesce(F.last(f"_of_{n}", ignorenulls=True).over(own), F.col(f"_from_{n}")) for n in lasts}
-    return joined.withColumns(values).drop("_k", "_p", *(f"_of_{n}" for n in names), *(f"_from_{n}" for n in names))
-
-
 def spent_before(rows: DataFrame, deltas: dict[str, Column], sets: dict[str, Column]) -> DataFrame:
     """placed rows with each counter as it stands before the row: its last overwrite (sets, null where there is none) and the deltas since."""
     rows = before(rows, {f"_all_{n}": F.coalesce(d, F.lit(0)) for n, d in deltas.items()})

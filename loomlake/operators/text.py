@@ -7,10 +7,11 @@ is bounded by the item itself.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlake.functions.scalars import bound, running_sums
+from loomlake.plans import ranges
 
 TARGET_BYTES, MAX_BYTES = 1200, 1600
 #: Silence in ms after which a segment starts a turn.
@@ -78,9 +79,9 @@ def chunk_windows(items: DataFrame, key: str, shape: str = "any", target: int =
 
 def turn_marks(segs: DataFrame, key: str, order: str, start: str, stop: str, gap_ms: int = TURN_GAP_MS) -> DataFrame:
     """segs with starts_turn: the first of its item, or after enough silence."""
-    w = Window.partitionBy(key).orderBy(order)
-    before = F.lag(stop).over(w)
-    return segs.withColumn("starts_turn", before.isNull() | (F.greatest(F.col(start) - before, F.lit(0)) >= gap_ms))
+    before = F.col("_before")
+    marked = ranges.running(segs, (key,), order, lasts={"_before": F.col(stop)})
+    return marked.withColumn("starts_turn", before.isNull() | (F.greatest(F.col(start) - before, F.lit(0)) >= gap_ms)).drop("_before")
 
 
 def clamp_cues(cues: DataFrame, key: str, order: str, start: str, stop: str) -> DataFrame:
@@ -88,9 +89,8 @@ def clamp_cues(cues: DataFrame, key: str, order: str, start: str, stop: str) ->
 
     A cue that goes never raises the committed end, so that end is the running maximum over all before it.
     """
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    committed = F.coalesce(F.max(stop).over(w), F.lit(0))
-    return cues.withColumn("_c", committed).where(F.col(stop) > F.col("_c")).withColumn(start, F.greatest(F.col(start), F.col("_c"))).drop("_c")
+    rows = ranges.running(cues, (key,), order, tops={"_c": F.col(stop)}).withColumn("_c", F.coalesce("_c", F.lit(0)))
+    return rows.where(F.col(stop) > F.col("_c")).withColumn(start, F.greatest(F.col(start), F.col("_c"))).drop("_c")
 
 
 def cues_of(df: DataFrame, key: str, text: Column) -> DataFrame:

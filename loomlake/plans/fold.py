@@ -20,6 +20,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomlake.plans import ranges
+
 
 @dataclass(frozen=True)
 class Last:
@@ -199,12 +201,10 @@ def fold(log: DataFrame, t: Table) -> DataFrame:
 
 def strict_violations(log: DataFrame, t: Table) -> DataFrame:
     """Events that a strict reading refuses: creates of a key that lives, changes of a key that does not; key, seq, problem."""
-    from pyspark.sql import Window
-
-    log = log.where(F.col("kind").isin(*t.wanted()))
-    w = Window.partitionBy(*t.key).orderBy(t.order).rowsBetween(Window.unboundedPreceding, -1)
+    log = log.where(F.col("kind").isin(*t.wanted())).select(*t.key, t.order, "kind")
     mark = F.when(F.col("kind").isin(*t.creates), 1).when(F.col("kind").isin(*t.deletes), 0)
-    alive = F.coalesce(F.last(mark, ignorenulls=True).over(w), F.lit(0))
+    log = ranges.running(log, t.key, t.order, lasts={"_alive": mark})
+    alive = F.coalesce("_alive", F.lit(0))
     problem = F.when(F.col("kind").isin(*t.creates) & (alive == 1), "duplicate").when(~F.col("kind").isin(*t.creates) & (alive == 0), "missing")
     return log.select(*t.key, t.order, "kind", problem.alias("problem")).where("problem IS NOT NULL")
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlake.operators import log as ops
-from loomlake.plans import fold
+from loomlake.plans import fold, ranges
 from loomlake.registry import query
 from loomlake.session import scratch
 from loomlake.sources.tables import LOG_SQL, event_log, table
@@ -218,8 +218,8 @@ SELECT entity, seq, CASE WHEN kind = 'view' AND before = 'error' THEN 'resumed,
 FROM s WHERE (kind = 'view' AND before = 'error') OR (kind = 'purchase' AND before = 'purchase')""")
 def run_guard_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules on a run's order of events, each as a query for its violations."""
-    w = Window.partitionBy("entity").orderBy("seq")
-    s = event_log(spark, sf_dir).where("kind IN ('view', 'error', 'purchase')").withColumn("before", F.lag("kind").over(w))
+    s = event_log(spark, sf_dir).where("kind IN ('view', 'error', 'purchase')").select("entity", "seq", "kind")
+    s = ranges.running(s, ("entity",), "seq", lasts={"before": F.col("kind")})
     problem = F.when((F.col("kind") == "view") & (F.col("before") == "error"), "resumed, not planned").when((F.col("kind") == "purchase") & (F.col("before") == "purchase"), "finished twice")
     return s.select("entity", "seq", problem.alias("problem")).where("problem IS NOT NULL")
 

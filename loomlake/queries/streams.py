@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlake.plans import fold
+from loomlake.plans import fold, ranges
 from loomlake.queries.logs import USERS
 from loomlake.registry import query
 from loomlake.session import scratch
@@ -66,10 +66,8 @@ def resume_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 c AS (SELECT DISTINCT entity, entity % 100 AS cursor FROM log)
 SELECT c.entity, cursor, CASE WHEN cursor > head THEN 'invalid_input' WHEN cursor < first - 1 THEN 'resume_window_exceeded' ELSE 'resumed' END AS status, CASE WHEN cursor <= head AND cursor >= first - 1 THEN head - cursor END AS behind FROM c JOIN b ON c.entity = b.entity""")
 def resume_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     log = event_log(spark, sf_dir)
-    frames = log.select("entity", F.row_number().over(Window.partitionBy("entity").orderBy("seq")).cast("long").alias("frame"))
+    frames = ranges.running(log.select("entity", "seq"), ("entity",), "seq", {"before": F.lit(1)}).select("entity", (F.col("before") + 1).alias("frame"))
     cursors = log.select("entity").distinct().withColumn("cursor", F.col("entity") % 100)
     return ops.resume_status(ops.resume_window(frames, "entity", "frame", 20), "entity", "frame", cursors)
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlake.functions import scalars
 from loomlake.operators import log, reads, text
+from loomlake.plans import ranges
 from loomlake.registry import query
 from loomlake.sources import files
 from loomlake.sources.tables import CALLS_SQL, LOG_SQL, event_log, model_calls, table
@@ -117,7 +118,7 @@ def segment_commit_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decoded segments that start before what is committed go; the rest are numbered without gaps."""
     s = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("turn") * 9000 + (F.col("turn") % 3) * 400).alias("start_ms"))
     kept = s.where((F.col("start_ms") >= F.floor(F.col("turn") / 2) * 18000) & (F.col("start_ms") >= 9000))
-    return kept.withColumn("idx", (F.row_number().over(Window.partitionBy("conv_id").orderBy("start_ms", "turn")) - 1).cast("long"))
+    return ranges.running(kept, ("conv_id",), ("start_ms", "turn"), {"idx": F.lit(1).cast("long")})
 
 
 @query("""SELECT conv_id, min(turn) FILTER (role <> 'system') AS locator_start, max(turn) FILTER (role <> 'system') AS locator_end, 'message' AS locator_kind FROM conversations GROUP BY conv_id""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomlake.functions import scalars, wordpiece
 from loomlake.operators import text as ops
+from loomlake.plans import ranges
 from loomlake.registry import query
 from loomlake.session import checkpointed, scratch
 from loomlake.sources import folders
@@ -159,22 +160,15 @@ def caption_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH s AS (SELECT conv_id, turn, CAST(coalesce(sum(length(text) + (turn * 389) % 1400) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_ms, length(text) AS n FROM conversations),
 e AS (SELECT *, start_ms + n AS end_ms FROM s), l AS (SELECT *, lag(end_ms) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM e) SELECT conv_id, turn, start_ms, end_ms, prev IS NULL OR greatest(start_ms - prev, 0) >= 700 AS starts_turn FROM l""")
 def turn_marking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    c = table(spark, sf_dir, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.char_length("text") + (F.col("turn") * 389) % 1400).over(w), F.lit(0)).cast("long")
-    s = c.select("conv_id", "turn", start.alias("start_ms"), F.char_length("text").alias("n")).withColumn("end_ms", F.col("start_ms") + F.col("n"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.char_length("text").alias("n"))
+    s = ranges.running(c, ("conv_id",), "turn", {"start_ms": F.col("n") + (F.col("turn") * 389) % 1400}).withColumn("end_ms", F.col("start_ms") + F.col("n"))
     return ops.turn_marks(s, "conv_id", "turn", "start_ms", "end_ms").select("conv_id", "turn", "start_ms", "end_ms", "starts_turn")
 
 
 @query("""SELECT conv_id, turn, CAST(coalesce(sum(octet_length(encode(text)) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_start, octet_length(encode(text)) AS n_bytes FROM conversations""")
 def byte_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.octet_length("text") + 1).over(w), F.lit(0)).cast("long")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", start.alias("byte_start"), F.octet_length("text").cast("long").alias("n_bytes"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.octet_length("text").cast("long").alias("n_bytes"))
+    return ranges.running(c, ("conv_id",), "turn", {"byte_start": F.col("n_bytes") + 1}).select("conv_id", "turn", "byte_start", "n_bytes")
 
 
 @query("""WITH s AS (SELECT doc_id, CASE WHEN quality = 0 THEN 'failed' ELSE 'ready' END AS status, doc_id % 5 AS done FROM labels), e AS (SELECT *, status = 'failed' OR done + 1 >= 3 AS eligible FROM s)

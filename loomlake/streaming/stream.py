@@ -196,9 +196,10 @@ def resume_status(window: DataFrame, by: str, order: str, cursors: DataFrame) ->
 
 def settled(frames: DataFrame, by: str, order: str, terminal) -> DataFrame:
     """Frames that may be sent: all but the newest of a stream that has not ended."""
-    w = Window.partitionBy(by)
-    marked = frames.withColumns({"_last": F.max(order).over(w), "_ended": F.max(F.when(terminal, 1).otherwise(0)).over(w)})
-    return marked.where((F.col(order) < F.col("_last")) | (F.col("_ended") == 1)).drop("_last", "_ended")
+    # An aggregate joined back, not a window, so that a stream with a third of the frames can be split.
+    ends = frames.groupBy(F.col(by).alias("_by")).agg(F.max(order).alias("_last"), F.max(F.when(terminal, 1).otherwise(0)).alias("_ended"))
+    marked = frames.join(ends, F.col(by).eqNullSafe(F.col("_by")))
+    return marked.where((F.col(order) < F.col("_last")) | (F.col("_ended") == 1)).drop("_by", "_last", "_ended")
 
 
 def pull(frames: DataFrame, by: str, order: str, cursors: DataFrame, limit: int) -> DataFrame:
