@@ -200,30 +200,35 @@ def embed_input_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOY = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", *"abcdefghijklmnopqrstuvwxyz", *(f"##{c}" for c in "abcdefghijklmnopqrstuvwxyz"), "th", "##ion", "##ing", ".", ","]
 
 
-@query()
+_PIECES = r"list_filter(string_split_regex(regexp_replace(regexp_replace(strip_accents(lower(coalesce(text, ''))), '[\x00-\x08\x0E-\x1F\x7F]', '', 'g'), '([\pP!-/:-@\[-`{-~\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}])', ' \1 ', 'g'), '\s+'), lambda x: x <> '')"
+
+
+#: Greedy longest matches of a vocabulary vo (piece, id) in every conversation, by recursion.
+_MATCHED = rf"""ct AS (SELECT conv_id, turn, {_PIECES} AS words FROM conversations),
+cw AS (SELECT DISTINCT unnest(words) AS word FROM ct),
+m(word, pos, ids) AS (SELECT word, CAST(0 AS BIGINT), []::BIGINT[] FROM cw WHERE length(word) <= 100
+  UNION ALL SELECT m.word, CAST(m.pos + coalesce(b.len, 1000) AS BIGINT), CASE WHEN b.len IS NULL THEN [1] ELSE list_append(m.ids, b.id) END
+  FROM m LEFT JOIN LATERAL (SELECT length(vo.piece) - CASE WHEN m.pos > 0 THEN 2 ELSE 0 END AS len, vo.id FROM vo WHERE starts_with(CASE WHEN m.pos > 0 THEN '##' ELSE '' END || substr(m.word, m.pos + 1), vo.piece) AND (m.pos = 0 OR length(vo.piece) > 2) ORDER BY length(vo.piece) DESC LIMIT 1) b ON true WHERE m.pos < length(m.word)),
+wp AS (SELECT word, ids FROM m WHERE pos >= length(word) UNION ALL SELECT word, [1] FROM cw WHERE length(word) > 100),
+tk AS (SELECT conv_id, turn, unnest(words[1:510]) AS word, generate_subscripts(words[1:510], 1) AS k FROM ct),
+en AS (SELECT conv_id, turn, flatten(list(ids ORDER BY k))[1:510] AS ids FROM tk JOIN wp USING (word) GROUP BY conv_id, turn)
+SELECT ct.conv_id, ct.turn, CAST(2 + coalesce(len(ids), 0) AS INTEGER) AS n, md5(array_to_string(list_concat([2], coalesce(ids, []), [3]), ' ')) AS ids_md5 FROM ct LEFT JOIN en ON ct.conv_id = en.conv_id AND ct.turn = en.turn"""
+_TOY_SQL = ", ".join(f"({k}, '{p}')" for k, p in enumerate(TOY))
+
+
+@query(f"WITH RECURSIVE vo AS (SELECT piece, id FROM (VALUES {_TOY_SQL}) s(id, piece)), {_MATCHED}")
 def wordpiece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     encode = wordpiece.wordpiece(wordpiece.vocabulary(TOY))
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", encode("text").alias("ids"))
     return c.select("conv_id", "turn", F.size("ids").alias("n"), F.md5(F.array_join("ids", " ")).alias("ids_md5"))
 
 
-_PIECES = r"list_filter(string_split_regex(regexp_replace(regexp_replace(strip_accents(lower(coalesce(text, ''))), '[\x00-\x08\x0E-\x1F\x7F]', '', 'g'), '([\pP!-/:-@\[-`{-~\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}])', ' \1 ', 'g'), '\s+'), lambda x: x <> '')"
-
-
 @query(f"""WITH RECURSIVE dw AS (SELECT unnest({_PIECES}) AS word FROM documents), dn AS (SELECT word, count(*) AS n FROM dw GROUP BY word),
 dc AS (SELECT DISTINCT unnest(string_split(word, '')) AS c FROM dn),
 vl AS (SELECT 0 AS kind, CAST(k AS BIGINT) AS rank, piece FROM (VALUES (0, '[PAD]'), (1, '[UNK]'), (2, '[CLS]'), (3, '[SEP]')) s(k, piece)
   UNION ALL SELECT 1, 0, c FROM dc UNION ALL SELECT 1, 0, '##' || c FROM dc UNION ALL SELECT 2, -n, word FROM (SELECT * FROM dn WHERE length(word) > 1 ORDER BY n DESC, word LIMIT 4096)),
 vo AS (SELECT piece, min(i) AS id FROM (SELECT piece, row_number() OVER (ORDER BY kind, rank, piece) - 1 AS i FROM vl) GROUP BY piece),
-ct AS (SELECT conv_id, turn, {_PIECES} AS words FROM conversations),
-cw AS (SELECT DISTINCT unnest(words) AS word FROM ct),
-m(word, pos, ids) AS (SELECT word, CAST(0 AS BIGINT), []::BIGINT[] FROM cw WHERE length(word) <= 100
-  UNION ALL SELECT m.word, CAST(m.pos + coalesce(b.len, 1000) AS BIGINT), CASE WHEN b.len IS NULL THEN [1] ELSE list_append(m.ids, b.id) END
-  FROM m LEFT JOIN LATERAL (SELECT length(vo.piece) - CASE WHEN m.pos > 0 THEN 2 ELSE 0 END AS len, vo.id FROM vo WHERE starts_with(CASE WHEN m.pos > 0 THEN '##' ELSE '' END || substr(m.word, m.pos + 1), vo.piece) AND (m.pos = 0 OR length(vo.piece) > 2) ORDER BY length(vo.piece) DESC LIMIT 1) b ON true WHERE m.pos < length(m.word)),
-wp AS (SELECT word, ids FROM m WHERE pos >= length(word) UNION ALL SELECT word, [1] FROM cw WHERE length(word) > 100),
-tk AS (SELECT conv_id, turn, unnest(words[1:510]) AS word, generate_subscripts(words[1:510], 1) AS k FROM ct),
-en AS (SELECT conv_id, turn, flatten(list(ids ORDER BY k))[1:510] AS ids FROM tk JOIN wp USING (word) GROUP BY conv_id, turn)
-SELECT ct.conv_id, ct.turn, CAST(2 + coalesce(len(ids), 0) AS INTEGER) AS n, md5(array_to_string(list_concat([2], coalesce(ids, []), [3]), ' ')) AS ids_md5 FROM ct LEFT JOIN en ON ct.conv_id = en.conv_id AND ct.turn = en.turn""")
+{_MATCHED}""")
 def wordpiece_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations in word pieces of a list of thousands, which is written as a text, read as a table and joined."""
     path = scratch(spark, "vocabulary")
