@@ -116,3 +116,99 @@ def test_an_announced_jump_is_no_error():
     jump = lambda flags: two_programs() + packet(0x101, 13, b", later", field=flags)
     assert media.demux(jump(b"\x00"))["errors"] == 1 and media.demux(jump(b"\x80"))["errors"] == 0
     assert media.demux(jump(b"\x80"))["payload"] == b"picture goes on and ends, later"
+
+
+def bits(data):
+    return int.from_bytes(data, "big"), 8 * len(data)
+
+
+def plain_read(stream):
+    """A reader of its own, field by field as the standard lists them, for streams of one program: payload, time stamps, packets that are random-access points."""
+
+    def fields(data, *widths):
+        value, left = bits(data)
+        out = []
+        for w in widths:
+            left -= w
+            out.append(value >> left & (1 << w) - 1)
+        return out
+
+    def remainder(data):
+        """Of the division by the section's polynomial, bit by bit; zero if its checksum fits."""
+        register = 0xFFFFFFFF
+        for byte in data:
+            for k in range(7, -1, -1):
+                top = register >> 31 ^ byte >> k & 1
+                register = (register << 1 & 0xFFFFFFFF) ^ (0x04C11DB7 if top else 0)
+        return register
+
+    def section_of(body):
+        start = 1 + body[0]
+        table, syntax, zero, _, length = fields(body[start : start + 3], 8, 1, 1, 2, 12)
+        whole = body[start : start + 3 + length]
+        assert (syntax, zero) == (1, 0) and remainder(whole) == 0 and set(body[start + 3 + length :]) <= {0xFF}
+        _, _, current, number, last = fields(whole[5:8], 2, 5, 1, 8, 8)
+        assert (current, number, last) == (1, 0, 0)
+        return table, whole[3:5], whole[8:-4]
+
+    counters, bodies, random = {}, {}, []
+    for n in range(0, len(stream), 188):
+        sync, error, start, _, pid, scrambled, has_field, has_body, counter = fields(stream[n : n + 4], 8, 1, 1, 1, 13, 2, 1, 1, 4)
+        assert (sync, error, scrambled, has_body) == (0x47, 0, 0, 1)
+        assert counter == counters.get(pid, counter if pid not in counters else None)
+        counters[pid] = (counter + 1) % 16
+        body = stream[n + 4 : n + 188]
+        if has_field:
+            size = body[0]
+            assert size <= 182
+            if size:
+                assert body[1] & ~0x40 == 0 and set(body[2 : 1 + size]) <= {0xFF}
+                if body[1] & 0x40:
+                    random.append((pid, n // 188))
+            body = body[1 + size :]
+        bodies.setdefault(pid, []).append((start, body))
+    table, _, entries = section_of(bodies[0][0][1])
+    assert table == 0 and len(entries) == 4
+    program, _, map_pid = fields(entries, 16, 3, 13)
+    table, number, body = section_of(bodies[map_pid][0][1])
+    assert table == 2 and int.from_bytes(number, "big") == program
+    _, clock, _, info = fields(body[:4], 3, 13, 4, 12)
+    kind, _, data_pid, _, more = fields(body[4 + info :], 8, 3, 13, 4, 12)
+    assert (kind, clock, more, len(body)) == (6, data_pid, 0, 9 + info) and set(bodies) == {0, map_pid, data_pid}
+    units = []
+    for start, part in bodies[data_pid]:
+        if start:
+            units.append(b"")
+        units[-1] += part
+    payload, stamps = b"", []
+    for unit in units:
+        code, stream_id, length = fields(unit[:6], 24, 8, 16)
+        mark, *_, pts, dts, _, header = fields(unit[6:9], 2, 2, 1, 1, 1, 1, 1, 1, 6, 8)
+        assert (code, stream_id, length, mark, pts, dts, header) == (1, 0xBD, len(unit) - 6, 2, 1, 0, 5)
+        lead, high, m1, middle, m2, low, m3 = fields(unit[9:14], 4, 3, 1, 15, 1, 15, 1)
+        assert (lead, m1, m2, m3) == (2, 1, 1, 1)
+        stamps.append(high << 30 | middle << 15 | low)
+        payload += unit[14:]
+    assert {pid for pid, _ in random} == {data_pid}
+    return payload, stamps, [n for _, n in random]
+
+
+def test_whole_table_by_another_reader(spark, data, odd):
+    """What the query stores of every document, read by the plain reader: the payload, its hashes, time stamps and random-access points."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    more = odd.select(odd["doc_id"].cast("long"), odd["text"]).where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).selectExpr("-1 - doc_id AS doc_id", "text")
+    docs = docs.unionByName(more)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    stored = {r.doc_id: r for r in media.media_table(docs).collect()}
+    found = {r.doc_id: r for r in media.media_features(docs).collect()}
+    assert set(stored) == set(found) == set(texts) and len(texts) > 100
+    # Bit by bit is slow: of the longest texts, one is enough.
+    wanted = {d for d, t in texts.items() if len(t) < 20_000} | {max(texts, key=lambda d: (len(texts[d]), d))}
+    for d in wanted:
+        raw, row, stream = texts[d].encode(), found[d], bytes(stored[d].stream)
+        payload, stamps, points = plain_read(stream)
+        assert payload == raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        assert (row.n_bytes, row.payload_bytes, row.media_bytes) == (len(raw), len(payload), len(stream))
+        assert (row.payload_sha256, row.tail_crc32, row.media_sha256) == (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), hashlib.sha256(stream).hexdigest())
+        assert (stored[d].time_stamps, stored[d].random_access) == (stamps, points)
+        assert stamps == [k * media.UNIT * 90_000 // 16_000 for k in range(-(-len(payload) // media.UNIT))]
