@@ -6,7 +6,8 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from loomlake.llm import queries
+from loomlake.llm import decontam, lines, quality, queries
+from test_quality import plain_features
 
 TABLES = "documents embeddings pages benchmark labels conversations".split()
 TYPES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean"}
@@ -67,10 +68,8 @@ def test_pipeline_of_odd_rows(spark, data, odd, none):
     assert all(r.words == len((r.text or "").split()) for r in mixed)
 
 
-def test_near_duplicate_stage_equals_brute_force(spark):
-    """The stage on a whole table against exact similarities of all pairs of texts that share a shingle."""
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+def near_duplicate_survivors(texts):
+    """Of doc_id to text, the smallest id of each group by exact similarities of all pairs of texts that share a shingle."""
 
     def shingles(text):
         w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
@@ -99,5 +98,44 @@ def test_near_duplicate_stage_equals_brute_force(spark):
     least = {}
     for k, s in enumerate(bodies):
         least[root(k)] = min([least.get(root(k), sets[s][0]), *sets[s]])
+    return set(least.values())
+
+
+def test_near_duplicate_stage_equals_brute_force(spark):
+    """The stage on a whole table against exact similarities."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near duplicates"](spark, docs, "/root/testdata/sf0.01").collect()}
-    assert kept == set(least.values())
+    assert kept == near_duplicate_survivors({r.doc_id: r.text or "" for r in docs.collect()})
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_run_equals_plain_stages(spark, sf):
+    """All rows of run() against a plain form of every stage: rules weighed one by one, templates of all lines, exact similarities, all alignments, and the mixture's SQL."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    intercept, rules = quality.fit_rules(quality.training_rows(docs, labels))
+    good = []
+    for r in docs.collect():
+        x = plain_features(r.text or "")
+        total = intercept + sum(w for rule, w in rules if all(x[f] <= v if side == "<=" else x[f] > v for f, side, v in rule))
+        assert abs(total) > 1e-9
+        if total > 0:
+            good.append((r.doc_id, r.lang, r.source, r.text))
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW benchmark AS SELECT * FROM '{sf}/benchmark.parquet'")
+
+    def stored(name, rows):
+        duck.sql(f"CREATE TABLE {name} (doc_id BIGINT, lang VARCHAR, source VARCHAR, text VARCHAR)")
+        duck.executemany(f"INSERT INTO {name} VALUES (?, ?, ?, ?)", rows)
+        return rows
+
+    stored("good", good)
+    cleaned = stored("cleaned", duck.sql(f"WITH {lines.oracle_ctes('good')} SELECT doc_id, lang, source, CASE WHEN n_dropped > 0 THEN kept ELSE text END FROM ld JOIN lt USING (row)").fetchall())
+    single = near_duplicate_survivors({d: t or "" for d, _, _, t in cleaned})
+    stored("single", [r for r in cleaned if r[0] in single])
+    stored("documents", duck.sql(f"WITH {decontam.oracle_ctes('single')} SELECT doc_id, lang, source, text FROM dr WHERE row NOT IN (SELECT row FROM leaks)").fetchall())
+    mixture = f"WITH mix AS ({queries.ORACLES['op8_source_mix']}) SELECT d.*, unnest(range(1, copies + 1)) AS mix_copy, size AS words FROM documents d JOIN mix ON d.doc_id = mix.doc_id"
+    want = duck.sql(mixture).fetchall()
+    got = [tuple(r) for r in corpus_pipeline.run(spark, sf).select("doc_id", "lang", "source", "text", "mix_copy", "words").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    counts = [docs.count(), len(good), len(single), len({r[0] for r in want})]
+    assert counts == sorted(counts, reverse=True) and counts[0] > counts[1] > 0 and sum(a[3] != b[3] for a, b in zip(sorted(good), sorted(cleaned), strict=True)) > 0
