@@ -87,6 +87,33 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+def emitted(items: Column, zero: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str, last: Callable[[Column], Column], block: int = 128) -> Column:
+    """All that a fold over an array emits, in order. step(state, item): the next state and an array (of this type) of what is emitted; last(state): at the end.
+
+    A fold copies what it carries at every step, so one that carried its own output would be quadratic. Here states alone are folded
+    from block to block first; then each block is folded from its state and emits its own share.
+    """
+    nothing = F.array().cast(f"array<{kind}>")
+
+    def share(part: Column, start: Column) -> Column:
+        def both(acc: Column, x: Column) -> Column:
+            state, out = step(acc["at"], x)
+            return F.struct(state.alias("at"), F.concat(acc["out"], out).alias("out"))
+
+        return F.aggregate(part, F.struct(start.alias("at"), nothing.alias("out")), both)["out"]
+
+    def whole(parts: Column) -> Column:
+        begun = F.struct(zero.alias("at"), F.slice(F.array(zero), 1, 0).alias("out"))
+        states = F.aggregate(parts, begun, lambda acc, part: F.struct(F.aggregate(part, acc["at"], lambda s, x: step(s, x)[0]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+        return bound(states, lambda st: F.concat(F.flatten(F.zip_with(parts, st["out"], share)), last(st["at"])))
+
+    def parts(items: Column) -> Column:
+        firsts = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / block).cast("int"))
+        return F.transform(firsts, lambda b: F.slice(items, b * block + 1, F.lit(block)))
+
+    return bound(bound(items, parts), whole)
+
+
 def running_sums(widths: Column, block: int = 128) -> Column:
     """For an array of longs, what lies before each element. In blocks, so that a long array costs little more than in proportion."""
     empty = F.array().cast("array<bigint>")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.functions.scalars import bound, running_sums
+from loomlake.functions.scalars import bound, emitted, running_sums
 from loomlake.plans import ranges
 
 TARGET_BYTES, MAX_BYTES = 1200, 1600
@@ -55,22 +55,23 @@ def chunk_windows(items: DataFrame, key: str, shape: str = "any", target: int =
     any, each (every segment its own window), heading (segments need a depth).
     """
     window_t = "struct<a:bigint,b:bigint,i:bigint,j:bigint>"
-    zero = F.struct(F.lit(None).cast(window_t).alias("open"), F.array().cast(f"array<{window_t}>").alias("done"))
+    none = F.array().cast(f"array<{window_t}>")
 
-    def step(acc: Column, s: Column) -> Column:
-        opened = acc["open"]
+    def step(state: Column, s: Column) -> tuple[Column, Column]:
+        opened = state["open"]
         long_enough = (opened["b"] - opened["a"] >= target) if shape == "any" else ((s["depth"] > 0) | (opened["b"] - opened["a"] >= target))
         close_before = opened.isNotNull() & long_enough
-        done = F.when(close_before, F.concat(acc["done"], F.array(opened))).otherwise(acc["done"])
         start = opened.isNull() | close_before
         grown = F.struct(F.when(start, s["byte_start"]).otherwise(opened["a"]).alias("a"), s["byte_end"].alias("b"), F.when(start, s["idx"]).otherwise(opened["i"]).alias("i"), s["idx"].alias("j"))
         close_after = grown["b"] - grown["a"] >= most
-        return F.struct(F.when(~close_after, grown).alias("open"), F.when(close_after, F.concat(done, F.array(grown))).otherwise(done).alias("done"))
+        closed = F.concat(F.when(close_before, F.array(opened)).otherwise(none), F.when(close_after, F.array(grown)).otherwise(none))
+        return F.struct(F.when(~close_after, grown).alias("open")), closed
 
     if shape == "each":
         windows = F.transform("segs", lambda s: F.struct(s["byte_start"].alias("a"), s["byte_end"].alias("b"), s["idx"].alias("i"), s["idx"].alias("j")))
     else:
-        windows = F.aggregate("segs", zero, step, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
+        last = lambda state: F.when(state["open"].isNull(), none).otherwise(F.array(state["open"]))
+        windows = emitted(F.col("segs"), F.struct(F.lit(None).cast(window_t).alias("open")), step, window_t, last)
     cuts = lambda w: F.sequence(w["a"], F.greatest(w["b"] - 1, w["a"]), F.lit(most).cast("long"))
     pieces = F.flatten(F.transform(windows, lambda w: F.transform(cuts(w), lambda c: F.struct(c.alias("a"), F.least(c + most, w["b"]).alias("b"), w["i"].alias("i"), w["j"].alias("j")))))
     rows = items.select(key, *keep, F.posexplode(pieces).alias("ordinal", "p"))
@@ -110,16 +111,17 @@ def cues_of(df: DataFrame, key: str, text: Column) -> DataFrame:
 
 def batch_plan(items: DataFrame, key: str, sizes: Column, padded_max: int = 1024, count_max: int = 63) -> DataFrame:
     """key, batch, items, padded: order-preserving greedy batches of each item's parts (an array of sizes) whose padded size stays within padded_max."""
-    t = "array<struct<n:bigint,m:bigint>>"
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("m"), F.array().cast(t).alias("done"))
+    t = "struct<n:bigint,m:bigint>"
+    none = F.array().cast(f"array<{t}>")
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("m"))
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(acc: Column, x: Column) -> tuple[Column, Column]:
         full = (acc["n"] > 0) & (((acc["n"] + 1) * F.greatest(acc["m"], x) > padded_max) | (acc["n"] >= count_max))
-        done = F.when(full, F.concat(acc["done"], F.array(F.struct(acc["n"].alias("n"), acc["m"].alias("m"))))).otherwise(acc["done"])
-        return F.struct(F.when(full, F.lit(1).cast("long")).otherwise(acc["n"] + 1).alias("n"), F.when(full, x).otherwise(F.greatest(acc["m"], x)).alias("m"), done.alias("done"))
+        state = F.struct(F.when(full, F.lit(1).cast("long")).otherwise(acc["n"] + 1).alias("n"), F.when(full, x).otherwise(F.greatest(acc["m"], x)).alias("m"))
+        return state, F.when(full, F.array(acc)).otherwise(none)
 
-    last = lambda acc: F.when(acc["n"] > 0, F.concat(acc["done"], F.array(F.struct(acc["n"].alias("n"), acc["m"].alias("m"))))).otherwise(acc["done"])
-    rows = items.select(key, F.posexplode(F.aggregate(sizes, zero, step, last)).alias("batch", "b"))
+    last = lambda acc: F.when(acc["n"] > 0, F.array(acc)).otherwise(none)
+    rows = items.select(key, F.posexplode(emitted(sizes, zero, step, t, last)).alias("batch", "b"))
     return rows.select(key, F.col("batch").cast("long").alias("batch"), F.col("b.n").alias("items"), (F.col("b.n") * F.col("b.m")).alias("padded"))
 
 

@@ -131,3 +131,59 @@ def test_locators_and_shapes(spark):
     got = [(r.item, r.ordinal, r.locator_kind, r.locator_first, r.locator_last) for r in rows]
     assert got == [(1, 0, "line", 0, 9), (2, 0, "message", 0, 0), (2, 1, "message", 1, 1), (2, 2, "message", 2, 2), (3, 0, "line", 0, 2), (3, 1, "line", 4, 8)]
     assert bytes.fromhex(rows[4].content).decode() == "# One\n\ntext a"
+
+
+def plain_windows(segs, target, most):
+    """Greedy windows over (start, end, depth), one after another."""
+    out, opened = [], None
+    for k, (a, b) in enumerate(segs):
+        if opened and opened[1] - opened[0] >= target:
+            out.append(opened)
+            opened = None
+        opened = (opened[0] if opened else a, b, opened[2] if opened else k, k)
+        if opened[1] - opened[0] >= most:
+            out.append(opened)
+            opened = None
+    return out + ([opened] if opened else [])
+
+
+def plain_batches(sizes, padded, count):
+    out, n, m = [], 0, 0
+    for x in sizes:
+        if n and ((n + 1) * max(m, x) > padded or n >= count):
+            out.append((n, n * m))
+            n, m = 0, 0
+        n, m = n + 1, max(m, x)
+    return out + ([(n, n * m)] if n else [])
+
+
+def test_windows_and_batches_at_the_edges_of_blocks(spark):
+    import random
+
+    rng = random.Random(6)
+    lengths = [0, 1, 2, 127, 128, 129, 255, 256, 257, 1000]
+    items = {n: ["x" * rng.randrange(1, 60) for _ in range(n)] for n in lengths}
+    df = spark.createDataFrame([(n, "\n".join(t) if t else None, [len(x) for x in t]) for n, t in items.items()] + [(-1, None, None)], "k long, t string, sizes array<long>")
+    windows, batches = {n: [] for n in items}, {n: [] for n in items}
+    for r in text.chunk_windows(text.segment_arrays(df, "k", F.col("t"), "\\n"), "k", "any", 70, 100).orderBy("k", "ordinal").collect():
+        windows[r.k].append((r.byte_start, r.byte_end, r.first_idx, r.last_idx))
+    for r in text.batch_plan(df, "k", F.col("sizes"), 120, 5).orderBy("k", "batch").collect():
+        batches[r.k].append((r["items"], r.padded))
+    for n, parts in items.items():
+        segs, at = [], 0
+        for x in parts:
+            segs.append((at, at + len(x)))
+            at += len(x) + 1
+        cut = [(c, min(c + 100, b), i, j) for a, b, i, j in plain_windows(segs, 70, 100) for c in range(a, b, 100)]
+        assert windows[n] == cut, n
+        assert batches[n] == plain_batches(map(len, parts), 120, 5), n
+
+
+def test_windows_of_an_item_of_a_hundred_thousand_lines(spark):
+    """In proportion to the lines; folds that carried their output took half a minute for 40,000 already."""
+    import time
+
+    df = spark.createDataFrame([(1, "\n".join(f"segment number {k} of it" for k in range(100_000)))], "k long, t string")
+    began = time.monotonic()
+    got = text.chunk_windows(text.segment_arrays(df, "k", F.col("t"), "\\n"), "k", "any", 20, 30).agg(F.count("*").alias("n"), F.max("last_idx").alias("last")).first()
+    assert (got.n, got["last"]) == (100_000, 99_999) and time.monotonic() - began < 60
