@@ -30,7 +30,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: texts linked by a similarity of 0.8 or more of their sets of five-word shingles, compared in full."""
+    """One document of each group of near duplicates: SimHash with pivot tables proposes pairs, a sketch those beyond its radius, and texts are linked by a similarity of 0.8 or more of their sets of five-word shingles, compared in full."""
     return simhash.drop_near_duplicates(docs)
 
 

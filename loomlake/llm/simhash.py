@@ -13,9 +13,10 @@ make, are dealt into shards; every pair of shards is one bounded group in which
 table gives a spanning forest, never all pairs. Components then come from the links by alternating large and small
 stars, each round written to the checkpoint folder; nothing is collected.
 
-near_duplicates() links texts by similarity of their word shingles instead: keys are bands of a MinHash sketch, the
-sizes of the shingle sets and the sketch, with a wide margin, discard, and the sets of every survivor are compared in
-full, by the same rule whatever the size of a key. Fingerprints play no part there: they count repeats, the sets do not.
+near_duplicates() links texts by similarity of their word shingles. Fingerprints, their keys and pivot tables bring
+texts together as above; so do, for similar texts that differ in more than RADIUS bits, bands of a MinHash sketch, where the
+sizes of the shingle sets and the sketch, with a wide margin, discard. The sets of every pair that either way proposes are
+compared in full, by the same rule whatever the size of a key: fingerprints count repeats, the sets do not.
 
 Edge cases: a null text is empty; a text without words has fingerprint zero and is linked like any other; fewer
 words than a shingle are one shingle; repeated rows are one class; null ids belong to their class, whose id is the
@@ -225,20 +226,22 @@ def multipliers() -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, body, size (distinct shingles), sketch (least values of the shingle hashes under SKETCH multiplications)."""
+    """doc_id, body, fp (of all shingles), size (distinct shingles), sketch (least values of the shingle hashes under SKETCH multiplications)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = multipliers()
         for batch in batches:
-            sizes, least = [], []
+            fps, sizes, least = [], [], []
             for text in batch.column(2).to_pylist():
-                hashes = np.unique(shingle_hashes(text, words))
+                hashes = shingle_hashes(text, words)
+                fps.append(fingerprint(hashes))
+                hashes = np.unique(hashes)
                 sizes.append(len(hashes))
                 least.append([int((hashes * f >> np.uint64(33)).min()) for f in factors] if len(hashes) else [0] * SKETCH)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(least, pa.list_(pa.int32()))], ["doc_id", "body", "size", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(least, pa.list_(pa.int32()))], ["doc_id", "body", "fp", "size", "sketch"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(common.whole(docs["text"])).alias("body"), docs["text"])
-    return rows.mapInArrow(run, "doc_id long, body long, size int, sketch array<int>")
+    return rows.mapInArrow(run, "doc_id long, body long, fp long, size int, sketch array<int>")
 
 
 def similar(shared, size, other):
@@ -261,6 +264,15 @@ def shingle_sets(docs: DataFrame, bodies: DataFrame, words: int) -> DataFrame:
     return common.checkpointed(texts.mapInArrow(run, "of long, shingles array<long>"))
 
 
+def fingerprint_pairs(classes: DataFrame) -> DataFrame:
+    """a, b: texts (body) that SimHash and its pivot tables bring together: each with the first of its fingerprint, and the first ones of fingerprints within RADIUS bits."""
+    firsts = common.checkpointed(classes.groupBy("fp").agg(F.min("body").alias("a"), F.count("*").alias("n")))
+    own = classes.join(firsts.where("n > 1"), "fp").where("body <> a").select("a", F.col("body").alias("b"))
+    links = hamming_links(firsts.select("fp")).select(F.col("a").alias("fp"), F.col("b").alias("fp_"))
+    across = links.join(firsts.select("fp", "a"), "fp").join(firsts.select(F.col("fp").alias("fp_"), F.col("a").alias("b")), "fp_").select("a", "b")
+    return own.unionByName(across)
+
+
 def similar_links(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     """a, b: links between texts of docs (column body of classes, distinct) of similarity SIMILARITY; enough of them to connect what all would."""
     enough = round((SIMILARITY - MARGIN) * SKETCH)
@@ -278,7 +290,8 @@ def similar_links(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     # At best the smaller set lies in the other.
     near = similar(F.least("size", "size_"), F.col("size"), F.col("size_"))
     equal = F.aggregate(F.zip_with("sketch", "sketch_", lambda x, y: (x == y).cast("int")), F.lit(0), lambda acc, x: acc + x)
-    pairs = common.checkpointed(pairs.where(near).where(equal >= enough).select("a", "b"))
+    pairs = pairs.where(near).where(equal >= enough).select("a", "b").unionByName(fingerprint_pairs(classes))
+    pairs = common.checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
     large = members.where(F.col("n") > SMALL).drop("n")
     named = [pairs.select(F.col("a").alias("of")), pairs.select(F.col("b").alias("of")), large.select(F.col("body").alias("of"))]
@@ -314,7 +327,7 @@ def similar_links(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     """doc_id, body, root, component_id of every document; texts of similarity SIMILARITY share a component."""
     rows = common.checkpointed(sketches(docs, words))
-    classes = common.checkpointed(rows.groupBy("body").agg(F.min("doc_id").alias("least_id"), F.first("size").alias("size"), F.first("sketch").alias("sketch")))
+    classes = common.checkpointed(rows.groupBy("body").agg(F.min("doc_id").alias("least_id"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("sketch").alias("sketch")))
     roots = stars(similar_links(docs, classes, words))
     return _labelled(rows.select("doc_id", "body"), classes.select("body", "least_id"), "body", roots)
 

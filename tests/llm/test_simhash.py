@@ -166,6 +166,31 @@ def test_near_duplicates_ignore_repeats(spark, monkeypatch, small):
     assert [k for k in range(30) if got[2 * k + 1] != 2 * k] == []
 
 
+def test_near_duplicates_by_fingerprints(spark, monkeypatch):
+    """SimHash and its pivot tables propose pairs by themselves: with a sketch that is one single band, similar texts within RADIUS bits are still linked; near fingerprints of unlike sets are not."""
+    monkeypatch.setattr(simhash, "BAND", simhash.SKETCH)
+    rng = random.Random(5)
+    texts = []
+    for k in range(20):
+        base = [f"w{k}.{j}" for j in range(1500)]
+        texts += [" ".join(base), near(base, rng, 1)]
+    for k in range(5):
+        passage = [f"p{k}.{j}" for j in range(100)] * 80
+        texts += [" ".join(passage + [f"{side}{k}.{j}" for j in range(90)]) for side in "ab"]
+    fps = [np.uint64(simhash.fingerprint(simhash.shingle_hashes(t, 5)) % 2**64) for t in texts]
+    close = [k for k in range(25) if np.bitwise_count(fps[2 * k] ^ fps[2 * k + 1]) <= simhash.RADIUS]
+    alike = [k for k in close if k < 20]
+    assert len(alike) >= 10 and len(close) > len(alike)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    used = []
+    within = simhash.within
+    monkeypatch.setattr(simhash, "within", lambda *a: used.append(a) or within(*a))
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert used
+    assert [k for k in alike if got[2 * k + 1] != 2 * k] == []
+    assert [k for k in range(20, 25) if got[2 * k + 1] != 2 * k + 1] == []
+
+
 def test_odd_rows(spark, odd, none):
     report = simhash.simhash_report(odd)
     assert report.count() == odd.count()
