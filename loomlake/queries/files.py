@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomlake.operators import log as log_ops
@@ -15,6 +15,10 @@ from loomlake.sources import files, folders
 from loomlake.sources.tables import LOG_SQL, event_log, table
 
 
+#: Bytes of a file that intake's folder holds, about, and how many files there are at most; well below what intake takes.
+FILE_BYTES, FILES = 128 << 20, 1_000
+
+
 def _through(spark: SparkSession, name: str, use: Callable[[str], DataFrame]) -> DataFrame:
     """What use makes of a new folder, which goes again."""
     path = scratch(spark, name)
@@ -25,11 +29,18 @@ def _through(spark: SparkSession, name: str, use: Callable[[str], DataFrame]) ->
 
 @query("SELECT lang, count(*) > 0 AS taken, CAST(sum(strlen(text) + 1) AS BIGINT) AS n_bytes, false AS truncated FROM documents WHERE text IS NOT NULL GROUP BY lang")
 def file_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A folder of text files, one for each language, as a plan of intake lists it."""
+    """A folder of text files for each language, as a plan of intake lists it; a language is dealt into files of about FILE_BYTES, at most FILES of all."""
 
     def use(path: str) -> DataFrame:
-        d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("lang", F.col("text").alias("value"))
-        d.repartition("lang").write.partitionBy("lang").text(path)
+        d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "lang", F.col("text").alias("value"))
+        sizes = d.groupBy(F.col("lang").alias("of")).agg(F.sum(F.octet_length("value") + 1).alias("bytes"))
+        total = F.sum("bytes").over(Window.partitionBy())  # over a row for each language
+        share = F.least(F.ceil(F.col("bytes") / FILE_BYTES), F.greatest(F.floor(FILES * F.col("bytes") / total), F.lit(1)))
+        sizes = checkpointed(sizes.select("of", share.cast("int").alias("parts")))
+        d = d.join(F.broadcast(sizes), F.col("lang").eqNullSafe(F.col("of"))).withColumn("part", F.pmod(F.xxhash64("doc_id", "value"), F.col("parts")))
+        # Each part is a range of its own, so that no task gets two by the chance of a hash, and a task's rows are one file a language.
+        number = sizes.agg(F.sum("parts").cast("int").alias("n")).first().n or 1
+        d.repartitionByRange(number, "lang", "part").select("lang", "value").write.partitionBy("lang").text(path)
         plan = files.plan_intake(spark, path)
         lang = F.regexp_extract("path", r"lang=([^/]+)/", 1)
         return plan.groupBy(lang.alias("lang")).agg((F.count_if(~F.col("skipped")) > 0).alias("taken"), F.sum("length").alias("n_bytes"), F.max("truncated").alias("truncated"))
