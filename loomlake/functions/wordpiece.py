@@ -1,8 +1,8 @@
 """WordPiece: greedy longest matches of a given vocabulary, as a join over distinct words or as a helper in Arrow batches.
 
 The vocabulary is a table (piece, id), read from a file or listed; nothing is trained here. encoded() matches each distinct word once:
-all its prefixes meet the vocabulary in a join, the longest counts, and so on from where it ends, in as many rounds as the
-word with most pieces has; texts then take their words' pieces. wordpiece() does the same within a task, a word at a time, for a text or two.
+all stretches of it that a piece can be as long as meet the vocabulary in one join, and a walk over those found takes the longest at each
+place that it comes to; texts then take their words' pieces. wordpiece() does the same within a task, a word at a time, for a text or two.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +83,10 @@ def wordpiece(vocab: dict[str, int], limit: int = 512) -> Column:
 
 #: Pieces of a vocabulary that are broadcast at most.
 PIECES_MAX = 1_000_000
+#: Texts whose stretches are counted together within a task.
+ROWS = 4096
+#: A word is common, and its pieces broadcast, if it is at least one in so many; hence no more are.
+COMMON_MAX = 65_536
 #: Letters with accents that have a plain letter as their base, by Unicode's own decompositions.
 ACCENTED = "".join(chr(c) for c in range(0xC0, 0x250) if unicodedata.normalize("NFD", chr(c))[0] < "\x80" and len(unicodedata.normalize("NFD", chr(c))) > 1)
 PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in ACCENTED)
@@ -95,51 +101,68 @@ def split_words(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(plain, ALONE, " $1 "), r"(?U)\s+", -1), lambda w: w != "")
 
 
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """stretch, n: what lies between white space of ASCII in the texts of some rows, each as often as it is there."""
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            found = pc.value_counts(pc.ascii_split_whitespace(batch.column(0).slice(at, ROWS)).flatten())
+            yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["stretch", "n"])
+
+
+def stretches(texts: DataFrame, text: Column) -> DataFrame:
+    """stretch, n: all texts cut at white space of ASCII, and counts. The words of a text are those of its stretches in turn, and there are far fewer distinct ones."""
+    return texts.select(text.alias("text")).mapInArrow(_stretches, "stretch string, n long").groupBy("stretch").agg(F.sum("n").alias("n"))
+
+
 def word_pieces(words: DataFrame, vocab: DataFrame) -> DataFrame:
-    """word, ids of distinct words: the longest piece that begins each, then the longest that goes on, marked by ##; unknown if some rest has none."""
+    """words (distinct, and what columns stand beside them) with ids: the longest piece that begins each, then the longest that goes on, marked by ##; unknown if some rest has none."""
     vocab = sized(vocab.select(F.col("piece"), F.col("id").cast("int").alias("id")), PIECES_MAX)
     special = {r.piece: r.id for r in vocab.where(F.col("piece").isin(*SPECIAL)).collect()}
     if missing := [s for s in SPECIAL if s not in special]:
         raise ValueError(f"pieces that a vocabulary needs: {missing}")
-    longest = vocab.agg(F.max(F.char_length("piece")).alias("n")).first().n
     unknown = F.array(F.lit(special["[UNK]"]))
+    first, later = vocab.agg(F.max(F.char_length("piece")), F.coalesce(F.max(F.when(F.col("piece").startswith("##"), F.char_length("piece") - 2)), F.lit(0))).first()
     n = F.char_length("word")
-    fits = n <= WORD_CHARS_MAX
-    done = words.where(~fits).select("word", unknown.alias("ids"))
-    pending = words.where(fits).select("word", F.lit(0).alias("at"), F.array().cast("array<int>").alias("ids"))
-    while True:
-        ends = F.explode(F.sequence(F.lit(1), F.least(n - F.col("at"), F.lit(longest))))
-        tried = pending.select("word", "at", "ids", ends.alias("length"))
-        tried = tried.withColumn("own", F.concat(F.when(F.col("at") > 0, "##").otherwise(""), F.substr("word", F.col("at") + 1, F.col("length"))))
-        found = tried.join(vocab, F.col("own") == F.col("piece"), "left")
-        best = found.groupBy("word", "at", "ids").agg(F.max(F.when(F.col("id").isNotNull(), F.struct("length", "id"))).alias("best"))
-        best = best.select("word", (F.col("at") + F.col("best.length")).alias("at"), F.when(F.col("best").isNull(), unknown).otherwise(F.concat("ids", F.array("best.id"))).alias("ids"))
-        best = checkpointed(best)
-        ended = F.col("at").isNull() | (F.col("at") == n)
-        done = done.unionByName(best.where(ended).select("word", "ids"))
-        pending = best.where(~ended)
-        if pending.isEmpty():
-            return done
+    fits = n.between(1, WORD_CHARS_MAX)
+    starts = words.where(fits).select(*words.columns, F.explode(F.sequence(F.lit(0), F.least(n - 1, F.lit(WORD_CHARS_MAX if later else 0)))).alias("at"))
+    tried = starts.withColumn("length", F.explode(F.sequence(F.lit(1), F.least(n - F.col("at"), F.when(F.col("at") > 0, max(later, 1)).otherwise(first)))))
+    tried = tried.withColumn("own", F.concat(F.when(F.col("at") > 0, "##").otherwise(""), F.substr("word", F.col("at") + 1, F.col("length"))))
+    found = tried.join(vocab, F.col("own") == F.col("piece"), "left")
+    # One row of each word stays in any case.
+    found = found.where(F.col("id").isNotNull() | ((F.col("at") == 0) & (F.col("length") == 1)))
+    # At a place the longest comes first.
+    best = found.groupBy(*words.columns).agg(F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("at", (-F.col("length")).alias("less"), "id")))).alias("found"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ids"))
+    taken = lambda own, x: F.struct((x["at"] - x["less"]).alias("at"), F.concat(own["ids"], F.array(x["id"])).alias("ids"))
+    walked = best.withColumn("walk", F.aggregate("found", start, lambda own, x: F.when(x["at"] == own["at"], taken(own, x)).otherwise(own)))
+    ids = F.when(F.col("walk.at") == n, F.col("walk.ids")).otherwise(unknown)
+    return walked.select(*words.columns, ids.alias("ids")).unionByName(words.where(~fits).select(*words.columns, unknown.alias("ids")))
 
 
 def encoded(texts: DataFrame, key: list[str], text: Column, vocab: DataFrame, limit: int = 512) -> DataFrame:
     """key, ids of every text: the first and last piece of a text around at most limit - 2 others. Keys are unique."""
-    rows = checkpointed(texts.select(*key, split_words(text).alias("words")))
-    words = rows.select(F.explode("words").alias("word")).distinct()
-    pieces = word_pieces(words, vocab)
+    rows = checkpointed(texts.select(F.struct(*key).alias("of"), split_words(text).alias("words")))
+    counted = rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    known = checkpointed(word_pieces(checkpointed(counted), vocab))
+    total = known.agg(F.sum("n").alias("n")).first().n or 0
+    common = F.col("n") * COMMON_MAX >= total
     # No more words than pieces can count.
-    tokens = rows.select(F.struct(*key).alias("key"), F.posexplode(F.slice("words", 1, limit - 2)).alias("at", "word"))
-    own = tokens.join(pieces, "word").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("found"))
-    ids = F.slice(F.flatten(F.transform("found", lambda x: x["ids"])), 1, limit - 2)
+    tokens = rows.select("of", F.posexplode(F.slice("words", 1, limit - 2)).alias("at", "word"))
+    often = F.broadcast(known.where(common).select("word", "ids"))
+    seldom = tokens.join(often, "word", "left_anti").join(known.where(~common).select("word", "ids"), "word")
+    found = tokens.join(often, "word").unionByName(seldom)
+    own = found.groupBy("of").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("found"))
+    ids = own.select("of", F.slice(F.flatten(F.col("found.ids")), 1, limit - 2).alias("ids"))
+    ids = ids.unionByName(rows.where(F.size("words") == 0).select("of", F.array().cast("array<int>").alias("ids")))
     ends = {r.piece: r.id for r in vocab.where(F.col("piece").isin("[CLS]", "[SEP]")).collect()}
-    whole = rows.select(F.struct(*key).alias("of")).join(own, F.col("of").eqNullSafe(F.col("key")), "left")
-    around = F.concat(F.array(F.lit(ends["[CLS]"]).cast("int")), F.coalesce(ids, F.array().cast("array<int>")), F.array(F.lit(ends["[SEP]"]).cast("int")))
-    return whole.select(*(F.col("of")[k].alias(k) for k in key), around.alias("ids"))
+    around = F.concat(F.array(F.lit(ends["[CLS]"]).cast("int")), "ids", F.array(F.lit(ends["[SEP]"]).cast("int")))
+    return ids.select(*(F.col("of")[k].alias(k) for k in key), around.alias("ids"))
 
 
 def listed_pieces(texts: DataFrame, text: Column, words: int = 4096) -> DataFrame:
     """value: a plain list of pieces, a line each, in one text: the special ones, all characters, and the words seen most. By counts alone: a stand-in for a vocabulary file, for want of one."""
-    seen = checkpointed(texts.select(F.explode(split_words(text)).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+    # Splitting costs most, so each distinct stretch is split once.
+    seen = checkpointed(stretches(texts, text).select(F.explode(split_words(F.col("stretch"))).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n")))
     most = seen.where(F.char_length("word") > 1).orderBy(F.desc("n"), "word").limit(words).select(F.lit(2).alias("kind"), (-F.col("n")).alias("rank"), F.col("word").alias("piece"))
     letters = seen.select(F.explode(F.split("word", "")).alias("c")).distinct()
     singles = letters.select(F.lit(1).alias("kind"), F.lit(0).cast("long").alias("rank"), F.explode(F.array("c", F.concat(F.lit("##"), "c"))).alias("piece"))

@@ -30,3 +30,38 @@ def test_listed_pieces(spark):
     df = spark.createDataFrame([("bb aa bb",), ("c aa bb",)], "t string")
     value = wordpiece.listed_pieces(df, F.col("t"), 1).first().value.split("\n")
     assert value[:4] == list(wordpiece.SPECIAL) and value[-1] == "bb" and set(value[4:-1]) == {"a", "b", "c", "##a", "##b", "##c"}
+
+
+def _jobs(spark, group, work):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_jobs_do_not_grow_with_the_pieces_of_a_word(spark):
+    vocab = spark.createDataFrame([(p, k) for k, p in enumerate([*wordpiece.SPECIAL, "a", "##a", "##ab"])], "piece string, id int").localCheckpoint()
+    ids, jobs = {}, {}
+    for n in (2, 90):
+        words = spark.createDataFrame([("a" * n,), ("a" * (n - 1) + "b",), ("b",), ("a" * 101,)], "word string").localCheckpoint()
+        got, jobs[n] = _jobs(spark, f"pieces of {n}", lambda words=words: wordpiece.word_pieces(words, vocab).collect())
+        ids[n] = {r.word: r.ids for r in got}
+    assert ids[90] == {"a" * 90: [4, *[5] * 89], "a" * 89 + "b": [4, *[5] * 87, 6], "b": [1], "a" * 101: [1]}
+    assert ids[2] == {"aa": [4, 5], "ab": [1], "b": [1], "a" * 101: [1]}
+    assert jobs[90] == jobs[2]
+
+
+def test_a_vocabulary_without_later_pieces(spark):
+    vocab = spark.createDataFrame([(p, k) for k, p in enumerate([*wordpiece.SPECIAL, "ab", "##"])], "piece string, id int")
+    words = spark.createDataFrame([("ab", 7), ("abab", 8), ("##", 9)], "word string, n int")
+    assert {(r.word, r.n): r.ids for r in wordpiece.word_pieces(words, vocab).collect()} == {("ab", 7): [4], ("abab", 8): [1], ("##", 9): [5]}
+
+
+def test_the_words_of_a_text_are_those_of_its_stretches(spark):
+    texts = [*TEXTS, "a\u001cb C\u0085d e\x0bf\x0cg\rh  i", "ΟΔΟΣ ΟΔΟΣ. Σ", "İx́ ́ ​", "x" * 9000, " lead trail "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = wordpiece.stretches(df, F.col("t")).select(F.explode(wordpiece.split_words(F.col("stretch"))).alias("w"), "n").groupBy("w").agg(F.sum("n").alias("n"))
+    want = df.select(F.explode(wordpiece.split_words(F.col("t"))).alias("w")).groupBy("w").count()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
