@@ -8,13 +8,16 @@ place that it comes to; texts then take their words' pieces. wordpiece() does th
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from loomlake.session import checkpointed, sized
 
@@ -85,8 +88,8 @@ def wordpiece(vocab: dict[str, int], limit: int = 512) -> Column:
 PIECES_MAX = 1_000_000
 #: Texts whose stretches are counted together within a task.
 ROWS = 4096
-#: A word is common, and its pieces broadcast, if it is at least one in so many; hence no more are.
-COMMON_MAX = 65_536
+#: Words of a block of texts, or a single text.
+TOKENS = 1 << 17
 #: Letters with accents that have a plain letter as their base, by Unicode's own decompositions.
 ACCENTED = "".join(chr(c) for c in range(0xC0, 0x250) if unicodedata.normalize("NFD", chr(c))[0] < "\x80" and len(unicodedata.normalize("NFD", chr(c))) > 1)
 PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in ACCENTED)
@@ -139,24 +142,63 @@ def word_pieces(words: DataFrame, vocab: DataFrame) -> DataFrame:
     return walked.select(*words.columns, ids.alias("ids")).unionByName(words.where(~fits).select(*words.columns, unknown.alias("ids")))
 
 
+def _list(values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """block, of, codes, words: some texts (of, words) at a time, whose words are coded by the block's distinct ones."""
+    block = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        before = np.r_[0, np.cumsum(pc.list_value_length(batch.column("words")).to_numpy())]
+        at = 0
+        while at < len(batch):
+            end = max(at + 1, int(np.searchsorted(before, before[at] + TOKENS, "right")) - 1)
+            own = batch.slice(at, end - at)
+            coded = own.column("words").flatten().dictionary_encode()
+            codes = pa.ListArray.from_arrays(pa.array(before[at : end + 1] - before[at], pa.int32()), coded.indices)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), _list(own.column("of")), _list(codes), _list(coded.dictionary)], ["block", "of", "codes", "words"])
+            at, block = end, block + 1
+
+
+def _decoded(limit: int, first: int, last: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """of, ids: the texts of a block (of, codes) by its words' pieces (at, ids)."""
+
+    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
+        of, codes = (texts.column(c).combine_chunks().flatten() for c in ("of", "codes"))
+        words = words.sort_by("at").column("ids").combine_chunks()
+        pieces = words.take(codes.flatten())
+        ids = pieces.flatten().to_numpy(zero_copy_only=False)
+        ends = np.r_[0, np.cumsum(pc.list_value_length(pieces).to_numpy(zero_copy_only=False))]
+        ends = ends[np.r_[0, np.cumsum(pc.list_value_length(codes).to_numpy())]].astype(np.int64)
+        n = np.minimum(np.diff(ends), limit - 2)
+        to = np.r_[0, np.cumsum(n + 2)]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        out = np.empty(to[-1], np.int32)
+        out[to[:-1]], out[to[1:] - 1] = first, last
+        out[within + np.repeat(to[:-1] + 1, n)] = ids[within + np.repeat(ends[:-1], n)]
+        return pa.table([of, pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(out))], ["of", "ids"])
+
+    return run
+
+
 def encoded(texts: DataFrame, key: list[str], text: Column, vocab: DataFrame, limit: int = 512) -> DataFrame:
-    """key, ids of every text: the first and last piece of a text around at most limit - 2 others. Keys are unique."""
-    rows = checkpointed(texts.select(F.struct(*key).alias("of"), split_words(text).alias("words")))
-    counted = rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    known = checkpointed(word_pieces(checkpointed(counted), vocab))
-    total = known.agg(F.sum("n").alias("n")).first().n or 0
-    common = F.col("n") * COMMON_MAX >= total
+    """key, ids of every text: the first and last piece of a text around at most limit - 2 others. Keys are unique.
+
+    A block of texts brings each of its words to the join once, however often it is there.
+    """
     # No more words than pieces can count.
-    tokens = rows.select("of", F.posexplode(F.slice("words", 1, limit - 2)).alias("at", "word"))
-    often = F.broadcast(known.where(common).select("word", "ids"))
-    seldom = tokens.join(often, "word", "left_anti").join(known.where(~common).select("word", "ids"), "word")
-    found = tokens.join(often, "word").unionByName(seldom)
-    own = found.groupBy("of").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("found"))
-    ids = own.select("of", F.slice(F.flatten(F.col("found.ids")), 1, limit - 2).alias("ids"))
-    ids = ids.unionByName(rows.where(F.size("words") == 0).select("of", F.array().cast("array<int>").alias("ids")))
+    rows = texts.select(F.struct(*key).alias("of"), F.slice(split_words(text), 1, limit - 2).alias("words"))
+    of = rows.schema["of"].dataType
+    whole = StructType([StructField("block", LongType()), StructField("of", ArrayType(of)), StructField("codes", ArrayType(ArrayType(IntegerType()))), StructField("words", ArrayType(StringType()))])
+    blocks = checkpointed(rows.mapInArrow(_blocks, whole))
+    words = blocks.select("block", F.posexplode("words").alias("at", "word"))
+    pieces = word_pieces(checkpointed(words.select("word").distinct()), vocab)
     ends = {r.piece: r.id for r in vocab.where(F.col("piece").isin("[CLS]", "[SEP]")).collect()}
-    around = F.concat(F.array(F.lit(ends["[CLS]"]).cast("int")), "ids", F.array(F.lit(ends["[SEP]"]).cast("int")))
-    return ids.select(*(F.col("of")[k].alias(k) for k in key), around.alias("ids"))
+    own = words.join(pieces, "word").select(F.col("block").alias("home"), "at", "ids").groupBy("home")
+    run = _decoded(limit, ends["[CLS]"], ends["[SEP]"])
+    found = blocks.select("block", "of", "codes").groupBy("block").cogroup(own).applyInArrow(run, StructType([StructField("of", of), StructField("ids", ArrayType(IntegerType()))]))
+    return found.select(*(F.col("of")[k].alias(k) for k in key), "ids")
 
 
 def listed_pieces(texts: DataFrame, text: Column, words: int = 4096) -> DataFrame:

@@ -65,3 +65,24 @@ def test_the_words_of_a_text_are_those_of_its_stretches(spark):
     got = wordpiece.stretches(df, F.col("t")).select(F.explode(wordpiece.split_words(F.col("stretch"))).alias("w"), "n").groupBy("w").agg(F.sum("n").alias("n"))
     want = df.select(F.explode(wordpiece.split_words(F.col("t"))).alias("w")).groupBy("w").count()
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_blocks_of_texts(spark):
+    vocab = spark.createDataFrame([("\n".join(PIECES),)], "value string")
+    known, table = wordpiece.vocabulary(PIECES), wordpiece.vocabulary_table(vocab)
+    # More words than a block holds, in one partition; the texts differ in length, and some have no word.
+    n = F.col("id").cast("int")
+    df = spark.range(0, 900, 1, 1).select(F.when(n > 0, n).alias("k"), F.when(n % 50 != 7, F.repeat(F.lit("ab abcd zu. "), n % 200)).alias("t"))
+    got = wordpiece.encoded(df, ["k"], F.col("t"), table).collect()
+    texts = {r.k: r.t for r in df.collect()}
+    assert len(got) == 900 and {r.k: r.ids for r in got} == {k: wordpiece.encode(t, known) for k, t in texts.items()}
+    assert sum(min(len(wordpiece.words_of(t or "")), 510) for t in texts.values()) > 2 * wordpiece.TOKENS
+
+
+def test_texts_without_words(spark):
+    table = wordpiece.vocabulary_table(spark.createDataFrame([("\n".join(PIECES),)], "value string"))
+    df = spark.createDataFrame([(1, "x", ""), (1, None, None), (None, None, " \n")], "a long, b string, t string")
+    for rows, want in ((df, [(1, "x"), (1, None), (None, None)]), (df.where("false"), [])):
+        got = wordpiece.encoded(rows, ["b", "a"], F.col("t"), table)
+        assert got.columns == ["b", "a", "ids"]
+        assert {(r.a, r.b, *r.ids) for r in got.collect()} == {(*k, 2, 3) for k in want}
